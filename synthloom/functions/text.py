@@ -49,15 +49,14 @@ def strategy_name(draw: Draw, path: str, key: Column) -> Column:
 def corrupt(s: Column, how: Column, u_pos: Column, u_chr: Column) -> Column:
     """Corrupt one string by a named strategy. Null and empty strings are returned unchanged.
 
-    Fallbacks: one-character strings cannot be shortened or swapped (-> accent), text without a
+    Fallbacks: a swap of equal neighbours or a too short string becomes an accent, text without a
     look-alike gets U+FFFD, text without ASCII letters or digits gets a zero-width character.
     """
     n = F.length(s)
     pos, gap = below(u_pos, n), below(u_pos, n + 1)
     swap_at = below(u_pos, n - 1)
-    swapped = F.concat(
-        F.substring(s, (swap_at + 2).cast("int"), F.lit(1)),
-        F.substring(s, (swap_at + 1).cast("int"), F.lit(1)))
+    left = F.substring(s, (swap_at + 1).cast("int"), F.lit(1))
+    right = F.substring(s, (swap_at + 2).cast("int"), F.lit(1))
     replaced = splice(s, pos, 1, F.lit(L.REPLACEMENT))
     zero = splice(s, gap, 0, char_at(L.ZERO_WIDTH, below(u_chr, len(L.ZERO_WIDTH))))
     accent = splice(s, pos, 0, char_at(L.COMBINING, below(u_chr, len(L.COMBINING))))
@@ -71,7 +70,8 @@ def corrupt(s: Column, how: Column, u_pos: Column, u_chr: Column) -> Column:
         F.when(s.isNull() | (n == 0), s)
         .when(how == "replacement", replaced)
         .when((how == "delete") & (n > 1), splice(s, pos, 1, F.lit("")))
-        .when((how == "swap") & (n > 1), splice(s, swap_at, 2, swapped))
+        .when((how == "swap") & (n > 1) & (left != right),
+              splice(s, swap_at, 2, F.concat(right, left)))
         .when(how == "zero_width", zero)
         .when(how == "homoglyph", look_alike(L.HOMOGLYPH_FROM, L.HOMOGLYPH_TO, replaced))
         .when(how == "fullwidth", look_alike(L.ASCII_ALNUM, L.FULLWIDTH_ALNUM, zero))

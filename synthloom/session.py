@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -25,6 +27,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 
 
+def work_dir(spark: SparkSession, label: str) -> str:
+    """A fresh path inside the shared checkpoint folder, for tables and stream checkpoints."""
+    ensure_checkpoint_dir(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return os.path.join(base, f"{label}-{uuid.uuid4().hex}")
+
+
 def persist_reliably(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and continue from there."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -71,3 +80,36 @@ def hash_position(df: DataFrame, digest: str, by: list[str], name: str, hex_digi
     return (ranked.join(starts, [*by, "_slice"])
             .withColumn(name, F.col("_start") + F.col("_at"))
             .drop("_slice", "_start", "_at"))
+
+
+def keyed_position(df: DataFrame, keys: list[str], order: str, name: str, width: int = 65_536) -> DataFrame:
+    """0-based dense position of rows within ``keys``, ordered by a unique integer column.
+
+    A key's rows are cut into slices of ``width`` consecutive order values, so no task ever sorts
+    more than ``width`` rows of one key; slice sizes give the offsets.
+    """
+    sliced = df.withColumn("_slice", F.floor(F.col(order) / F.lit(width)))
+    sizes = sliced.groupBy(*keys, "_slice").agg(F.count("*").alias("_rows"))
+    before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select(*keys, "_slice", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    inside = W.partitionBy(*keys, "_slice").orderBy(order)
+    ranked = sliced.withColumn("_at", F.row_number().over(inside) - 1)
+    return (ranked.join(starts, [*keys, "_slice"])
+            .withColumn(name, F.col("_start") + F.col("_at"))
+            .drop("_slice", "_start", "_at"))
+
+
+def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, salts: int = 32) -> DataFrame:
+    """The first ``n`` rows per key, in two rounds.
+
+    Round one keeps n rows per (key, salt), so a key that holds most of the table is worked on by
+    ``salts`` tasks; round two sees at most n * salts rows of any key.
+    """
+    hashable = [f"`{c}`" for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+    salt = F.pmod(F.xxhash64(*hashable), F.lit(salts))
+    first = W.partitionBy(*keys, "_salt").orderBy(*order)
+    last = W.partitionBy(*keys).orderBy(*order)
+    return (df.withColumn("_salt", salt)
+            .withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= n)
+            .withColumn("_rn", F.row_number().over(last)).where(F.col("_rn") <= n)
+            .drop("_salt", "_rn"))

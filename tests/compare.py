@@ -67,7 +67,7 @@ if __name__ == "__main__":
     sys.path.insert(0, "/root/repo")
     import __spark_entry__ as entry
     spark = (SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
-             .config("spark.driver.memory", "8g").config("spark.sql.shuffle.partitions", "8")
+             .config("spark.driver.memory", "8g").config("spark.ui.showConsoleProgress", "false").config("spark.sql.shuffle.partitions", "8")
              .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     sf = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
