@@ -113,3 +113,18 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, sal
             .withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= n)
             .withColumn("_rn", F.row_number().over(last)).where(F.col("_rn") <= n)
             .drop("_salt", "_rn"))
+
+
+def carried(df: DataFrame, keys: list[str], slice_of: Column, aggs: dict[str, Column],
+            carry: dict[str, Column]) -> DataFrame:
+    """Split each key's rows into ordered slices and attach what earlier slices hand over.
+
+    ``aggs`` summarise a slice; ``carry`` combines the summaries of all earlier slices of the key
+    (aggregates over a window of summaries). A running computation then only needs a window inside
+    (keys, ``_slice``), so a key with most of the rows is spread over as many tasks as it has slices.
+    """
+    sliced = df.withColumn("_slice", slice_of)
+    sums = sliced.groupBy(*keys, "_slice").agg(*[e.alias(n) for n, e in aggs.items()])
+    before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    handed = sums.select(*keys, "_slice", *[e.over(before).alias(n) for n, e in carry.items()])
+    return sliced.join(handed, [*keys, "_slice"])

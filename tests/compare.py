@@ -15,6 +15,9 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "benchmark labels conversations").split()
 
 
+TIMES: dict[str, float] = {}
+
+
 def plain(v):
     if isinstance(v, Row):
         return {k: plain(x) for k, x in v.asDict().items()}
@@ -46,8 +49,10 @@ def connect(sf_dir: str):
 
 def check(spark, con, sf_dir, name, query, sql):
     """None when equal, else a short description of the difference."""
+    started = time.time()
     df = query(spark, sf_dir)
     got = rows_of(df.columns, df.collect())
+    TIMES[name] = time.time() - started
     if sql is None:
         return None if got[1] else "no rows"
     cur = con.execute(sql)
@@ -84,6 +89,6 @@ if __name__ == "__main__":
         except Exception as e:  # noqa: BLE001
             problem = f"{type(e).__name__}: {str(e)[:1200]}"
         bad += problem is not None
-        print(f"{'ok  ' if problem is None else 'FAIL'} {name} {time.time()-t:.1f}s"
+        print(f"{'ok  ' if problem is None else 'FAIL'} {name} {TIMES.get(name, 0):.1f}s of {time.time()-t:.1f}s"
               f"{'' if name in sqls else ' (rows only)'} {problem or ''}", flush=True)
     print("failures:", bad)
