@@ -6,40 +6,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_DEPTH = 8
+OBJECT, LIST = "map<string,variant>", "array<variant>"
 
 
 def json_nodes(df: DataFrame, json_col: str, keep: list[str], *, first_element: bool = False,
-               max_depth: int = MAX_DEPTH) -> DataFrame:
+               into_lists: bool = True, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Every value inside a JSON column: ``(keep..., path, value VARIANT)``, root path empty.
 
-    Paths read ``a.b`` and ``a[].b``. Each level unnests the nodes found by the level above inside one
-    narrow stage, so the text is parsed once and nothing is shuffled. ``first_element`` follows only the
-    first element of a list. Documents nested deeper than ``max_depth`` are refused, not cut.
+    Paths read ``a.b`` and ``a[].b``. A document is parsed once; each level's nodes are one array column
+    made from the level above, and a single unnest emits them all, so nothing is shuffled.
+    ``first_element`` follows only the first element of a list, ``into_lists=False`` none. Documents
+    nested deeper than ``max_depth`` are refused, not cut.
     """
-    kinds = ("cast(null as array<struct<path: string, v: variant, done: boolean>>)")
-    nodes = df.select(*keep, F.lit("").alias("path"), F.try_parse_json(F.col(json_col)).alias("v"),
-                      F.lit(False).alias("done")).where(F.col("v").isNotNull())
-
-    def node(path: Column, v: Column, done: bool) -> Column:
-        return F.struct(path.alias("path"), v.alias("v"), F.lit(done).alias("done"))
-
-    def step(frame: DataFrame, last: bool) -> DataFrame:
-        fields = F.map_entries(F.expr("try_cast(v as map<string, variant>)"))
-        items = F.expr("try_cast(v as array<variant>)")
+    parsed = df.select(*keep, F.try_parse_json(F.col(json_col)).alias("_v")).where(F.col("_v").isNotNull())
+
+    def node(path: Column, v: Column) -> Column:
+        return F.struct(path.alias("path"), v.alias("value"))
+
+    def inside(n: Column) -> Column:
+        path = n["path"]
+        fields = F.transform(F.map_entries(n["value"].try_cast(OBJECT)), lambda e: node(
+            F.when(path == "", e["key"]).otherwise(F.concat(path, F.lit("."), e["key"])), e["value"]))
+        if not into_lists:
+            return fields
+        items = n["value"].try_cast(LIST)
         if first_element:
             items = F.slice(items, 1, 1)
-        path = F.col("path")
-        inside = F.transform(fields, lambda e: node(
-            F.when(path == "", e["key"]).otherwise(F.concat(path, F.lit("."), e["key"])), e["value"], False))
-        inside = F.coalesce(inside, F.transform(items, lambda x: node(F.concat(path, F.lit("[]")), x, False)))
-        inside = F.when(~F.col("done"), inside)
-        if last:
-            deep = F.raise_error(F.lit(f"JSON nested deeper than {max_depth}")).cast("boolean")
-            return frame.where(F.when(F.size(inside) > 0, deep).otherwise(True))
-        own = F.array(node(path, F.col("v"), True))
-        return (frame.select(*keep, F.explode(F.concat(own, F.coalesce(inside, F.expr(kinds), F.array())))
-                             .alias("n")).select(*keep, "n.*"))
-
-    for _ in range(max_depth):
-        nodes = step(nodes, last=False)
-    return step(nodes, last=True).select(*keep, "path", F.col("v").alias("value"))
+        return F.coalesce(fields, F.transform(items, lambda x: node(F.concat(path, F.lit("[]")), x)))
+
+    levels = ["_l0"]
+    frame = parsed.select(*keep, F.array(node(F.lit(""), F.col("_v"))).alias("_l0"))
+    for depth in range(1, max_depth + 1):
+        below = F.flatten(F.filter(F.transform(levels[-1], inside), lambda x: x.isNotNull()))
+        levels.append(f"_l{depth}")
+        frame = frame.withColumn(levels[-1], below)
+    deep = F.exists(levels[-1], lambda n: F.size(F.coalesce(inside(n), F.array())) > 0)
+    checked = F.when(deep, F.raise_error(F.lit(f"JSON nested deeper than {max_depth}")).cast("boolean")).otherwise(True)
+    return (frame.where(checked).select(*keep, F.explode(F.concat(*levels)).alias("_n"))
+            .select(*keep, "_n.path", "_n.value"))
