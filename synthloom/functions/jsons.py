@@ -41,6 +41,7 @@ def json_nodes(df: DataFrame, json_col: str, keep: list[str], *, first_element:
         levels.append(f"_l{depth}")
         frame = frame.withColumn(levels[-1], below)
     deep = F.exists(levels[-1], lambda n: F.size(F.coalesce(inside(n), F.array())) > 0)
-    checked = F.when(deep, F.raise_error(F.lit(f"JSON nested deeper than {max_depth}")).cast("boolean")).otherwise(True)
-    return (frame.where(checked).select(*keep, F.explode(F.concat(*levels)).alias("_n"))
-            .select(*keep, "_n.path", "_n.value"))
+    stop = F.raise_error(F.lit(f"JSON nested deeper than {max_depth}"))
+    found = F.when(deep, F.concat(levels[-1], F.transform(levels[-1], lambda n: node(
+        stop.cast("string"), n["value"])))).otherwise(F.concat(*levels))
+    return frame.select(*keep, F.explode(found).alias("_n")).select(*keep, "_n.path", "_n.value")
