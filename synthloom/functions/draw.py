@@ -46,6 +46,12 @@ class Draw:
         """128-bit hex digest of the draw; gives a total order that is random but reproducible."""
         return F.md5(F.concat(F.lit(self._label(path) + "|"), text_key(*key)))
 
+    def rank(self, path: str, *key: Column | str | int) -> Column:
+        """Sort key of a random order: the digest, or a 64-bit hash when only speed matters."""
+        if self.kind == "portable":
+            return self.digest(path, *key)
+        return F.xxhash64(F.lit(self._label(path)), *[k if isinstance(k, Column) else F.lit(k) for k in key])
+
     def bits(self, path: str, *key: Column | str | int) -> Column:
         """Non-negative integer draw of 52 (portable) or 53 (fast) bits."""
         if self.kind == "portable":

@@ -96,14 +96,22 @@ MIXED_SCRIPT = f"[A-Za-z][{L.HOMOGLYPH_TO}]|[{L.HOMOGLYPH_TO}][A-Za-z]"
 
 
 def encoding_report(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Per column and class: rows and characters that look corrupted; whole texts, one pass."""
-    checks = []
-    for c in cols:
-        s = F.col(f"`{c}`")
+    """Per column and class: rows and characters that look corrupted; whole texts, one pass.
+
+    One regex pass drops what cannot be suspicious (everything up to U+02FF but the no-break space); the
+    classes are then counted on what is left, which is a few characters for most Latin texts.
+    """
+    plain = "[\\x{0}-\\x{9F}\\x{A1}-\\x{2FF}]+"
+    checks, kept = [], {}
+    for i, c in enumerate(cols):
+        s, odd = F.col(f"`{c}`"), F.col(f"_odd{i}")
+        kept[f"_odd{i}"] = F.regexp_replace(s, plain, "")
         for name, chars in SUSPECT.items():
-            checks.append((c, name, F.length(s) - F.length(F.translate(s, chars, ""))))
-        checks.append((c, "mixed_script", F.regexp_count(s, F.lit(MIXED_SCRIPT))))
-    wide = df.select(*[e.alias(f"x{i}") for i, (_, _, e) in enumerate(checks)]).agg(
+            checks.append((c, name, F.length(odd) - F.length(F.translate(odd, chars, ""))))
+        foreign = F.length(F.translate(odd, L.HOMOGLYPH_TO, "")) < F.length(odd)
+        checks.append((c, "mixed_script", F.when(foreign, F.regexp_count(s, F.lit(MIXED_SCRIPT))).otherwise(0)))
+    staged = df.select(*[F.col(f"`{c}`") for c in cols]).withColumns(kept)
+    wide = staged.select(*[e.alias(f"x{i}") for i, (_, _, e) in enumerate(checks)]).agg(
         *[F.count_if(F.col(f"x{i}") > 0).alias(f"r{i}") for i in range(len(checks))],
         *[F.coalesce(F.sum(f"x{i}"), F.lit(0)).cast(BIG).alias(f"c{i}") for i in range(len(checks))])
     return long_table(wide, [{"column": F.lit(c), "class": F.lit(n), "rows": F.col(f"r{i}"),

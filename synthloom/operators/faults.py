@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from synthloom.functions import lists as L
 from synthloom.functions import text as X
 from synthloom.functions.draw import Draw, below
-from synthloom.functions.times import SECOND
+from synthloom.functions.times import SECOND, text_to_micros
 from synthloom.plans.compile import let
 from synthloom.session import hash_position, top_per_key
 
@@ -81,7 +81,7 @@ def duplicate_rows_in_batch(df: DataFrame, draw: Draw, key: str, batch: str, *,
     Only (batch, key, hash) is ranked. ``count_col`` (a list length kept beside the rows) is raised.
     """
     df = ensure_audit(df)
-    ranked = df.select(batch, key).withColumn("_h", draw.digest("duplicate_rows#pick", F.col(key)))
+    ranked = df.select(batch, key).withColumn("_h", draw.rank("duplicate_rows#pick", F.col(key)))
     picks = top_per_key(ranked, [batch], [F.col("_h")], max_dups).select(batch, key)
     copies = df.join(picks, [batch, key], "left_semi").withColumn("_copy", F.lit(1).cast("bigint"))
     both = df.withColumn("_copy", F.lit(0).cast("bigint")).unionByName(copies)
@@ -178,7 +178,7 @@ def shuffle_arrays(df: DataFrame, draw: Draw, key: str, *, columns: list[str] |
 
     def change(arr: Column, path: str, keys: tuple[Column, ...]) -> Column:
         ranks = F.transform(F.sequence(F.lit(0), F.size(arr) - 1), lambda i: F.struct(
-            draw.digest(f"shuffle_arrays:{path}", *keys, i).alias("h"), i.alias("i")))
+            draw.rank(f"shuffle_arrays:{path}", *keys, i).alias("h"), i.alias("i")))
         moved = F.transform(F.array_sort(ranks), lambda e: F.get(arr, e["i"]))
         return F.when(F.size(arr) > 1, moved).otherwise(arr)
 
@@ -211,7 +211,7 @@ def partial_load(df: DataFrame, draw: Draw, key: str, *, p: float = 0.1, min_key
     lo = min(min_keys, hi)
     count = F.lit(lo) + below(draw.u("partial_load#n", F.col(key)), hi - lo + 1)
     order = F.array_sort(F.array(*[
-        F.struct(draw.digest(f"partial_load#{f}", F.col(key)).alias("h"), F.lit(f).alias("f")) for f in paths]))
+        F.struct(draw.rank(f"partial_load#{f}", F.col(key)).alias("h"), F.lit(f).alias("f")) for f in paths]))
     lost = F.array_sort(F.transform(F.slice(order, F.lit(1), count.cast("int")), lambda e: e["f"]))
     staged = (ensure_audit(df).withColumn("_hit", hit_column(draw, "partial_load", key, p, hit))
               .withColumn("_missing", F.when(F.col("_hit"), lost).otherwise(F.array().cast(NO_FAULTS))))
@@ -241,7 +241,7 @@ def partial_load_json(df: DataFrame, draw: Draw, key: str, column: str, *, p: fl
     lo = F.least(F.lit(min_keys), hi)
     count = lo + below(draw.u("partial_load#n", F.col(key)), hi - lo + 1)
     order = F.array_sort(F.transform(names, lambda k: F.struct(
-        draw.digest("partial_load", F.col(key), k).alias("h"), k.alias("k"))))
+        draw.rank("partial_load", F.col(key), k).alias("h"), k.alias("k"))))
     lost = F.array_sort(F.transform(F.slice(order, F.lit(1), count.cast("int")), lambda e: e["k"]))
     staged = staged.withColumn("_missing", F.coalesce(lost, F.array().cast(NO_FAULTS)))
     kept = F.to_json(F.map_filter("_map", lambda k, v: ~F.array_contains("_missing", k)))
@@ -288,7 +288,7 @@ def null_field(df: DataFrame, draw: Draw, key: str, *, fields: list[str] | None
     paths = fields or [f for f in field_paths(df.schema) if f != key and not any(
         g.startswith(f + ".") for g in field_paths(df.schema))]
     offers = F.array_compact(F.array(*[
-        F.when(_filled(f), F.struct(draw.digest(f"null_field#{f}", F.col(key)).alias("h"), F.lit(f).alias("f")))
+        F.when(_filled(f), F.struct(draw.rank(f"null_field#{f}", F.col(key)).alias("h"), F.lit(f).alias("f")))
         for f in paths]))
     staged = ensure_audit(df).withColumn("_offer", F.array_min(offers))
     if per == "batch":
@@ -574,7 +574,7 @@ def time_columns(df: DataFrame, mode: str = "strict", share: float = 0.99) -> Da
         if isinstance(t, (T.TimestampType, T.TimestampNTZType, T.DateType)):
             tests.append((f.name, "timestamp", c.isNotNull()))
         elif isinstance(t, T.StringType):
-            tests.append((f.name, "iso", F.try_to_timestamp(c).isNotNull() & c.rlike(r"^\d{4}-?\d{2}-?\d{2}")))
+            tests.append((f.name, "iso", text_to_micros(c).isNotNull() & c.rlike(r"^\d{4}-?\d{2}-?\d{2}")))
             if mode == "lenient":
                 tests += _number_tests(f.name, c.try_cast("double"), mode, low, high)
         elif isinstance(t, T.NumericType) or (mode == "lenient" and isinstance(t, T.BooleanType)):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from synthloom.functions.jsons import json_nodes
+from synthloom.session import persist_reliably
 
 MAX_PATHS = 20_000
 
@@ -58,7 +59,8 @@ def infer_table(df: DataFrame, json_col: str, order: str) -> DataFrame:
             F.min("num").alias("min"), F.max("num").alias("max"),
             F.min("items").alias("min_items"), F.max("items").alias("max_items"))
 
-    outer = summary(infer_value_type(df, json_col, order, into_lists=False))
+    # a table as small as the schema, used twice: written once so the documents are not parsed twice
+    outer = persist_reliably(summary(infer_value_type(df, json_col, order, into_lists=False)))
     firsts = outer.where(F.col("type") == "array").select(
         F.col("path").alias("_list"), F.col("first_seen").alias("_first"))
     samples = df.select(order, json_col).join(

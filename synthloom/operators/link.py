@@ -40,7 +40,10 @@ def pool_join(child: DataFrame, pool: DataFrame, fields: list[str], key: str, dr
     checked = F.when(size > 0, size).otherwise(
         F.raise_error(F.lit(f"pool {pool_name!r} is empty")).cast("bigint"))
     drawn = child.withColumn("_idx", below(draw.u(f"pool:{pool_name}", F.col(key)), checked))
-    return drawn.join(records.select("_idx", *fields), "_idx", "left").drop("_idx")
+    joined = drawn.join(records.select("_idx", *fields), "_idx", "left")
+    # the fields depend on the checked index, so an empty pool fails even if the join is optimised away
+    return joined.select(*[F.col(f"`{c}`") for c in child.columns],
+                         *[F.when(F.col("_idx") >= 0, F.col(f"`{f}`")).alias(f) for f in fields])
 
 
 def pool_info(pool: DataFrame) -> DataFrame:

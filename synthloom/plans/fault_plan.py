@@ -68,29 +68,38 @@ def draw_plan(df: DataFrame, plan: FaultPlan, draw: Draw, key: str) -> DataFrame
     if not cands or plan.max_ops == 0 or low > plan.max_ops:
         return df.withColumn(PLAN, none)
     k = F.col(key)
-    fired = F.array(*[draw.u(f"plan#{o.name}", k) < o.p for o in cands])
-    staged = df.withColumn("_fired", fired)
-    weight = F.array(*[F.when(F.get("_fired", F.lit(i)), F.lit(float(o.weight))).otherwise(0.0)
-                       for i, o in enumerate(cands)])
-    staged = staged.withColumns({"_w": weight, "_n": F.size(F.filter("_fired", lambda f: f))})
-    cumulative = F.transform(F.sequence(F.lit(1), F.lit(len(cands))), lambda i: F.aggregate(
-        F.slice("_w", F.lit(1), i), F.lit(0.0), lambda a, x: a + x))
-    count = F.least(F.lit(low) + below(draw.u("plan#k", k), plan.max_ops - low + 1), F.col("_n"))
-    staged = staged.withColumns({"_cum": cumulative, "_k": count})
-    total = F.get("_cum", F.lit(len(cands) - 1))
-    names = F.array(*[F.lit(o.name) for o in cands])
-    tickets = F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("_k")), lambda j: F.struct(
-        draw.digest("plan#cut", k, j).alias("h"), (draw.u("plan#pick", k, j) * total).alias("r")))
-    picked = F.transform(tickets, lambda t: F.struct(
-        t["h"].alias("h"), F.get(names, F.size(F.filter("_cum", lambda c: c <= t["r"]))).alias("name")))
-    staged = staged.withColumn("_picked", F.when((F.col("_k") > 0) & (total > 0), picked))
-    drift = F.filter("_picked", lambda t: F.contains(t["name"], F.lit("drift")))
-    rest = F.filter("_picked", lambda t: ~F.contains(t["name"], F.lit("drift")))
-    if plan.max_faults is not None:
-        rest = F.slice(F.array_sort(rest), 1, plan.max_faults)
-    chosen = F.array_distinct(F.transform(F.concat(drift, rest), lambda t: t["name"]))
-    return (staged.withColumn(PLAN, F.coalesce(chosen, none))
-            .drop("_fired", "_w", "_n", "_cum", "_k", "_picked"))
+    staged = df.withColumns({f"_e{i}": draw.u(f"plan#{o.name}", k) < o.p for i, o in enumerate(cands)})
+    cumulative, acc, fired = {}, F.lit(0.0), F.lit(0)
+    for i, o in enumerate(cands):
+        acc = (acc if i == 0 else F.col(f"_c{i - 1}")) + F.when(F.col(f"_e{i}"), F.lit(float(o.weight))).otherwise(0.0)
+        staged = staged.withColumn(f"_c{i}", acc)
+        fired = fired + F.col(f"_e{i}").cast("int")
+    total = F.col(f"_c{len(cands) - 1}")
+    count = F.least(F.lit(low) + below(draw.u("plan#k", k), plan.max_ops - low + 1), fired)
+    staged = staged.withColumns({"_k": F.when(total > 0, count).otherwise(0), **{
+        f"_r{j}": draw.u("plan#pick", k, F.lit(j)) * total for j in range(1, plan.max_ops + 1)}})
+
+    def ticket(j: int) -> Column:
+        """Name the j-th draw falls on: the first cumulative weight above it."""
+        name = None
+        for i, o in enumerate(cands):
+            hit = F.col(f"_r{j}") < F.col(f"_c{i}")
+            name = F.when(hit, o.name) if name is None else name.when(hit, o.name)
+        return F.when(F.col("_k") >= j, name)
+
+    tickets = [ticket(j) for j in range(1, plan.max_ops + 1)]
+    if plan.max_faults is None or plan.max_faults >= plan.max_ops:
+        names = F.array_compact(F.array(*tickets))
+    else:
+        marked = F.array_compact(F.array(*[F.when(t.isNotNull(), F.struct(
+            draw.rank("plan#cut", k, F.lit(j)).alias("h"), t.alias("name"))) for j, t in enumerate(tickets, 1)]))
+        drift = F.filter(marked, lambda t: F.contains(t["name"], F.lit("drift")))
+        rest = F.filter(marked, lambda t: ~F.contains(t["name"], F.lit("drift")))
+        cut = F.concat(drift, F.slice(F.array_sort(rest), 1, plan.max_faults))
+        names = F.when(F.col("_k") > plan.max_faults, F.transform(cut, lambda t: t["name"])).otherwise(
+            F.array_compact(F.array(*tickets)))
+    temporary = [c for c in staged.columns if c not in df.columns]
+    return staged.withColumn(PLAN, F.array_distinct(names)).drop(*temporary)
 
 
 def apply_plan(df: DataFrame, plan: FaultPlan, draw: Draw, key: str, scope: str | None = None) -> DataFrame:
