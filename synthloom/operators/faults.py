@@ -19,7 +19,7 @@ from synthloom.functions import text as X
 from synthloom.functions.draw import Draw, below
 from synthloom.functions.times import SECOND, text_to_micros
 from synthloom.plans.compile import let
-from synthloom.session import hash_position, top_per_key
+from synthloom.session import hash_position, lookup_join, top_per_key
 
 AUDIT = "_faults"
 NO_FAULTS = "array<string>"
@@ -296,7 +296,7 @@ def null_field(df: DataFrame, draw: Draw, key: str, *, fields: list[str] | None
         best = staged.where(F.col("_offer").isNotNull()).groupBy(*by).agg(
             F.min(F.struct(F.col("_offer.h").alias("h"), F.col(key).alias("k"))).alias("_best"))
         if by:
-            staged = staged.join(best, by, "left")
+            staged = lookup_join(staged, best, by)
         else:
             staged = staged.withColumn("_best", best.scalar())
         won = (F.col("_best.k") == F.col(key)) & (F.col("_best.h") == F.col("_offer.h"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from synthloom.functions.draw import Draw, below
-from synthloom.session import hash_position
+from synthloom.session import hash_position, lookup_join
 
 
 def pool_build(df: DataFrame, anchor: str, siblings: list[str] | None = None) -> DataFrame:
@@ -68,9 +68,9 @@ def bind_dictionary(existing: DataFrame, df: DataFrame, key: str, cols: list[str
 
 
 def bind_apply(df: DataFrame, dictionary: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    """Overwrite ``cols`` by the dictionary's values for the row's key."""
+    """Overwrite ``cols`` by the dictionary's values (one entry per key) for the row's key."""
     marked = dictionary.select(key, *[F.col(c).alias(f"_dict_{c}") for c in cols])
-    joined = df.join(marked, key, "left")
+    joined = lookup_join(df, marked, [key])
     return joined.select(*[
         (F.coalesce(F.col(f"_dict_{c}"), F.col(f"`{c}`")).alias(c) if c in cols
          else F.col(f"`{c}`")) for c in df.columns])

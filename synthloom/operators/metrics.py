@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from synthloom.session import carried
+
 INF = float("inf")
+CELLS = 4096
 
 
 def count_bucket(col: Column) -> Column:
@@ -89,7 +92,7 @@ def percentiles(df: DataFrame, value: str, qs: list[float], accuracy: int = 10_0
     """Exact order statistics ``(q, value)``: sorted[int(n*q)], the median as mean of the middle two.
 
     A quantile sketch brackets each wanted rank within a few ranks in ``accuracy``; one pass counts rows
-    below the brackets, and only the distinct values inside them are ranked. A rank outside its bracket
+    below the brackets, and only the distinct values inside them are ranked, each bracket in cells. A rank outside its bracket
     raises, so the answer is exact or the query fails. Raise ``accuracy`` with the table size.
     """
     data = df.select(F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
@@ -104,15 +107,18 @@ def percentiles(df: DataFrame, value: str, qs: list[float], accuracy: int = 10_0
     bound = lambda i: F.get(F.col("_s.b"), F.lit(i))
     lo = [F.col("_s.lo") if q - slack <= 0 else bound(i) for i, q in enumerate(qs)]
     hi = [F.col("_s.hi") if q + slack >= 1 else bound(m + i) for i, q in enumerate(qs)]
-    brackets = F.filter(F.array(*[F.when(F.col("v").between(lo[i], hi[i]), F.lit(i)) for i in range(m)]),
-                        lambda x: x.isNotNull())
-    below = data.withColumn("_s", sketch).agg(*[F.count_if(F.col("v") < lo[i]).alias(f"b{i}") for i in range(m)])
-    inside = (marked.select("v", F.explode(brackets).alias("i")).groupBy("i", "v").agg(F.count("*").alias("c")))
+    brackets = F.filter(F.array(*[F.when(F.col("v").between(lo[i], hi[i]), F.struct(
+        F.lit(i).alias("i"), F.coalesce(F.floor((F.col("v") - lo[i]) / F.nullif(hi[i] - lo[i], F.lit(0.0)) * CELLS),
+                                        F.lit(0)).alias("cell"))) for i in range(m)]), lambda x: x.isNotNull())
+    below = marked.agg(*[F.count_if(F.col("v") < lo[i]).alias(f"b{i}") for i in range(m)])
+    inside = (marked.select("v", F.explode(brackets).alias("b")).groupBy("b.i", "b.cell", "v").agg(F.count("*").alias("c")))
+    inside = carried(inside, ["i"], F.col("cell"), {"_m": F.sum("c")}, {"_earlier": F.sum("_m")})
     size = data.agg(F.count("*").alias("n")).scalar()
     starts = below.select(F.inline(F.array(*[
         F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q"), F.col(f"b{i}").alias("start")) for i, q in enumerate(qs)])))
-    upto = W.partitionBy("i").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    placed = (inside.withColumn("upto", F.sum("c").over(upto)).join(F.broadcast(starts), "i")
+    upto = W.partitionBy("i", "_slice").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    placed = (inside.withColumn("upto", F.coalesce("_earlier", F.lit(0)) + F.sum("c").over(upto))
+              .join(F.broadcast(starts), "i")  # one row per quantile
               .withColumn("n", size)
               .withColumn("first", F.col("start") + F.col("upto") - F.col("c"))
               .withColumn("last", F.col("start") + F.col("upto") - 1))

@@ -128,3 +128,47 @@ def carried(df: DataFrame, keys: list[str], slice_of: Column, aggs: dict[str, Co
     before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     handed = sums.select(*keys, "_slice", *[e.over(before).alias(n) for n, e in carry.items()])
     return sliced.join(handed, [*keys, "_slice"])
+
+
+HOT_KEYS = 64
+
+
+def lookup_join(df: DataFrame, lookup: DataFrame, keys: list[str], salts: int = 64) -> DataFrame:
+    """Left join to a table with one row per key, safe when a few keys hold most rows.
+
+    Keys above 1/64 of the rows (so fewer than 64 of them, whatever the data) are found by one
+    aggregate over the key columns; their rows are spread over ``salts`` and only their lookup rows
+    are repeated. Rows without a key are spread too. A small lookup is broadcast by its size as usual.
+    """
+    total = df.agg(F.count("*").alias("n")).scalar()
+    hot = (df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") * HOT_KEYS > total)
+           .select(*keys, F.lit(True).alias("_hot")))
+    hashable = [f"`{c}`" for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+    empty = F.lit(False)
+    for k in keys:
+        empty = empty | F.col(k).isNull()
+    spread = F.coalesce(F.col("_hot"), F.lit(False)) | empty
+    left = df.join(F.broadcast(hot), keys, "left").withColumn(
+        "_salt", F.when(spread, F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = lookup.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return left.join(right, [*keys, "_salt"], "left").drop("_salt")
+
+
+def islands(df: DataFrame, keys: list[str], order: str, ts_us: str, gap_us: int, width: int,
+            name: str = "_island") -> DataFrame:
+    """Mark runs of a key's rows without a gap above ``gap_us``: ``name`` is the order value a run starts at.
+
+    Gaps are found against the previous row (handed over between slices of ``order``), then each row
+    learns where its run starts, again slice by slice.
+    """
+    slice_of = F.floor(F.col(order) / F.lit(width))
+    rows = carried(df, keys, slice_of, {"_l": F.max_by(ts_us, order)}, {"_before": F.last("_l")})
+    inside = W.partitionBy(*keys, "_slice").orderBy(order)
+    previous = F.when(F.row_number().over(inside) == 1, F.col("_before")).otherwise(F.lag(ts_us).over(inside))
+    fresh = previous.isNull() | (F.col(ts_us) - previous > F.lit(gap_us))
+    rows = rows.withColumn("_begin", F.when(fresh, F.col(order))).drop("_slice", "_before")
+    rows = carried(rows, keys, slice_of, {"_b": F.max("_begin")}, {"_begun": F.max("_b")})
+    upto = W.partitionBy(*keys, "_slice").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    return rows.withColumn(name, F.coalesce(F.max("_begin").over(upto), F.col("_begun"))).drop(
+        "_slice", "_begun", "_begin")

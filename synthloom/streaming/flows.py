@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from synthloom.functions.draw import Draw
+from synthloom.functions.times import SECOND
 from synthloom.plans.fault_plan import FaultPlan, apply_plan
-from synthloom.session import carried
+from synthloom.session import carried, islands
 
 
 def stream_faults(sdf: DataFrame, plan: FaultPlan, draw: Draw, key: str) -> DataFrame:
@@ -63,10 +64,18 @@ def window_counts(df: DataFrame, ts_us: str, size_us: int, slide_us: int | None
 
 
 def session_counts(df: DataFrame, ts_us: str, gap_s: int, keys: list[str]) -> DataFrame:
-    """Session windows per key: Spark merges sessions map-side before the shuffle."""
-    slot = F.session_window(F.timestamp_micros(ts_us), f"{gap_s} seconds")
-    return (df.groupBy(slot.alias("s"), *keys).agg(F.count("*").alias("rows"))
-            .select(*keys, F.unix_micros("s.start").alias("start_us"), F.unix_micros("s.end").alias("end_us"), "rows"))
+    """Batch twin of session windows: rows closer than the gap share a session.
+
+    Rows of one moment are counted first; sessions are then islands of moments, found in time slices, so
+    a key with most of the rows is not gathered in one task as a session-window aggregate would do.
+    """
+    gap = gap_s * SECOND
+    moments = df.groupBy(*keys, ts_us).agg(F.count("*").alias("_n"))
+    # a session window ends a gap after its last row and does not include its end
+    marked = islands(moments, keys, ts_us, ts_us, gap - 1, width=16 * gap)
+    return marked.groupBy(*keys, "_island").agg(
+        F.min(ts_us).alias("start_us"), (F.max(ts_us) + gap).alias("end_us"),
+        F.sum("_n").alias("rows")).drop("_island")
 
 
 def stream_dedup(sdf: DataFrame, keys: list[str], ts: str, watermark: str) -> DataFrame:
@@ -85,5 +94,3 @@ def resume(sdf: DataFrame, path: str, checkpoint: str, fmt: str = "parquet") ->
     """Run (or continue) a stream over everything available: the checkpoint remembers what was sent."""
     return (sdf.writeStream.format(fmt).option("path", path).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
-
-

@@ -7,12 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from synthloom.functions.times import SECOND, format_micros
-from synthloom.session import carried, keyed_position
+from synthloom.session import islands, keyed_position
 
 TTL_SECONDS = 86_400
 
@@ -90,19 +89,9 @@ def sequence_with_ttl(df: DataFrame, user: str, order: str, ts_us: str, start: i
                       ttl_seconds: int = TTL_SECONDS, name: str = "tick", width: int = 65_536) -> DataFrame:
     """Batch twin of expiring state: a gap above the time to live restarts the user's sequence.
 
-    Idle gaps are found against the previous row (handed over between slices), each row learns where its
-    island starts, and islands are numbered independently.
+    Rows are cut into islands by idle gaps and the islands are numbered independently.
     """
-    slice_of = F.floor(F.col(order) / F.lit(width))
-    rows = carried(df, [user], slice_of, {"_l": F.max_by(ts_us, order)}, {"_prev_slice": F.last("_l")})
-    inside = W.partitionBy(user, "_slice").orderBy(order)
-    previous = F.when(F.row_number().over(inside) == 1, F.col("_prev_slice")).otherwise(F.lag(ts_us).over(inside))
-    fresh = previous.isNull() | (F.col(ts_us) - previous > F.lit(ttl_seconds * SECOND))
-    rows = rows.withColumn("_begin", F.when(fresh, F.col(order))).drop("_slice", "_prev_slice")
-    rows = carried(rows, [user], slice_of, {"_b": F.max("_begin")}, {"_begun": F.max("_b")})
-    upto = W.partitionBy(user, "_slice").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("_island", F.coalesce(F.max("_begin").over(upto), F.col("_begun"))).drop(
-        "_slice", "_begun", "_begin")
+    rows = islands(df, [user], order, ts_us, ttl_seconds * SECOND, width)
     return user_sequence(rows, [user, "_island"], order, start, inc, name=name, width=width).drop("_island")
 
 

@@ -9,7 +9,7 @@ from suite.specs import FLAT, STREAM_EVENTS
 from synthloom.functions.draw import Draw
 from synthloom.operators import audit, detect, faults as X
 from synthloom.plans.fault_plan import FaultOp, FaultPlan, apply_plan, draw_plan, register_fault
-from synthloom.session import dense_position, keyed_position, top_per_key
+from synthloom.session import dense_position, keyed_position, lookup_join, top_per_key
 from synthloom.sources.synth import synth_over
 
 D = Draw(3)
@@ -203,3 +203,11 @@ def test_positions_under_a_hot_key(spark):
     for i in range(29_999, -1, -1):
         newest.setdefault(0 if i % 3 else i % 7, []).append(i)
     assert sorted((r["k"], r["id"]) for r in top.collect()) == sorted((k, i) for k, v in newest.items() for i in v[:4])
+
+
+def test_lookup_join_under_hot_and_null_keys(spark):
+    rows = spark.range(9_000).select("id", F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, None).otherwise(F.col("id") % 500).alias("k"))
+    lookup = spark.range(400).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    got = lookup_join(rows, lookup, ["k"], salts=8)
+    want = rows.join(lookup, "k", "left")
+    assert sorted(map(str, got.select("id", "k", "v").collect())) == sorted(map(str, want.select("id", "k", "v").collect()))
