@@ -14,19 +14,24 @@ STATES = """Alabama Alaska Arizona California Colorado Florida Georgia Idaho Kan
 Ohio Oregon Texas Utah Vermont Virginia Wyoming""".split()
 MAIL_HOSTS = "example.com example.net example.org".split()
 
-# Characters used when text is corrupted on purpose (Unicode code points).
-REPLACEMENT = "�"
-ZERO_WIDTH = "​‍‎‏"
-COMBINING = "́̀̂̈"
-CONFUSABLE = (
-    "‘’“”–—·・"
-    "    ⁦⁧⁨⁩"
-)
+
+def chars(*points: int) -> str:
+    """Characters by code point, for those that cannot be seen in an editor."""
+    return "".join(map(chr, points))
+
+
+# Characters used when text is corrupted on purpose.
+REPLACEMENT = chars(0xFFFD)
+ZERO_WIDTH = chars(0x200B, 0x200D, 0x200E, 0x200F)  # space, joiner, left-to-right and right-to-left mark
+COMBINING = chars(0x0301, 0x0300, 0x0302, 0x0308)  # acute, grave, circumflex, diaeresis
+QUOTES_AND_DASHES = chars(0x2018, 0x2019, 0x201C, 0x201D, 0x2013, 0x2014, 0x00B7, 0x30FB)
+ODD_SPACES = chars(0x00A0, 0x202F, 0x2009, 0x200A)  # no-break, narrow no-break, thin, hair
+BIDI_ISOLATES = chars(0x2066, 0x2067, 0x2068, 0x2069)
+CONFUSABLE = QUOTES_AND_DASHES + ODD_SPACES + BIDI_ISOLATES
 HOMOGLYPH_FROM = "aeopcxyABCEHIKMNOPSTXYZ"
-HOMOGLYPH_TO = (
-    "аеοрсхуΑΒСΕΗΙ"
-    "ΚΜΝΟΡЅΤΧΥΖ"
-)
+HOMOGLYPH_TO = chars(  # Cyrillic and Greek letters that look like the ones above
+    0x0430, 0x0435, 0x03BF, 0x0440, 0x0441, 0x0445, 0x0443, 0x0391, 0x0392, 0x0421, 0x0395, 0x0397,
+    0x0399, 0x039A, 0x039C, 0x039D, 0x039F, 0x03A1, 0x0405, 0x03A4, 0x03A7, 0x03A5, 0x0396)
 ASCII_ALNUM = "".join(chr(c) for r in ((48, 58), (65, 91), (97, 123)) for c in range(*r))
 FULLWIDTH_ALNUM = "".join(chr(ord(c) + 0xFEE0) for c in ASCII_ALNUM)
 FULLWIDTH_DIGITS = FULLWIDTH_ALNUM[:10]

@@ -85,10 +85,10 @@ def truncated_json_report(df: DataFrame, col: str) -> DataFrame:
 # Suspicious character classes (Unicode code points).
 SUSPECT = {
     "replacement": L.REPLACEMENT,
-    "zero_width": "​‌‍⁠",
-    "bidi": "‎‏‪‫‬‭‮⁦⁧⁨⁩",
-    "bom": "﻿",
-    "odd_space": "      　",
+    "zero_width": L.chars(0x200B, 0x200C, 0x200D, 0x2060),
+    "bidi": L.chars(0x200E, 0x200F, 0x202A, 0x202B, 0x202C, 0x202D, 0x202E) + L.BIDI_ISOLATES,
+    "bom": L.chars(0xFEFF),
+    "odd_space": L.ODD_SPACES + L.chars(0x2007, 0x2008, 0x3000),
     "combining": L.COMBINING,
     "fullwidth": L.FULLWIDTH_ALNUM,
 }
