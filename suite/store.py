@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from suite.common import Suite, table
 from suite.tables import DATASETS_CTE, SEED, event_datasets
 from synthloom.operators import store as B
+from synthloom.session import persist_reliably
 
 suite = Suite()
 NOW = dt.datetime(2024, 2, 20, tzinfo=dt.timezone.utc)
@@ -17,11 +18,14 @@ BASE = 1704067200
 
 
 def tiers(spark, sf):
-    """Datasets created one minute per event id; types decide the tier, so both grow with the data."""
+    """Datasets created one minute per event id; types decide the tier, so both grow with the data.
+
+    The store is a stored table: it is written once and the operators read it.
+    """
     first = F.get_json_object("data", "$.items[0].event_id").cast("bigint")
     created = F.timestamp_seconds(F.lit(BASE) + first % 50_000 * 60)
     ds = event_datasets(spark, sf).withColumn("created_at", created)
-    ds = ds.withColumn("expires_at", F.col("created_at") + F.make_interval(days=F.lit(30)))
+    ds = persist_reliably(ds.withColumn("expires_at", F.col("created_at") + F.make_interval(days=F.lit(30))))
     return ds.where("schema_name <> 'error'"), ds.where("schema_name <> 'click'")
 
 

@@ -43,5 +43,5 @@ def json_nodes(df: DataFrame, json_col: str, keep: list[str], *, first_element:
     deep = F.exists(levels[-1], lambda n: F.size(F.coalesce(inside(n), F.array())) > 0)
     stop = F.raise_error(F.lit(f"JSON nested deeper than {max_depth}"))
     found = F.when(deep, F.concat(levels[-1], F.transform(levels[-1], lambda n: node(
-        stop.cast("string"), n["value"])))).otherwise(F.concat(*levels))
+        stop.cast("string"), n["value"])))).otherwise(F.flatten(F.array(*levels)))
     return frame.select(*keep, F.explode(found).alias("_n")).select(*keep, "_n.path", "_n.value")
