@@ -13,8 +13,8 @@ def json_nodes(df: DataFrame, json_col: str, keep: list[str], *, first_element:
                into_lists: bool = True, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Every value inside a JSON column: ``(keep..., path, value VARIANT)``, root path empty.
 
-    Paths read ``a.b`` and ``a[].b``. A document is parsed once; each level's nodes are one array column
-    made from the level above, and a single unnest emits them all, so nothing is shuffled.
+    Paths read ``a.b`` and ``a[].b``. A document is parsed once; one expression walks it level by level
+    and a single unnest emits its nodes, so nothing is copied between levels and nothing is shuffled.
     ``first_element`` follows only the first element of a list, ``into_lists=False`` none. Documents
     nested deeper than ``max_depth`` are refused, not cut.
     """
@@ -34,14 +34,15 @@ def json_nodes(df: DataFrame, json_col: str, keep: list[str], *, first_element:
             items = F.slice(items, 1, 1)
         return F.coalesce(fields, F.transform(items, lambda x: node(F.concat(path, F.lit("[]")), x)))
 
-    levels = ["_l0"]
-    frame = parsed.select(*keep, F.array(node(F.lit(""), F.col("_v"))).alias("_l0"))
-    for depth in range(1, max_depth + 1):
-        below = F.flatten(F.filter(F.transform(levels[-1], inside), lambda x: x.isNotNull()))
-        levels.append(f"_l{depth}")
-        frame = frame.withColumn(levels[-1], below)
-    deep = F.exists(levels[-1], lambda n: F.size(F.coalesce(inside(n), F.array())) > 0)
-    stop = F.raise_error(F.lit(f"JSON nested deeper than {max_depth}"))
-    found = F.when(deep, F.concat(levels[-1], F.transform(levels[-1], lambda n: node(
-        stop.cast("string"), n["value"])))).otherwise(F.flatten(F.array(*levels)))
-    return frame.select(*keep, F.explode(found).alias("_n")).select(*keep, "_n.path", "_n.value")
+    def deeper(seen: Column, _step: Column) -> Column:
+        below = F.flatten(F.filter(F.transform(seen["front"], inside), lambda x: x.isNotNull()))
+        return F.element_at(F.transform(F.array(below), lambda found: F.struct(
+            found.alias("front"), F.flatten(F.array(seen["all"], found)).alias("all"))), 1)
+
+    root = F.array(node(F.lit(""), F.col("_v")))
+    stop = F.raise_error(F.lit(f"JSON nested deeper than {max_depth}")).cast(
+        "array<struct<path:string,value:variant>>")
+    found = F.aggregate(
+        F.sequence(F.lit(1), F.lit(max_depth + 1)), F.struct(root.alias("front"), root.alias("all")), deeper,
+        lambda seen: F.when(F.size(seen["front"]) > 0, stop).otherwise(seen["all"]))
+    return parsed.select(*keep, F.explode(found).alias("_n")).select(*keep, "_n.path", "_n.value")
