@@ -7,15 +7,13 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from suite.columns import K, dbl, padded, pick, rounded
-from suite.common import SEED, Suite, below, digest, table, u
+from suite.common import SEED, Suite, below, table, u
 from synthloom.functions import lists as L
-from synthloom.functions.draw import Draw
-from synthloom.functions import draw as D
 from synthloom.operators import link
 from synthloom.session import dense_position, keyed_position, work_dir
 from synthloom.sources import datasets as DS
 from synthloom.sources import pregen, publish as P
-from synthloom.sources.synth import Engine, envelope, synth, synth_over
+from synthloom.sources.synth import envelope, synth, synth_over
 
 suite = Suite()
 NOW = dt.datetime(2024, 2, 1, tzinfo=dt.timezone.utc)
@@ -171,10 +169,10 @@ def linked_orders(spark, sf):
                       pools={"customers": pool}, kind="portable")
 
 
-@suite.add("l2_pool_sample", f"""WITH {POOL_SQL}
+@suite.add("l2_pool_sample", f"""WITH {POOL_SQL},
+wanted AS (SELECT {K}, floor({u('pool:customers', K)}*n)::BIGINT AS i FROM orders, (SELECT count(*)::DOUBLE AS n FROM pool))
 SELECT {K}, 'ORD-'||{padded('order_ref#0.0', 6)} AS order_ref, c_custkey, c_mktsegment,
- {rounded(f'{u("amount", K)}*{dbl(495)}+{dbl(5)}', 2)} AS amount
-FROM orders JOIN idx ON i = floor({u('pool:customers', K)}*(SELECT count(*) FROM pool)::DOUBLE)::BIGINT""")
+ {rounded(f'{u("amount", K)}*{dbl(495)}+{dbl(5)}', 2)} AS amount FROM wanted JOIN idx USING (i)""")
 def pool_sample(spark, sf):
     return linked_orders(spark, sf)
 
