@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from suite.columns import dbl
 from suite.common import SEED, Suite, table, u
 from synthloom.operators import infer as I
 from synthloom.sources.synth import synth_over

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from suite import faults as FS
-from suite.columns import dbl
-from suite.common import SEED, Suite, digest, table, u
+from suite.common import SEED, Suite, digest, table
 from suite.tables import run_stream, stream_table
 from synthloom.functions.draw import Draw
 from synthloom.operators import faults as X

@@ -68,7 +68,6 @@ def check(spark, con, sf_dir, name, query, sql):
 if __name__ == "__main__":
     from pyspark.sql import SparkSession
     import os
-    import shutil
     sys.path.insert(0, "/root/repo")
     import __spark_entry__ as entry
     spark = (SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
