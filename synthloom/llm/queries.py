@@ -6,6 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from synthloom.llm.common import documents, held
 from synthloom.llm.quality import score_quality
+from synthloom.llm.toxicity import score_toxicity
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = held("doc_id", 4)
+    return score_toxicity(documents(spark, sf_dir), documents(spark, sf_dir, "labels"), rest != 2, rest == 2)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,5 +19,5 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"), rest != 0, rest == 0)
 
 
-QUERIES = {"op5_quality": op5_quality}
+QUERIES = {"op1_toxicity": op1_toxicity, "op5_quality": op5_quality}
 SQL: dict[str, str] = {}

@@ -48,3 +48,21 @@ def class_weights(y: np.ndarray, totals: dict[int, int]) -> np.ndarray:
     """Weights that give a stratified sample the class shares of all training rows."""
     have = {k: max(1, int((y == k).sum())) for k in (0, 1)}
     return np.where(y == 1, totals.get(1, 0) / have[1], totals.get(0, 0) / have[0]).astype(float)
+
+
+def noisy_platt(margin: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 30) -> tuple[float, float, float]:
+    """Slope, offset and floor of chances where some labels of 1 are wrong: floor + (1 - floor) * logistic.
+
+    Expectation-maximisation: each label of 1 is explained by its margin or by the floor.
+    """
+    slope, offset = platt(margin, y, weight)
+    if slope == 0.0:
+        return slope, offset, 0.0
+    floor, p = 0.5 * float(np.average(y, weights=weight)), None
+    p = 1 / (1 + np.exp(-np.clip(2 * slope * (margin - np.quantile(margin, 0.9)), -30, 30)))
+    for _ in range(rounds):
+        real = y * p / (p + (1 - p) * floor + 1e-12)
+        floor = float(min(0.25, (weight * (y - real)).sum() / max(1e-9, (weight * (1 - real)).sum())))
+        slope, offset = platt(margin, real, weight, 20)
+        p = 1 / (1 + np.exp(-np.clip(slope * margin + offset, -30, 30)))
+    return (slope, offset, floor) if slope > 0 else (0.0, offset, floor)
