@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from synthloom.llm.common import documents, held
+from synthloom.llm.common import documents, held, tokenizer_path
 from synthloom.llm.quality import score_quality
+from synthloom.llm.tokenshards import token_shards
 from synthloom.llm.toxicity import score_toxicity
 
+WORD_BPE = "word_bpe_49k.json"
+
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = held("doc_id", 4)
@@ -19,5 +22,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"), rest != 0, rest == 0)
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op5_quality": op5_quality}
+def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards(documents(spark, sf_dir), tokenizer_path(WORD_BPE), end_id=2)
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op5_quality": op5_quality,
+           "op8_token_shards": op8_token_shards}
 SQL: dict[str, str] = {}
