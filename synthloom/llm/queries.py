@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from synthloom.llm.common import documents, held, tokenizer_path
+from synthloom.llm.pieces import sentence_pieces
 from synthloom.llm.quality import score_quality
 from synthloom.llm.tokenshards import token_shards
 from synthloom.llm.toxicity import score_toxicity
 
 WORD_BPE = "word_bpe_49k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +28,10 @@ def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(documents(spark, sf_dir), tokenizer_path(WORD_BPE), end_id=2)
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces(documents(spark, sf_dir), tokenizer_path(PIECE_BPE))
+
+
 QUERIES = {"op1_toxicity": op1_toxicity, "op5_quality": op5_quality,
-           "op8_token_shards": op8_token_shards}
+           "op8_token_shards": op8_token_shards, "op9_pieces": op9_pieces}
 SQL: dict[str, str] = {}
