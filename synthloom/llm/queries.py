@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from synthloom.llm.common import documents, held, tokenizer_path
+from synthloom.llm.embeddings import embedding_duplicates
 from synthloom.llm.fuzzyhash import fingerprint_edits
 from synthloom.llm.pieces import sentence_pieces
 from synthloom.llm.quality import score_quality
@@ -20,6 +21,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(documents(spark, sf_dir), documents(spark, sf_dir, "labels"), rest != 2, rest == 2)
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(documents(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(documents(spark, sf_dir))
 
@@ -37,6 +42,7 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces(documents(spark, sf_dir), tokenizer_path(PIECE_BPE))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op4_fingerprints": op4_fingerprints, "op5_quality": op5_quality,
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_embedding_dedup": op2_embedding_dedup,
+           "op4_fingerprints": op4_fingerprints, "op5_quality": op5_quality,
            "op8_token_shards": op8_token_shards, "op9_pieces": op9_pieces}
 SQL: dict[str, str] = {}
