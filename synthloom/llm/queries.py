@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from synthloom.llm.common import documents, held, tokenizer_path
 from synthloom.llm.embeddings import embedding_duplicates
 from synthloom.llm.fuzzyhash import fingerprint_edits
+from synthloom.llm.minhash import near_duplicates
 from synthloom.llm.pieces import sentence_pieces
 from synthloom.llm.quality import score_quality
 from synthloom.llm.tokenshards import token_shards
@@ -34,6 +35,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"), rest != 0, rest == 0)
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), percent=85)
+
+
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(documents(spark, sf_dir), tokenizer_path(WORD_BPE), end_id=2)
 
@@ -44,5 +49,5 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_embedding_dedup": op2_embedding_dedup,
            "op4_fingerprints": op4_fingerprints, "op5_quality": op5_quality,
-           "op8_token_shards": op8_token_shards, "op9_pieces": op9_pieces}
+           "op7_minhash_dedup": op7_minhash_dedup, "op8_token_shards": op8_token_shards, "op9_pieces": op9_pieces}
 SQL: dict[str, str] = {}
