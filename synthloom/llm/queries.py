@@ -10,6 +10,7 @@ from synthloom.llm.fuzzyhash import fingerprint_edits
 from synthloom.llm.minhash import near_duplicates
 from synthloom.llm.pieces import sentence_pieces
 from synthloom.llm.quality import score_quality
+from synthloom.llm.suffixtree import suffix_tree_scores
 from synthloom.llm.tokenshards import token_shards
 from synthloom.llm.toxicity import score_toxicity
 
@@ -47,7 +48,13 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces(documents(spark, sf_dir), tokenizer_path(PIECE_BPE))
 
 
+def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = held("doc_id", 10)
+    return suffix_tree_scores(documents(spark, sf_dir), rest != 0, rest == 0)
+
+
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_embedding_dedup": op2_embedding_dedup,
            "op4_fingerprints": op4_fingerprints, "op5_quality": op5_quality,
-           "op7_minhash_dedup": op7_minhash_dedup, "op8_token_shards": op8_token_shards, "op9_pieces": op9_pieces}
+           "op7_minhash_dedup": op7_minhash_dedup, "op8_token_shards": op8_token_shards, "op9_pieces": op9_pieces,
+           "op10_suffix_tree": op10_suffix_tree}
 SQL: dict[str, str] = {}
