@@ -8,6 +8,7 @@ from synthloom.llm.common import documents, held, tokenizer_path
 from synthloom.llm.embeddings import embedding_duplicates
 from synthloom.llm.fuzzyhash import fingerprint_edits
 from synthloom.llm.minhash import near_duplicates
+from synthloom.llm.packing import pack_documents
 from synthloom.llm.pieces import sentence_pieces
 from synthloom.llm.quality import score_quality
 from synthloom.llm.suffixtree import suffix_tree_scores
@@ -36,6 +37,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"), rest != 0, rest == 0)
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), tokenizer_path(WORD_BPE), length=2048, end_id=1)
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), percent=85)
 
@@ -55,6 +60,6 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_embedding_dedup": op2_embedding_dedup,
            "op4_fingerprints": op4_fingerprints, "op5_quality": op5_quality,
-           "op7_minhash_dedup": op7_minhash_dedup, "op8_token_shards": op8_token_shards, "op9_pieces": op9_pieces,
+           "op6_packing": op6_packing, "op7_minhash_dedup": op7_minhash_dedup, "op8_token_shards": op8_token_shards, "op9_pieces": op9_pieces,
            "op10_suffix_tree": op10_suffix_tree}
 SQL: dict[str, str] = {}
