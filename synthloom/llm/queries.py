@@ -12,6 +12,7 @@ from synthloom.llm.packing import pack_documents
 from synthloom.llm.pieces import sentence_pieces
 from synthloom.llm.quality import score_quality
 from synthloom.llm.suffixtree import suffix_tree_scores
+from synthloom.llm.suffixes import suffix_dedup
 from synthloom.llm.tokenshards import token_shards
 from synthloom.llm.toxicity import score_toxicity
 
@@ -28,6 +29,10 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_duplicates(documents(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(documents(spark, sf_dir), length=50)
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(documents(spark, sf_dir))
 
@@ -59,7 +64,7 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_embedding_dedup": op2_embedding_dedup,
-           "op4_fingerprints": op4_fingerprints, "op5_quality": op5_quality,
+           "op3_suffix_dedup": op3_suffix_dedup, "op4_fingerprints": op4_fingerprints, "op5_quality": op5_quality,
            "op6_packing": op6_packing, "op7_minhash_dedup": op7_minhash_dedup, "op8_token_shards": op8_token_shards, "op9_pieces": op9_pieces,
            "op10_suffix_tree": op10_suffix_tree}
 SQL: dict[str, str] = {}
