@@ -19,7 +19,7 @@ from synthloom.llm.components import connected_components
 
 WORDS = 5
 TABLES, WIDTH = 7, 2          # at similarity 0.85 a linked pair shares no key with a chance of 0.00025
-SKETCH_BITS, LEAST_EQUAL = 4, 15  # of 28 minhashes; a pair at 0.85 has fewer equal ones once in a million
+SKETCH_BITS = 4               # bits of each minhash that candidates are compared by
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[list[np.ndarray]]:
@@ -113,13 +113,19 @@ def signed(docs: DataFrame, id_col: str, text_col: str, words: int, tables: int,
     return rows.mapInArrow(run, f"doc_id long, n_shingles long, name1 long, name2 long, {sk}, keys array<long>")
 
 
+def least_equal(percent: int, count: int) -> int:
+    """Equal sketch parts that a linked pair has but for a chance of about one in a million (five deviations)."""
+    same = percent / 100 + (1 - percent / 100) / (1 << SKETCH_BITS)
+    return max(0, int(count * same - 5 * (count * same * (1 - same)) ** 0.5))
+
+
 def _alike(a: str, b: str, percent: int, count: int):
     """Sizes and sketches that a linked pair has."""
     differ = F.lit(0).cast("long")
     for k in range(SKETCH_BITS):
         differ = differ.bitwiseOR(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}")))
     x, y = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
-    return (F.bit_count(differ) <= count - LEAST_EQUAL) & (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
+    return (F.bit_count(differ) <= count - least_equal(percent, count)) & (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

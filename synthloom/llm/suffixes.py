@@ -26,7 +26,6 @@ ANCHOR = 24                       # bytes of an anchor
 PERIOD, COVER = 16, (0, 1, 2, 4, 8)  # every distance modulo 16 is a difference of two members
 WIDE = 4096                       # an anchor in more documents has its suffixes dealt out one by one
 BLOCK = 4 << 20                   # bytes of slices sorted at once; one bucket may be larger
-PARTS_PER_TASK = 1
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -393,22 +392,17 @@ def removed_runs(needed: DataFrame, length: int) -> DataFrame:
         marks, "doc_id long, digest long, start long, bits long").where("bits <> 0")
 
 
-def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text",
-                 texts: bool = False) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept text bytes).
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+                       ).withColumn("digest", F.xxhash64("text"))
 
-    Each byte covered by a string of ``length`` bytes that also starts in a document with a smaller id is
-    removed; matches never cross documents and are judged on the input. A null text is empty. Rows of one id
-    do not remove from each other; a row without an id keeps all and removes nothing.
-    """
+
+def changed_texts(rows: DataFrame, length: int) -> DataFrame:
+    """(doc_id, digest, removed, spans, sha, kept) of the rows (doc_id, text, digest) that lose bytes."""
     if not ANCHOR + 1 <= length <= ANCHOR + 60:
         raise ValueError(f"length must lie between {ANCHOR + 1} and {ANCHOR + 60}")
-    spark = docs.sparkSession
-    set_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
-                       ).withColumn("digest", F.xxhash64("text"))
     usable = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
-    anchors = stored(repeated_anchors(usable, length, tasks_of(spark) * PARTS_PER_TASK), "anchors")
+    anchors = stored(repeated_anchors(usable, length, tasks_of(rows.sparkSession)), "anchors")
     lists = anchors.groupBy("doc_id", "digest").agg(F.collect_list("anchors").alias("anchors"), F.collect_list("wide").alias("wide"))
     needed = stored(usable.join(lists, ["doc_id", "digest"]), "repeats")
     spans = removed_runs(needed, length).groupBy("doc_id", "digest").agg(F.collect_set(F.struct("start", "bits")).alias("runs"))
@@ -430,16 +424,51 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
                 removed.append(int(gone.sum()))
                 spans_.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
                 digests.append(hashlib.sha256(rest).hexdigest())
-                kept.append(rest if texts else None)
+                kept.append(rest)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("digest"), pa.array(removed, pa.int64()), pa.array(spans_, pa.int64()),
                  pa.array(digests, pa.string()), pa.array(kept, pa.binary())],
                 ["doc_id", "digest", "removed", "spans", "sha", "kept"])
 
-    changed = needed.dropDuplicates(["doc_id", "digest"]).select("doc_id", "digest", "text").join(spans, ["doc_id", "digest"]).mapInArrow(
-        cut, "doc_id long, digest long, removed long, spans long, sha string, kept binary")
-    out = rows.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("own"),
-                      *([F.col("text")] if texts else [])).join(changed, ["doc_id", "digest"], "left")
-    return out.select("doc_id", "n_bytes", F.coalesce("removed", F.lit(0)).cast("long").alias("n_removed"),
-                      F.coalesce("spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("sha", "own").alias("kept_sha256"),
-                      *([F.coalesce("kept", F.col("text").cast("binary")).alias("kept")] if texts else []))
+    return needed.dropDuplicates(["doc_id", "digest"]).select("doc_id", "digest", "text").join(
+        spans, ["doc_id", "digest"]).mapInArrow(cut, "doc_id long, digest long, removed long, spans long, sha string, kept binary")
+
+
+def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+
+    Each byte covered by a string of ``length`` bytes that also starts in a document with a smaller id is
+    removed; matches never cross documents and are judged on the input. A null text is empty. Rows of one id
+    do not remove from each other; a row without an id keeps all and removes nothing.
+    """
+    set_batches(docs.sparkSession)
+    rows = _keyed(docs, id_col, text_col)
+    changed = changed_texts(rows, length).drop("kept")
+    own = rows.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("own"))
+    return own.join(changed, ["doc_id", "digest"], "left").select(
+        "doc_id", "n_bytes", F.coalesce("removed", F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("sha", "own").alias("kept_sha256"))
+
+
+def strip_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text",
+                  chars_col: str | None = "n_chars") -> DataFrame:
+    """``docs`` with the bytes removed that ``suffix_dedup`` removes; all other columns stay.
+
+    Characters that are cut through go as a whole. ``chars_col``, where it is a column, is counted anew for
+    changed texts. Null texts stay null.
+    """
+    set_batches(docs.sparkSession)
+    changed = changed_texts(_keyed(docs, id_col, text_col), length)
+
+    @F.arrow_udf("string")
+    def valid(kept: pa.Array) -> pa.Array:
+        return pa.array([None if k is None else k.decode("utf-8", "ignore") for k in kept.to_pylist()], pa.string())
+
+    new = changed.select(F.col("doc_id").alias("_dedup_id"), F.col("digest").alias("_dedup_digest"), valid("kept").alias("_dedup_text"))
+    joined = docs.join(new, (docs[id_col].cast("long") == new["_dedup_id"])
+                       & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == new["_dedup_digest"]), "left")
+    replaced = {text_col: F.coalesce("_dedup_text", F.col(text_col))}
+    if chars_col in docs.columns:
+        kind = dict(docs.dtypes)[chars_col]
+        replaced[chars_col] = F.when(F.col("_dedup_text").isNotNull(), F.length("_dedup_text").cast(kind)).otherwise(F.col(chars_col))
+    return joined.select(*[replaced[c].alias(c) if c in replaced else F.col(c) for c in docs.columns])
