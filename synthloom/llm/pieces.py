@@ -136,6 +136,7 @@ class PieceEncoder:
                 codes = np.concatenate(rows)
                 offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
                 chunks = list(place)
+            self.known.trim()
             ids, at = self.known.gather(self.known.lookup(chunks, self._chunks)[codes])
             ends = at[offsets]
             marks = np.stack([ends[:-1], ends[1:]], 1).ravel()

@@ -19,7 +19,7 @@ from synthloom.llm.common import split_words, text_slices
 TAIL = ".,;:!?%&$*#)"               # trailing signs that are always split from a letter before them
 PLAIN = re.compile("[a-zß-öø-ÿ]+")  # lower-case letters that no normalisation changes
 SPECIAL = "<|"
-REMEMBERED = 300_000                 # words kept per worker
+REMEMBERED = 400_000                 # words kept per worker
 
 
 def _byte_names() -> dict[int, str]:
@@ -29,6 +29,15 @@ def _byte_names() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def take_runs(values: np.ndarray, start: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Concatenate runs ``start[p]:start[p + 1]`` of ``values``; also returns where each run begins."""
+    first = start[places]
+    sizes = start[places + 1] - first
+    at = np.zeros(len(places) + 1, np.int64)
+    np.cumsum(sizes, out=at[1:])
+    return values[np.repeat(first - at[:-1], sizes) + np.arange(at[-1])], at
+
+
 class Ragged:
     """Remembered words and their ids: each word has a place in one growing array."""
 
@@ -40,6 +49,11 @@ class Ragged:
         self.place: dict[str, int] = {}
         self.start, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
+    def trim(self) -> None:
+        """Forget everything when too much is held; places found before are no longer valid."""
+        if len(self.place) > self.limit:
+            self.clear()
+
     def add(self, words: list[str], ids: list[list[int]]) -> None:
         base = len(self.place)
         self.place.update(zip(words, range(base, base + len(words))))
@@ -50,8 +64,6 @@ class Ragged:
 
     def lookup(self, words: list[str], encode) -> np.ndarray:
         """Places of ``words``; those not remembered are encoded first."""
-        if len(self.place) > self.limit:
-            self.clear()
         get = self.place.get
         new = [w for w in words if get(w) is None]
         if new:
@@ -60,11 +72,7 @@ class Ragged:
 
     def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all places in order, where each place's ids begin)."""
-        first = self.start[places]
-        sizes = self.start[places + 1] - first
-        at = np.zeros(len(places) + 1, np.int64)
-        np.cumsum(sizes, out=at[1:])
-        return self.ids[np.repeat(first - at[:-1], sizes) + np.arange(at[-1])], at
+        return take_runs(self.ids, self.start, places)
 
 
 class WordEncoder:
@@ -72,14 +80,16 @@ class WordEncoder:
         from tokenizers import Tokenizer
         self.whole = Tokenizer.from_file(path)
         self.names = _byte_names()
-        self.known, self.cores = Ragged(), Ragged()
+        self.cores = Ragged()
 
     def _core(self, words: list[str]) -> list[list[int]]:
         out: list = [None] * len(words)
         rest = []
         names, model = self.names, self.whole.model
         for i, w in enumerate(words):
-            if PLAIN.fullmatch(w):
+            if not w:
+                out[i] = []
+            elif PLAIN.fullmatch(w):
                 shown = w if w.isascii() else "".join([names[b] for b in w.encode()])
                 out[i] = [t.id for t in model.tokenize(shown)]
             else:
@@ -88,19 +98,36 @@ class WordEncoder:
             out[i] = e.ids
         return out
 
-    def _words(self, words: list[str]) -> list[list[int]]:
-        cores = [w.rstrip(TAIL) for w in words]
-        tails = [w[len(c):] for w, c in zip(words, cores)]
-        # a sign belongs to the run of signs before it, so only what follows a letter may be cut off
-        parts = [(c, t) if t and c and c[-1].lower()[-1].isalpha() else (w, "") for w, c, t in zip(words, cores, tails)]
-        distinct = list(dict.fromkeys(p for pair in parts for p in pair if p))
-        if len(self.cores.place) + len(distinct) > self.cores.limit:
-            self.cores.clear()
-        places = dict(zip(distinct, self.cores.lookup(distinct, self._core).tolist()))
-        start, ids = self.cores.start, self.cores.ids
-        own = {p: ids[start[k]:start[k + 1]].tolist() for p, k in places.items()}
-        own[""] = []
-        return [own[c] + own[t] for c, t in parts]
+    @staticmethod
+    def _cut(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Words without their trailing signs, and these signs; where nothing may be cut off, the sign part is empty."""
+        cores = pc.ascii_rtrim(words, characters=TAIL)
+        whole = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        kept = pc.binary_length(cores).to_numpy(zero_copy_only=False).astype(np.int64)
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+        first = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words)].astype(np.int64)
+        last = data[np.maximum(first + kept - 1, 0)] if len(data) else np.zeros(len(words), np.uint8)
+        # a sign belongs to the run of signs before it, so only what follows a letter or a digit is cut off
+        simple = (last >= 97) & (last <= 122) | (last >= 65) & (last <= 90) | (last >= 48) & (last <= 57)
+        cut = (whole > kept) & (kept > 0) & simple
+        ask = np.flatnonzero((whole > kept) & (kept > 0) & (last >= 128))
+        cut[ask] = [c[-1].lower()[-1].isalpha() for c in cores.take(pa.array(ask)).to_pylist()]
+        size = np.where(cut, whole - kept, 0)
+        at = np.concatenate([[0], np.cumsum(size)])
+        signs = data[np.repeat(first + kept - at[:-1], size) + np.arange(at[-1])]
+        tails = pa.StringArray.from_buffers(len(words), pa.py_buffer(at.astype(np.int32)), pa.py_buffer(signs))
+        return pc.if_else(pa.array(cut), cores, words), tails
+
+    def _word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all distinct words, where each begins)."""
+        both = []
+        coded = [c.dictionary_encode() for c in self._cut(words)]
+        parts = [c.dictionary.to_pylist() for c in coded]
+        self.cores.trim()
+        for c, own in zip(coded, parts):
+            both.append(self.cores.lookup(own, self._core)[c.indices.to_numpy(zero_copy_only=False)])
+        ids, at = self.cores.gather(np.stack(both, 1).ravel())
+        return ids, at[::2]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of all texts of an Arrow column; null is empty."""
@@ -110,7 +137,7 @@ class WordEncoder:
             plain = pc.if_else(pa.array(marked), "", part) if marked.any() else part
             offsets, codes, words = split_words(plain)
             if len(codes):
-                ids, at = self.known.gather(self.known.lookup(words.to_pylist(), self._words)[codes])
+                ids, at = take_runs(*self._word_ids(words), codes)
                 ends = at[offsets]
             else:
                 ids, ends = np.zeros(0, np.uint32), np.zeros(len(part) + 1, np.int64)
