@@ -8,6 +8,7 @@ other class counts little in that pass.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +25,11 @@ from synthloom.llm.sample import class_weights, labelled_sample, noisy_platt
 WIDTH, STRIDE = 32, 24
 
 
+def bare(words: pa.Array) -> pa.Array:
+    """Words without signs at their ends; the characters are read with them."""
+    return pc.ascii_trim(words, characters=string.punctuation)
+
+
 def pieces(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """Words of texts with long words cut: (offsets, codes, words, code points, starts, lengths)."""
     offsets, codes, words = split_words(texts)
@@ -69,7 +75,7 @@ class ToxicityModel:
         """Rows of the word table; pieces of long words, which follow the words, are read by characters only."""
         if len(self.vocabulary) == 0:
             return np.zeros(total, np.int64)
-        h = hashes(words)
+        h = hashes(bare(words))
         at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
         found = np.where(self.vocabulary[at] == h, at + 1, 0)
         return np.concatenate([found, np.zeros(total - len(found), np.int64)])
@@ -93,7 +99,7 @@ class ToxicityModel:
 
 
 def fit_windows(texts: list[str], y: np.ndarray, totals: dict[int, int] | None = None, seed: int = 7,
-                epochs: int = 4, rate: float = 0.01, batch: int = 96, word_dropout: float = 0.25) -> ToxicityModel:
+                epochs: int = 4, rate: float = 0.01, batch: int = 96, steps: int = 160, word_dropout: float = 0.25) -> ToxicityModel:
     """Fit on whole texts with labels 0 and 1; a quarter of the texts is left out to fit the chances."""
     y = np.asarray(y, int)
     weight = class_weights(y, totals or {0: int((y == 0).sum()), 1: int((y == 1).sum())})
@@ -104,11 +110,13 @@ def fit_windows(texts: list[str], y: np.ndarray, totals: dict[int, int] | None =
     column = pa.array(texts, pa.string())
     offsets, codes, words, points, starts, lengths = pieces(column)
     doc = np.repeat(np.arange(len(y)), np.diff(offsets))
-    seen = np.unique(np.stack([codes, doc], 1), axis=0) if len(codes) else np.zeros((0, 2), np.int64)
+    names = bare(words).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    names = np.concatenate([names, len(words) + np.arange(len(lengths) - len(words))])
+    seen = np.unique(np.stack([names[codes], doc], 1), axis=0) if len(codes) else np.zeros((0, 2), np.int64)
     seen = seen[fit[seen[:, 1]]]
-    by = {k: np.bincount(seen[y[seen[:, 1]] == k, 0], minlength=len(lengths)) for k in (0, 1)}
+    by = {k: np.bincount(seen[y[seen[:, 1]] == k, 0], minlength=len(lengths))[names] for k in (0, 1)}
     known = np.flatnonzero((by[0] + by[1] >= 3)[:len(words)])
-    vocabulary = np.unique(hashes(words)[known])
+    vocabulary = np.unique(hashes(bare(words))[known])
     p = parameters(len(vocabulary) + 1, seed)
     model = ToxicityModel(p, vocabulary, 1.0, 0.0)
     ids = model.word_ids(words, len(lengths))
@@ -124,9 +132,11 @@ def fit_windows(texts: list[str], y: np.ndarray, totals: dict[int, int] | None =
     bounds = np.searchsorted(text, np.arange(len(y) + 1))
     optimiser, net = Adam(p, rate, 1e-4), Network(p)
     t = np.arange(WIDTH)[:, None]
+    batch = int(np.clip(2 * fit.sum() // 40, 16, batch))
+    epochs = max(epochs, -(-steps * batch // max(1, 2 * int(fit.sum()))))  # few texts are passed over more often
     for epoch in range(epochs):
         picked = []
-        if epoch < 2:
+        if epoch < epochs / 2:
             logit = logit + evidence
         best = np.maximum.reduceat(logit, bounds[:-1])
         usual = np.quantile(best[fit & (y == 0)], 0.99) if (fit & (y == 0)).any() else -np.inf
@@ -159,7 +169,7 @@ def fit_windows(texts: list[str], y: np.ndarray, totals: dict[int, int] | None =
         f, b = scorer.words(ids, points, starts, lengths)
         logit = scorer.windows(f, b, codes, first, end, WIDTH)
     margin = np.maximum.reduceat(logit, bounds[:-1]).astype(np.float64)
-    left = ~fit if (~fit).sum() >= 20 and len(set(y[~fit])) == 2 else np.ones(len(y), bool)
+    left = ~fit if y[~fit].sum() >= 30 else np.ones(len(y), bool)  # few toxic texts: all of them count
     model.slope, model.offset, model.floor = noisy_platt(margin[left], y[left], weight[left])
     return model
 
