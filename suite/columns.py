@@ -88,13 +88,13 @@ def ch(i: int, alphabet: str) -> str:
     return f"substr('{alphabet}', {below(f'code#r{i}', K, len(alphabet))}+1, 1)"
 
 
-register("g6_regex", {"code": {"type": "string", "regex": "^[A-Z]{3}[0-9]{3}(-[a-f]{1,2})?$"}},
-         {"code": "||".join([ch(0, ALPHA), ch(1, ALPHA), ch(2, ALPHA)] +
-                            [ch(i, "0123456789") for i in (3, 4, 5)]) +
-          f"||CASE WHEN {below('code#r6', K, 2)} > 0 THEN '-'||{ch(7, 'abcdef')}||"
+register("g6_regex", {"code": {"type": "string", "regex": "^[A-Z]{2}[0-9]{4}(/[a-f]{1,2})?$"}},
+         {"code": "||".join([ch(0, ALPHA), ch(1, ALPHA)] +
+                            [ch(i, "0123456789") for i in (2, 3, 4, 5)]) +
+          f"||CASE WHEN {below('code#r6', K, 2)} > 0 THEN '/'||{ch(7, 'abcdef')}||"
           f"CASE WHEN {below('code#r8', K, 2)} > 0 THEN {ch(9, 'abcdef')} ELSE '' END ELSE '' END",
           "valid": "true"},
-         lambda: [F.col("code"), F.col("code").rlike("^[A-Z]{3}[0-9]{3}(-[a-f]{1,2})?$").alias("valid")])
+         lambda: [F.col("code"), F.col("code").rlike("^[A-Z]{2}[0-9]{4}(/[a-f]{1,2})?$").alias("valid")])
 
 H = digest("uid#uuid", K)
 register("g7_provider",
@@ -175,15 +175,15 @@ register("g13_datetime_depends_on",
          {"at": moment("at", START_US, END_US),
           "event_date": shown(moment("at", START_US, END_US), "%Y%m%d")})
 
-SEQ = f"(1732378800000000+({K}+1)*1000000)"
+SEQ = f"(1700000000000000+({K}+1)*1000000)"
 register("g14_stateful_timestamp",
-         {"tick": {"type": "stateful_timestamp", "start": 1732378800000000, "increment": 1000000},
-          "capped": {"type": "stateful_timestamp", "start": 1732378800000000, "increment": 1000000,
+         {"tick": {"type": "stateful_timestamp", "start": 1700000000000000, "increment": 1000000},
+          "capped": {"type": "stateful_timestamp", "start": 1700000000000000, "increment": 1000000,
                      "end": 1732380000000000}},
          {"tick": SEQ, "capped": f"least({SEQ}, 1732380000000000)"})
 
 register("g15_stateful_datetime",
-         {"tick": {"type": "stateful_datetime", "start": 1732378800000000, "increment": 1000000,
+         {"tick": {"type": "stateful_datetime", "start": 1700000000000000, "increment": 1000000,
                    "format": "%Y-%m-%dT%H:%M:%S", "tz": "-02:30"}},
          {"tick": shown(SEQ + "-9000000000", "%Y-%m-%dT%H:%M:%S")})
 
@@ -236,20 +236,20 @@ register("n6_string_or_null",
          {"city": f"CASE WHEN {u('city#null', K)} >= {dbl(.25)} THEN {pick(L.CITIES, 'city.?#city')} END",
           "even": f"CASE WHEN {u('even#null', K)} >= {dbl(.5)} THEN {pick(L.STATES, 'even.?#state')} END"})
 
-MIX = f"{u('mix#pick', K)}*{dbl(5)}"
+MIX = f"{u('mix#pick', K)}*{dbl(8)}"
 register("n7_one_of",
          {"name": {"type": "one_of", "choices": [
              {"type": "string", "template": "page_view"}, {"type": "string", "template": "scroll"},
              {"type": "string", "template": "v{n}", "n_type": "numeric"}]},
-          "mix": {"type": "one_of", "weights": [2, 3], "choices": [
-              {"type": "int", "min": 10, "max": 20},
-              {"type": "string", "template": "choice-{nn}", "n_type": "numeric"}]},
+          "mix": {"type": "one_of", "weights": [3, 5], "choices": [
+              {"type": "int", "min": 40, "max": 55},
+              {"type": "string", "template": "lot {nn}", "n_type": "numeric"}]},
           "val": {"type": "one_of", "choices": [
               {"type": "object", "fields": {"i": "int"}}, {"type": "object", "fields": {"b": "bool"}}]}},
          {"name": f"CASE {below('name#pick', K, 3)} WHEN 0 THEN 'page_view' WHEN 1 THEN 'scroll' "
                   f"ELSE 'v'||{padded('name|2#0.0', 1)} END",
-          "mix": f"CASE WHEN {MIX} <= {dbl(2)} THEN (10+{below('mix|0', K, 11)})::VARCHAR "
-                 f"ELSE '\"choice-'||{padded('mix|1#0.0', 2)}||'\"' END",
+          "mix": f"CASE WHEN {MIX} <= {dbl(3)} THEN (40+{below('mix|0', K, 16)})::VARCHAR "
+                 f"ELSE '\"lot '||{padded('mix|1#0.0', 2)}||'\"' END",
           "i": f"CASE WHEN {below('val#pick', K, 2)} = 0 THEN {below('val|0.i', K, 101)} END",
           "b": f"CASE WHEN {below('val#pick', K, 2)} = 1 THEN {u('val|1.b', K)} < {dbl(.5)} END"},
          lambda: [F.col("name"), F.to_json("mix").alias("mix"), F.col("val.i").alias("i"), F.col("val.b").alias("b")])

@@ -20,26 +20,22 @@ ORDERS = {"type": "object", "fields": ORDER_FIELDS}
 COLS = list(ORDER_FIELDS)
 
 
-def node_sql(name: str, node: dict, path: str | None = None) -> str:
-    path = path or name
-    if node["type"] == "maybe":
-        return f"CASE WHEN {u(path + '#null', K)} >= {dbl(node['p_null'])} THEN {node_sql(name, node['child'], path + '.?')} END"
-    if node["type"] == "int":
-        count = (node["max"] - node["min"]) // node["step"] + 1
-        return f"{node['min']}+{below(path, K, count)}*{node['step']}"
-    if node["type"] == "float":
-        x = f"{u(path, K)}*{dbl(float(node['max']) - float(node['min']))}+{dbl(node['min'])}"
-        return rounded(x, node["precision"]) if node.get("precision") is not None else x
-    if node["type"] == "bool":
-        return f"{u(path, K)} < {dbl(node['p_true'])}"
-    return pick(L.WORDS, path + "#word")
-
-
-ADDED, _ = P.drift_schema(ORDERS, seed=11, kinds=("add_field",), steps=3)
-NEW = {k: v for k, v in ADDED["fields"].items() if k not in ORDER_FIELDS}
-
-
-@suite.add("v1_add_field", f"SELECT {', '.join(COLS)}, {', '.join(f'{node_sql(k, v)} AS {k}' for k, v in NEW.items())} FROM orders")
+def draw_sql(seed: int, *place: object) -> str:
+    """The draw of a place of a drift plan, computed by the SQL side itself."""
+    text = "|".join(map(str, (seed, *place)))
+    return f"(('0x'||substr(md5('{text}'),1,13))::BIGINT/4503599627370496.0::DOUBLE)"
+
+
+def inside_sql(lo: float, hi: float, seed: int, *place: object) -> str:
+    return f"({dbl(float(lo))}+{draw_sql(seed, *place)}*{dbl(float(hi) - float(lo))})"
+
+
+# One template only, so that the SQL can say what a new field holds; its name is all that is read from the plan.
+ADDED = P.plan_structure(ORDERS, 11, ("add",), 3, templates={"count": {"type": "int", "min": 20, "max": 59}})
+NEW = {e.path[0]: e.value for e in ADDED}
+
+
+@suite.add("v1_add_field", f"SELECT {', '.join(COLS)}, {', '.join(f'20+{below(k, K, 40)} AS {k}' for k in NEW)} FROM orders")
 def add_field(spark, sf):
     df = table(spark, sf, "orders").select(*COLS)
     for name, node in NEW.items():
@@ -47,22 +43,21 @@ def add_field(spark, sf):
     return df
 
 
-DROPPED, _ = P.drift_schema(ORDERS, seed=3, kinds=("drop_field",), steps=2, skip_fields=(K,))
-LEFT = list(DROPPED["fields"])
+DROPPED = [e.path[0] for e in P.plan_structure(ORDERS, 3, ("drop",), 2, keep=(K,))]
+LEFT = [c for c in COLS if c not in DROPPED]
 
 
 @suite.add("v2_drop_field", f"SELECT {', '.join(LEFT)}, strftime(o_orderdate, '%Y') AS year FROM orders")
 def drop_field(spark, sf):
     day = F.struct(F.date_format("o_orderdate", "yyyy").alias("year"), F.col("o_orderdate").alias("full"))
     df = table(spark, sf, "orders").withColumn("day", day).select(*COLS, "day")
-    for name in (c for c in COLS if c not in LEFT):
+    for name in DROPPED:
         df = V.drop_field(df, name)
     return V.drop_field(df, "day.full").select(*LEFT, "day.year")
 
 
-RENAMED, _ = P.drift_schema(ORDERS, seed=5, kinds=("rename_field",), skip_fields=(K,))
-OLD = next(c for c in COLS if c not in RENAMED["fields"])
-NEWNAME = next(c for c in RENAMED["fields"] if c not in COLS)
+RENAME = P.plan_structure(ORDERS, 5, ("rename",), keep=(K,))[0]
+OLD, NEWNAME = RENAME.path[0], RENAME.value
 
 
 @suite.add("v3_rename_field", f"SELECT {', '.join(c for c in COLS if c != OLD)}, {OLD} AS {NEWNAME} FROM orders")
@@ -78,26 +73,33 @@ def flatten_object(spark, sf):
 
 NUM = {"type": "object", "fields": {"qty": {"type": "int", "min": 1, "max": 100, "step": 3},
                                     "price": {"type": "float", "min": 5, "max": 500, "precision": 2}}}
-NUM2, _ = P.drift_data(NUM, seed=1, config={"int": {"offset_abs": [10, 40], "step_delta": 2}, "float": {"offset_ratio": 0.4}})
-SHIFT = NUM2["fields"]["qty"]["min"] - 1
+NUM2 = P.apply_edits(NUM, P.plan_values(NUM, 1, {"int": {"shift": (10, 40), "step": (-2, 2)}, "float": {"share": (-0.4, 0.4)}}))
+_BY, _STEP = f"round_even({inside_sql(10, 40, 1, 'qty', 'shift')}, 0)", f"greatest(1, 3+round_even({inside_sql(-2, 2, 1, 'qty', 'step')}, 0))"
+_PRICE = f"{u('price', K)}*495.0::DOUBLE+(5.0::DOUBLE+495.0::DOUBLE*{inside_sql(-0.4, 0.4, 1, 'price', 'shift')})"
 
 
-@suite.add("v5_drift_numeric", f"""SELECT {K}, {node_sql('qty', NUM2['fields']['qty'])} AS qty,
- {node_sql('price', NUM2['fields']['price'])} AS price, o_custkey+{SHIFT} AS shifted FROM orders""")
+@suite.add("v5_drift_numeric", f"""WITH m AS (SELECT {_BY}::BIGINT AS d, {_STEP}::BIGINT AS s)
+SELECT {K}, 1+d+floor({u('qty', K)}*(99//s+1)::DOUBLE)::BIGINT*s AS qty, {rounded(_PRICE, 2)} AS price, o_custkey+17 AS shifted FROM orders, m""")
 def drift_numeric(spark, sf):
     made = over_orders(spark, sf, NUM2["fields"])
-    moved = V.shift_numeric(table(spark, sf, "orders").select(K, F.col("o_custkey").alias("shifted")), "shifted", SHIFT)
+    moved = V.shift_numeric(table(spark, sf, "orders").select(K, F.col("o_custkey").alias("shifted")), "shifted", 17)
     return made.join(moved, K)
 
 
 TIME = {"type": "object", "fields": {"at": {"type": "timestamp", "start": "2024-01-01T00:00:00+00:00", "end": "2026-01-01T00:00:00+00:00"},
                                      "day": DAY_TEXT}}
-TIME2, _ = P.drift_data(TIME, seed=2, config={"timestamp": {"offset_abs": [-86400, 86400]}, "datetime": {"offset_ratio": 0.2}})
-_AT, _DAY = TIME2["fields"]["at"], TIME2["fields"]["day"]
+TIME2 = P.apply_edits(TIME, P.plan_values(TIME, 2, {"timestamp": {"shift": (-86400, 86400)}, "datetime": {"share": (-0.2, 0.2)}}))
+_FROM, _TO = (to_micros(TIME["fields"]["at"][k]) for k in ("start", "end"))
+_DAYS = [to_micros(DAY_TEXT[k]) for k in ("start", "end")]
+
 
+def moved_sql(path: str, lo: int, hi: int, seconds: str) -> str:
+    """The moment drawn from a window that has moved; moving both ends moves the moment."""
+    return f"({moment(path, lo, hi)}+round_even({seconds}*1000000::DOUBLE, 0)::BIGINT)"
 
-@suite.add("v6_drift_time", f"""SELECT {K}, {moment('at', to_micros(_AT['start']), to_micros(_AT['end']))} AS at_us,
- strftime(make_timestamp({moment('day', to_micros(_DAY['start']), to_micros(_DAY['end']))}), '%Y%m%d') AS day,
+
+@suite.add("v6_drift_time", f"""SELECT {K}, {moved_sql('at', _FROM, _TO, inside_sql(-86400, 86400, 2, 'at', 'shift'))} AS at_us,
+ strftime(make_timestamp({moved_sql('day', *_DAYS, f"({dbl((_DAYS[1] - _DAYS[0]) / 1e6)}*{inside_sql(-0.2, 0.2, 2, 'day', 'shift')})")}), '%Y%m%d') AS day,
  epoch_us(o_orderdate)-3600000000 AS moved_us FROM orders""")
 def drift_time(spark, sf):
     made = over_orders(spark, sf, TIME2["fields"]).withColumnRenamed("at", "at_us")
@@ -108,36 +110,31 @@ def drift_time(spark, sf):
 WEIGHTS = {"type": "object", "fields": {
     "tier": {"type": "enum", "values": ["free", "pro", "enterprise"], "weights": [60, 30, 10]},
     "one": {"type": "one_of", "weights": [1, 3], "choices": [{"type": "string", "template": "a"}, {"type": "string", "template": "b"}]}}}
-MOVED, _ = P.drift_data(WEIGHTS, seed=4, config={"enum": {"weight_delta": [0.2, 0.3]}, "one_of": {"weight_delta": 0.2}})
-FORCED, _ = P.drift_data(WEIGHTS, seed=4, config={"enum": {"force_weight": True}}, fields=["tier"])
-
-
-def weighted(path: str, values: list[str], weights: list[float]) -> str:
-    total, acc, out = dbl(float(sum(weights))), 0.0, "CASE"
-    for v, w in list(zip(values, weights))[:-1]:
-        acc += w
-        out += f" WHEN {u(path, K)}*{total} <= {dbl(acc)} THEN '{v}'"
-    return out + f" ELSE '{values[-1]}' END"
-
-
-def _tier(spec):
-    f = spec["fields"]["tier"]
-    return weighted("tier", f["values"], [float(w) for w in f["weights"]])
-
-
-@suite.add("v7_drift_weights", f"""SELECT {K}, {_tier(MOVED)} AS tier, {_tier(FORCED)} AS forced,
- {weighted('one#pick', ['a', 'b'], MOVED['fields']['one']['weights'])} AS one FROM orders""")
+MOVED = P.apply_edits(WEIGHTS, P.plan_values(WEIGHTS, 4, {"enum": {"order": False, "only": True}, "one_of": {"move": (0.1, 0.2)}}))
+SHUFFLED = P.apply_edits(WEIGHTS, P.plan_values(WEIGHTS, 4, {"enum": {"move": (0.0, 0.0)}}, fields=["tier"]))
+_ONE = inside_sql(0.1, 0.2, 4, "one", "move")  # goes to one of the two choices, from the other
+_A_SHARE = f"round(CASE WHEN {draw_sql(4, 'one', 'to')} < 0.5 THEN 0.25+{_ONE} ELSE 0.25-{_ONE} END, 4)"
+
+
+@suite.add("v7_drift_weights", f"""
+WITH o AS (SELECT v, w, row_number() OVER (ORDER BY d) AS r FROM (VALUES ('free', 0.6, {draw_sql(4, 'tier', 'order', 0)}),
+ ('pro', 0.3, {draw_sql(4, 'tier', 'order', 1)}), ('enterprise', 0.1, {draw_sql(4, 'tier', 'order', 2)})) t(v, w, d)),
+c AS (SELECT list(v ORDER BY r) AS v, list(w ORDER BY r) AS w FROM o)
+SELECT {K}, ['free','pro','enterprise'][1+floor({draw_sql(4, 'tier', 'to')}*3)::BIGINT] AS tier,
+ CASE WHEN {u('tier', K)} <= w[1] THEN v[1] WHEN {u('tier', K)} <= w[1]+w[2] THEN v[2] ELSE v[3] END AS shuffled,
+ CASE WHEN {u('one#pick', K)} <= {_A_SHARE} THEN 'a' ELSE 'b' END AS one FROM orders, c""")
 def drift_weights(spark, sf):
-    forced = over_orders(spark, sf, {"tier": FORCED["fields"]["tier"]}).withColumnRenamed("tier", "forced")
-    return over_orders(spark, sf, MOVED["fields"]).join(forced, K)
+    shuffled = over_orders(spark, sf, {"tier": SHUFFLED["fields"]["tier"]}).withColumnRenamed("tier", "shuffled")
+    return over_orders(spark, sf, MOVED["fields"]).join(shuffled, K)
 
 
 NULLS = {"type": "object", "fields": {"n": {"type": "int", "min": 0, "max": 9},
                                       "m": {"type": "maybe", "p_null": 0.4, "child": "bool"}}}
-NULLS2, _ = P.drift_data(NULLS, seed=6, config={"int": {"nullable": [0.2, 0.6]}, "maybe": {"null_delta": [-0.3, -0.1]}})
+NULLS2 = P.apply_edits(NULLS, P.plan_values(NULLS, 6, {"int": {"shift": (3, 3), "nulls": (0.2, 0.6)}, "maybe": {"move": (-0.3, -0.1)}}))
 
 
-@suite.add("v8_drift_nulls", f"""SELECT {K}, {node_sql('n', NULLS2['fields']['n'])} AS n, {node_sql('m', NULLS2['fields']['m'])} AS m,
+@suite.add("v8_drift_nulls", f"""SELECT {K}, CASE WHEN {u('n#null', K)} >= {inside_sql(0.2, 0.6, 6, 'n', 'nulls')} THEN 3+{below('n.?', K, 10)} END AS n,
+ CASE WHEN {u('m#null', K)} >= 0.4::DOUBLE+{inside_sql(-0.3, -0.1, 6, 'm', 'null')} THEN {u('m.?', K)} < 0.5 END AS m,
  CASE WHEN {u('o_custkey#drift_null', K)} >= {dbl(.25)} THEN o_custkey END AS thinned FROM orders""")
 def drift_nulls(spark, sf):
     thin = V.shift_nulls(table(spark, sf, "orders").select(K, "o_custkey"), "o_custkey", 0.25, D, K)
@@ -145,11 +142,10 @@ def drift_nulls(spark, sf):
 
 
 SHAPE = {"type": "object", "fields": {"tags": {"type": "array", "min_items": 2, "max_items": 6, "child": "bool"}}}
-SHAPE2, _ = P.drift_data(SHAPE, seed=8, config={"array": {"length_delta": [1, 3]}})
-_A = SHAPE2["fields"]["tags"]
+SHAPE2 = P.apply_edits(SHAPE, P.plan_values(SHAPE, 8, {"array": {"move": (1, 3)}}))
 
 
-@suite.add("v9_drift_shape", f"SELECT {K}, {_A['min_items']}+{below('tags#size', K, _A['max_items'] - _A['min_items'] + 1)} AS size FROM orders")
+@suite.add("v9_drift_shape", f"SELECT {K}, 2+round_even({inside_sql(1, 3, 8, 'tags', 'length')}, 0)::BIGINT+{below('tags#size', K, 5)} AS size FROM orders")
 def drift_shape(spark, sf):
     return over_orders(spark, sf, SHAPE2["fields"]).select(K, F.size("tags").cast("bigint").alias("size"))
 
@@ -160,12 +156,10 @@ LAYERED = {"base": {"type": "object", "fields": {"qty": {"type": "int", "min": 1
            "v2": {"type": "object", "fields": {"qty": {"type": "int", "min": 1001, "max": 1010}}}}
 
 
-def stack() -> P.LayerStack:
-    layers = P.LayerStack(max_layers_total=2)
-    layers.add(1000, "v1", "schema_drift", max_hits=3000)
-    layers.add(2500, "v2", "data_drift", max_hits=500)
-    layers.add(2600, "v3", "data_drift")  # refused: two layers at most
-    return layers
+def revisions() -> list[tuple[int, int, str]]:
+    wanted = [P.Layer(1000, "v1", "structure", 3000), P.Layer(2500, "v2", "values", 500),
+              P.Layer(2600, "v3", "values")]  # the third is refused: two layers at most
+    return P.intervals(P.accept(wanted, most=2), 10**15)
 
 
 @suite.add("v10_drift_layers", f"""
@@ -173,15 +167,14 @@ WITH l AS (SELECT {K}, CASE WHEN {K} < 1000 THEN 'base' WHEN {K} < 2500 THEN 'v1
 SELECT {K}, version, CASE version WHEN 'base' THEN 1 WHEN 'v1' THEN 101 ELSE 1001 END+{below('qty', K, 10)} AS qty,
  CASE WHEN version <> 'v2' THEN {pick(L.WORDS, 'name#word')} END AS name, CASE WHEN version = 'v1' THEN {u('extra', K)} < {dbl(.5)} END AS extra FROM l""")
 def drift_layers(spark, sf):
-    intervals = stack().intervals(10**15)
-    df = V.synth_layers(table(spark, sf, "orders"), LAYERED, intervals, K, SEED, keep=[K], kind="portable")
+    df = V.synth_layers(table(spark, sf, "orders"), LAYERED, revisions(), K, SEED, keep=[K], kind="portable")
     return df.withColumnRenamed("_version", "version")
 
 
 @suite.add("v10_version_of_row", f"""
 SELECT {K}, CASE WHEN {K} < 1000 THEN 'base' WHEN {K} < 2500 THEN 'v1' WHEN {K} < 3000 THEN 'v2' WHEN {K} < 4500 THEN 'v1' ELSE 'base' END AS version FROM orders""")
 def version_of_row(spark, sf):
-    return table(spark, sf, "orders").select(K, V.version_of(F.col(K), stack().intervals(10**15)).alias("version"))
+    return table(spark, sf, "orders").select(K, V.version_of(F.col(K), revisions()).alias("version"))
 
 
 @suite.add("v11_schema_diff", """

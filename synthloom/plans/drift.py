@@ -1,7 +1,8 @@
-"""Drift edits of specs: structure, value ranges, weights, nulls, shapes, and stacked revisions.
+"""Drift of specs as data: a plan of edit records, and one function that applies them.
 
-A spec is small, so edits run on the driver; the data that shows the drift is synthesised from the
-edited specs at scale. Every random choice is a hash of (seed, step), so a drift can be replayed.
+Planning draws what changes, from hashes of (seed, place), so a plan can be replayed, stored and read. Amounts
+are given as intervals ``(lo, hi)``; an edit holds the amount that was drawn. Data that shows the drift is
+synthesised at scale from the edited spec.
 """
 
 from __future__ import annotations
@@ -9,345 +10,274 @@ from __future__ import annotations
 import copy
 import datetime as dt
 import hashlib
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from typing import Any
 
-from synthloom.functions.lists import WORDS
+from synthloom.functions.times import SECOND, to_micros
 from synthloom.plans import spec as S
 
-MUTATIONS = ("add_field", "drop_field", "rename_field", "flatten_object")
+Interval = tuple[float, float]
+STRUCTURE = ("add", "drop", "rename", "flatten")
+# Nodes that "add" may draw; any other table of nodes can be given.
+TEMPLATES: dict[str, Any] = {
+    "word": {"type": "string", "string_type": "word"}, "count": {"type": "int", "min": 0, "max": 1000},
+    "ratio": {"type": "float", "min": 0.0, "max": 1.0, "precision": 4}, "flag": {"type": "bool"}}
 
 
-class Dice:
-    """Draws named by step, from the same hash as the portable column draws."""
+@dataclass(frozen=True)
+class Edit:
+    """One change: what is done to the node at ``path``, and the values it needs."""
 
-    def __init__(self, seed: int | str) -> None:
-        self.seed = seed
+    action: str
+    path: tuple[str | int, ...]
+    value: Any = None
 
-    def u(self, tag: str) -> float:
-        return int(hashlib.md5(f"{self.seed}|{tag}".encode()).hexdigest()[:13], 16) / 2**52
 
-    def uniform(self, tag: str, lo: float, hi: float) -> float:
-        return lo + self.u(tag) * (hi - lo)
+def unit(seed: int | str, *place: object) -> float:
+    """The draw of a place: 52 bits of md5, as in the portable column draws."""
+    return int(hashlib.md5("|".join(map(str, (seed, *place))).encode()).hexdigest()[:13], 16) / 2**52
 
-    def integer(self, tag: str, lo: int, hi: int) -> int:
-        return lo + int(self.u(tag) * (hi - lo + 1))
 
-    def choice(self, tag: str, items):
-        items = list(items)
-        return items[int(self.u(tag) * len(items))]
+def inside(interval: Interval, seed: int | str, *place: object) -> float:
+    lo, hi = sorted(interval)
+    return lo + unit(seed, *place) * (hi - lo)
 
-    def order(self, tag: str, count: int) -> list[int]:
-        return sorted(range(count), key=lambda i: self.u(f"{tag}#{i}"))
 
-
-def clamp(x: float, lo: float, hi: float) -> float:
-    return max(lo, min(hi, x))
+def within(x: float, lo: float, hi: float) -> float:
+    return min(hi, max(lo, x))
 
 
 # --- structure ----------------------------------------------------------------------------------
 
-def _new_name(taken: set[str], dice: Dice, tag: str, reference: str | None = None) -> str:
-    for attempt in range(100):
-        t = f"{tag}#name{attempt}"
-        word = dice.choice(t, WORDS)
-        if reference:
-            stem = dice.choice(t + "s", reference.split("_")) if "_" in reference and dice.u(t + "p") < 0.5 else reference
-            name = f"{stem}_{word}"
-        else:
-            name = f"{word}_{dice.choice(t + 'w', WORDS)}" if dice.u(t + "p") < 0.3 else word
-        if name not in taken:
-            return name
-    return f"field_{dice.integer(tag + '#n', 1000, 9999)}"
-
-
-def _new_node(dice: Dice, tag: str, maybe_p: float) -> dict[str, Any]:
-    node: dict[str, Any] = dice.choice(tag + "#type", [
-        {"type": "string", "string_type": "word"}, {"type": "int", "min": 0, "max": 100},
-        {"type": "float", "min": 0.0, "max": 100.0, "precision": 2}, {"type": "bool"}])
-    if dice.u(tag + "#maybe") < maybe_p:
-        node = {"type": "maybe", "p_null": round(dice.uniform(tag + "#p", 0.1, 0.5), 2), "child": node}
-    return node
+def plan_structure(spec: Any, seed: int, actions: Iterable[str] = STRUCTURE, steps: int = 1,
+                   keep: Iterable[str] = (), templates: dict[str, Any] = TEMPLATES) -> list[Edit]:
+    """``steps`` edits of the root record. New names carry the step and a digest, so they are unique.
 
-
-def drift_schema(spec: Any, seed: int, kinds: tuple[str, ...] = MUTATIONS, steps: int = 1,
-                 skip_fields: tuple[str, ...] = (), maybe_p: float = 0.3) -> tuple[dict, list[str]]:
-    """Mutate the root object ``steps`` times; returns the new spec and what was done.
-
-    A step that cannot apply (nothing to flatten, a last field) changes nothing and reports nothing.
+    Fields in ``keep`` are never dropped, renamed or flattened; a step with nothing to act on gives no edit.
     """
-    node, dice, done = S.load(spec), Dice(seed), []
+    node, plan, actions, keep = S.load(spec), [], tuple(actions), set(keep)
     for step in range(steps):
-        kind = dice.choice(f"kind{step}", kinds)
-        fields, tag = dict(node["fields"]), f"{kind}{step}"
-        free = [k for k in fields if k not in skip_fields]
-        if kind == "add_field":
-            name = _new_name(set(fields), dice, tag)
-            fields[name] = S.normalise(_new_node(dice, tag, maybe_p))
-            done.append(f"added field '{name}'")
-        elif kind == "drop_field" and len(free) >= 2:
-            name = dice.choice(tag, free)
-            del fields[name]
-            fields = _without_reference(fields, name)
-            done.append(f"dropped field '{name}'")
-        elif kind == "rename_field" and free:
-            old = dice.choice(tag, free)
-            new = _new_name(set(fields), dice, tag, old)
-            fields[new] = fields.pop(old)
-            fields = _renamed_reference(fields, old, new)
-            done.append(f"renamed '{old}' -> '{new}'")
-        elif kind == "flatten_object":
-            nested = [k for k in free if fields[k]["type"] == "object"]
-            if nested:
-                name = dice.choice(tag, nested)
-                inner = fields.pop(name)["fields"]
-                for child, value in inner.items():
-                    target = f"{name}_{child}"
-                    if target in fields:
-                        target = _new_name(set(fields), dice, f"{tag}.{child}")
-                    fields[target] = value
-                done.append(f"flattened object '{name}' ({len(inner)} fields)")
-        node["fields"] = fields
-    return node, done
-
-
-def _renamed_reference(fields: dict, old: str, new: str) -> dict:
-    for f in fields.values():
-        for key in ("bound_to", "depends_on"):
-            if f.get(key) == old:
-                f[key] = new
-        if old in (f.get("pool") or []):
-            f["pool"] = [new if s == old else s for s in f["pool"]]
-    return fields
-
-
-def _without_reference(fields: dict, gone: str) -> dict:
-    for f in fields.values():
-        for key in ("bound_to", "depends_on"):
-            if f.get(key) == gone:
-                f.pop(key)
-        if gone in (f.get("pool") or []):
-            f["pool"] = [s for s in f["pool"] if s != gone]
-    return fields
+        action = actions[int(unit(seed, step) * len(actions))]
+        free = sorted(k for k in node["fields"] if k not in keep)
+        if action == "flatten":
+            free = [k for k in free if node["fields"][k]["type"] == "object"]
+        if action == "add":
+            kind = sorted(templates)[int(unit(seed, step, "node") * len(templates))]
+            edit = Edit("add", (_fresh(kind, seed, step),), copy.deepcopy(templates[kind]))
+        elif not free or action == "drop" and len(free) < 2:
+            continue
+        else:
+            name = free[int(unit(seed, step, "field") * len(free))]
+            edit = Edit(action, (name,), _fresh(name, seed, step) if action == "rename" else None)
+        plan.append(edit)
+        node = apply_edits(node, [edit])
+    return plan
+
+
+def _fresh(stem: str, seed: int | str, step: int) -> str:
+    return f"{stem}_{step}{hashlib.md5(f'{seed}|{step}|name'.encode()).hexdigest()[:6]}"
+
+
+def _point_to(fields: dict, old: str, new: str | None) -> dict:
+    """References to a field follow its new name, or go with it."""
+    out = {}
+    for name, node in fields.items():
+        node = dict(node)
+        for link in ("depends_on", "bound_to"):
+            if node.get(link) == old:
+                node.pop(link)
+                node |= {link: new} if new else {}
+        if node.get("pool"):
+            node["pool"] = [new if s == old else s for s in node["pool"] if s != old or new]
+        out[name] = node
+    return out
+
+
+def _restructure(fields: dict, edit: Edit) -> dict:
+    (name,) = edit.path
+    if edit.action == "add":
+        return {**fields, name: S.normalise(edit.value)}
+    if edit.action == "drop":
+        return _point_to({k: v for k, v in fields.items() if k != name}, name, None)
+    if edit.action == "rename":
+        return _point_to({edit.value if k == name else k: v for k, v in fields.items()}, name, edit.value)
+    rest = {k: v for k, v in fields.items() if k != name}
+    for child, node in fields[name]["fields"].items():
+        target = f"{name}_{child}"
+        while target in rest:
+            target += "_"
+        rest[target] = node
+    return rest
 
 
 # --- values -------------------------------------------------------------------------------------
 
-def _delta(cfg: dict, dice: Dice, tag: str, absolute: str, ratio: float, span: float) -> float:
-    pair = cfg.get(absolute)
-    if isinstance(pair, (list, tuple)) and len(pair) == 2:
-        return dice.uniform(tag, float(pair[0]), float(pair[1]))
-    return dice.uniform(tag, -span * ratio, span * ratio)
-
-
-def drift_numeric(node: dict, dice: Dice, tag: str, cfg: dict) -> tuple[dict, list[str]]:
-    """Shift an int or float range; an int moves by at least one. Step or precision may change too."""
-    out, notes = dict(node), []
+def _numeric(node: dict, want: dict, seed, path) -> Iterator[Edit]:
+    """Move both ends of a range, by an amount (``shift``) or a share of the range (``share``)."""
     span = max(1, node["max"] - node["min"])
-    delta = _delta(cfg, dice, tag, "offset_abs", float(cfg.get("offset_ratio", 0.2)), span)
+    by = inside(want["shift"], seed, *path, "shift") if "shift" in want else span * inside(want.get("share", (-0.2, 0.2)), seed, *path, "shift")
     if node["type"] == "int":
-        delta = int(round(delta)) or dice.choice(tag + "#sign", [-1, 1])
-        out["min"], out["max"] = node["min"] + delta, max(node["min"] + delta + 1, node["max"] + delta)
-        unit, low, by = "step", 1, int(cfg.get("step_delta", 0))
-    else:
-        out["min"], out["max"] = node["min"] + delta, max(node["min"] + delta + 1e-6, node["max"] + delta)
-        unit, low, by = "precision", 0, int(cfg.get("precision_step", 0))
-    notes.append(f"range_shift={delta}")
-    if by and node.get(unit) is not None:
-        out[unit] = max(low, node[unit] + dice.integer(tag + "#unit", -by, by))
-        if out[unit] != node[unit]:
-            notes.append(f"{unit}={out[unit]}")
-    return out, notes
-
-
-def drift_time(node: dict, dice: Dice, tag: str, cfg: dict) -> tuple[dict, list[str]]:
-    """Shift both ends of a time window by the same number of seconds."""
-    from synthloom.functions.times import SECOND, to_micros
+        by = round(by) or (1 if by >= 0 else -1)  # a whole step, or nothing would drift
+    yield Edit("set", path, {"min": node["min"] + by, "max": node["max"] + by})
+    unit_key, least = ("step", 1) if node["type"] == "int" else ("precision", 0)
+    if unit_key in want and node.get(unit_key) is not None:
+        yield Edit("set", path, {unit_key: max(least, node[unit_key] + round(inside(want[unit_key], seed, *path, unit_key)))})
+
+
+def _time(node: dict, want: dict, seed, path) -> Iterator[Edit]:
+    """Move a window by seconds (``shift``) or a share of its length (``share``)."""
     ends = {k: to_micros(node[k]) for k in ("start", "end") if node.get(k) is not None}
-    if not ends:
-        return node, []
-    span = max(1.0, (max(ends.values()) - min(ends.values())) / SECOND) if len(ends) == 2 else 60.0
-    delta = _delta(cfg, dice, tag, "offset_abs", float(cfg.get("offset_ratio", 0.1)), span)
-    shifted = {k: v + int(round(delta * SECOND)) for k, v in ends.items()}
-    return {**node, **{k: dt.datetime.fromtimestamp(v / SECOND, dt.timezone.utc).isoformat()
-                       for k, v in shifted.items()}}, [f"shift={delta}s"]
+    if ends:
+        length = (max(ends.values()) - min(ends.values())) / SECOND or 60.0
+        by = inside(want["shift"], seed, *path, "shift") if "shift" in want else length * inside(want.get("share", (-0.1, 0.1)), seed, *path, "shift")
+        zero, move = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc), round(by * SECOND)
+        yield Edit("set", path, {k: (zero + dt.timedelta(microseconds=v + move)).isoformat() for k, v in ends.items()})
 
 
-def drift_weights(node: dict, dice: Dice, tag: str, cfg: dict) -> tuple[dict, list[str]]:
-    """Reorder an enum, then move weight between two choices or force one choice.
+def _weights(node: dict, want: dict, seed, path) -> Iterator[Edit]:
+    """Put an enum's values in another order, then move weight between two choices (``move``) or give one all (``only``).
 
-    Weights are normalised to sum 1 before the move, so percent-style weights keep their proportions.
+    Weights are shares of 1 before they move.
     """
-    out, notes = dict(node), []
     items = "values" if node["type"] == "enum" else "choices"
-    count = len(node[items])
-    weights = node.get("weights")
-    if node["type"] == "enum" and count > 1 and cfg.get("shuffle", True):
-        order = dice.order(tag + "#order", count)
-        out["values"] = [node["values"][i] for i in order]
-        if weights:
-            weights = [weights[i] for i in order]
-        notes.append("reordered")
-    if weights and count > 1:
-        w = [x / sum(weights) for x in weights]
-        if cfg.get("force_weight"):
-            i = (next((k for k, x in enumerate(w) if x > 0), 0) if node["type"] == "enum"
-                 else dice.integer(tag + "#force", 0, count - 1))
-            w = [1.0 if k == i else 0.0 for k in range(count)]
-            notes.append(f"weights[{i}]=1.0(forced)")
+    n, weights = len(node[items]), node.get("weights")
+    if n < 2:
+        return
+    if node["type"] == "enum" and want.get("order", True):
+        order = sorted(range(n), key=lambda i: unit(seed, *path, "order", i))
+        weights = weights and [weights[i] for i in order]
+        yield Edit("set", path, {"values": [node["values"][i] for i in order], **({"weights": weights} if weights else {})})
+    if weights:
+        shares = [x / sum(weights) for x in weights]
+        at = int(unit(seed, *path, "to") * n)
+        if want.get("only"):
+            shares = [float(i == at) for i in range(n)]
         else:
-            pair = cfg.get("weight_delta", 0.1)
-            lo, hi = pair if isinstance(pair, (list, tuple)) else (-float(pair), float(pair))
-            delta = dice.uniform(tag + "#w", lo, hi)
-            i = dice.integer(tag + "#i", 0, count - 1)
-            j = dice.choice(tag + "#j", [k for k in range(count) if k != i])
-            w[i], w[j] = clamp(w[i] + delta, 0, 1), clamp(w[j] - delta, 0, 1)
-            total = sum(w) or 1.0
-            w = [round(x / total, 2) for x in w]
-            notes.append(f"weights[{i}]delta={delta}")
-        out["weights"] = w
-    return out, notes
-
-
-def null_share(cfg: Any, dice: Dice, tag: str) -> float | None:
-    """The null probability a ``nullable`` setting asks for; None when it asks for none."""
-    if cfg in (None, False):
-        return None
-    base, spread, bounds = 0.0, 0.1, None
-    if isinstance(cfg, dict):
-        base, spread = float(cfg.get("p_null", cfg.get("base", 0.0))), float(cfg.get("delta", 0.1))
-        bounds = cfg.get("range")
-    elif isinstance(cfg, (list, tuple)):
-        bounds = cfg
-    elif cfg is not True:
-        base = float(cfg)
-    if bounds is not None:
-        lo, hi = sorted(clamp(float(x), 0, 1) for x in bounds)
-        return dice.uniform(tag + "#null", lo, hi)
-    return clamp(base + dice.uniform(tag + "#null", -spread, spread), 0, 1)
-
-
-def drift_nulls(node: dict, dice: Dice, tag: str, cfg: dict) -> tuple[dict, list[str]]:
-    """Shift the null share of a nullable node."""
-    pair = cfg.get("null_delta", 0.1)
-    lo, hi = pair if isinstance(pair, (list, tuple)) else (-float(pair), float(pair))
-    p = clamp(node["p_null"] + dice.uniform(tag + "#p", lo, hi), 0, 1)
-    return {**node, "p_null": p}, [f"p_null:{node['p_null']}->{p}"]
-
-
-def drift_shape(node: dict, dice: Dice, tag: str, cfg: dict) -> tuple[dict, list[str]]:
-    """Shift an array's length window, or a select's option order and pick count."""
-    out = dict(node)
-    if node["type"] == "array":
-        lo, hi = node["min_items"], node["max_items"]
-        pair = cfg.get("length_delta")
-        reach = max(1, int(max(1, hi - lo) * float(cfg.get("length_ratio", 0.25))))
-        a, b = pair if isinstance(pair, (list, tuple)) else (-reach, reach)
-        delta = dice.integer(tag + "#len", int(a), int(b))
-        out["min_items"] = max(0, lo + delta)
-        out["max_items"] = max(out["min_items"], hi + delta)
-        return out, [f"len:{lo}-{hi}->{out['min_items']}-{out['max_items']}"]
-    names = list(node["options"])
-    out["options"] = {names[i]: node["options"][names[i]] for i in dice.order(tag + "#order", len(names))}
-    pick = dict(node["pick"])
-    optional = sum(1 for o in node["options"].values() if not o["required"])
-    delta = dice.integer(tag + "#pick", -1, 1)
-    for key in ("min", "max"):
-        if pick.get(key) is not None:
-            pick[key] = int(clamp(pick[key] + delta, 0, optional))
-    out["pick"] = pick
-    return out, ["reordered", f"pick{delta:+d}"]
-
-
-_DRIFTERS = {
-    "int": drift_numeric, "float": drift_numeric, "timestamp": drift_time, "datetime": drift_time,
-    "enum": drift_weights, "one_of": drift_weights, "maybe": drift_nulls, "object_or_null": drift_nulls,
-    "string_or_null": drift_nulls, "array": drift_shape, "select": drift_shape,
-}
-NULLABLE = ("int", "float", "string", "timestamp")
-
-
-def register_drift(kind: str, fn) -> None:
-    """Add a handler ``fn(node, dice, tag, cfg) -> (node, notes)`` for a generator type."""
-    _DRIFTERS[kind] = fn
-
-
-def drift_data(spec: Any, seed: int, config: dict[str, dict] | None = None,
-               fields: list[str] | None = None, budget: int = 2) -> tuple[dict, list[str]]:
-    """Shift the value distribution of fields; ``config`` holds settings per generator type.
-
-    ``budget`` is how many levels of children (array elements, branches, nullable values) are edited.
+            other = (at + 1 + int(unit(seed, *path, "from") * (n - 1))) % n
+            by = inside(want.get("move", (-0.1, 0.1)), seed, *path, "move")
+            shares[at], shares[other] = within(shares[at] + by, 0, 1), within(shares[other] - by, 0, 1)
+            shares = [round(x / (sum(shares) or 1), 4) for x in shares]
+        yield Edit("set", path, {"weights": shares})
+
+
+def _nulls(node: dict, want: dict, seed, path) -> Iterator[Edit]:
+    """Move the null share of a node that may be null."""
+    p = within(node["p_null"] + inside(want.get("move", (-0.1, 0.1)), seed, *path, "null"), 0, 1)
+    yield Edit("set", path, {"p_null": p})
+
+
+def _length(node: dict, want: dict, seed, path) -> Iterator[Edit]:
+    """Move both ends of a list's length."""
+    by = round(inside(want.get("move", (-1, 1)), seed, *path, "length"))
+    least = max(0, node["min_items"] + by)
+    yield Edit("set", path, {"min_items": least, "max_items": max(least, node["max_items"] + by)})
+
+
+def _options(node: dict, want: dict, seed, path) -> Iterator[Edit]:
+    """Put a select's options in another order and move how many are picked."""
+    names = sorted(node["options"], key=lambda k: unit(seed, *path, "order", k))
+    most = sum(not o["required"] for o in node["options"].values())
+    by = round(inside(want.get("move", (-1, 1)), seed, *path, "pick"))
+    pick = {k: int(within(v + by, 0, most)) if k in ("min", "max") and v is not None else v for k, v in node["pick"].items()}
+    yield Edit("set", path, {"options": {k: node["options"][k] for k in names}, "pick": pick})
+
+
+PLANNERS = {"int": _numeric, "float": _numeric, "timestamp": _time, "datetime": _time, "enum": _weights, "one_of": _weights,
+            "maybe": _nulls, "object_or_null": _nulls, "string_or_null": _nulls, "array": _length, "select": _options}
+MAY_BE_NULL = frozenset({"int", "float", "string", "timestamp"})
+
+
+def plan_values(spec: Any, seed: int, settings: dict[str, dict] | None = None, fields: Iterable[str] | None = None,
+                depth: int = 2) -> list[Edit]:
+    """Edits of value ranges, weights, null shares and shapes, by settings per node type.
+
+    ``{"nulls": (lo, hi)}`` lets values of a type be null with a share from that interval. ``depth`` levels of
+    children (elements, one branch of a choice, values that may be null) are drawn into the plan. Types can be
+    added to ``PLANNERS``: ``planner(node, settings, seed, path)`` yields edits.
     """
-    node, dice, done, config = S.load(spec), Dice(seed), [], config or {}
-
-    def edit(n: dict, path: str, left: int) -> dict:
-        n = copy.deepcopy(n)
-        cfg = config.get(n["type"], {})
-        if n["type"] in _DRIFTERS:
-            n, notes = _DRIFTERS[n["type"]](n, dice, path, cfg)
-            if notes:
-                done.append(f"{path}: {', '.join(notes)}")
-        if left > 1:
-            if "child" in n:
-                n["child"] = edit(n["child"], path + ("[]" if n["type"] == "array" else ".?"), left - 1)
-            elif n["type"] == "one_of":
-                i = dice.integer(path + "#choice", 0, len(n["choices"]) - 1)
-                n["choices"][i] = edit(n["choices"][i], f"{path}|{i}", left - 1)
-        if n["type"] in NULLABLE:
-            p = null_share(cfg.get("nullable"), dice, path)
-            if p is not None:
-                kept = {k: n.pop(k) for k in list(n) if k in S.FIELD_KEYS - {"type"}}
-                n = {"type": "maybe", "p_null": p, "child": n, **kept}
-                done.append(f"{path}: nullable(p_null={p})")
-        return n
-
-    for name in fields or list(node["fields"]):
-        node["fields"][name] = edit(node["fields"][name], name, budget)
-    return node, done
+    root, settings = S.load(spec), settings or {}
+
+    def visit(node: dict, path: tuple, left: int) -> Iterator[Edit]:
+        want = settings.get(node["type"], {})
+        if node["type"] in PLANNERS:
+            yield from PLANNERS[node["type"]](node, want, seed, path)
+        if left > 1 and "child" in node:
+            yield from visit(node["child"], (*path, "child"), left - 1)
+        elif left > 1 and node["type"] == "one_of":
+            i = int(unit(seed, *path, "branch") * len(node["choices"]))
+            yield from visit(node["choices"][i], (*path, "choices", i), left - 1)
+        if "nulls" in want and node["type"] in MAY_BE_NULL:
+            yield Edit("nullable", path, within(inside(want["nulls"], seed, *path, "nulls"), 0, 1))
+
+    return [e for name in (fields or root["fields"]) for e in visit(root["fields"][name], (name,), depth)]
+
+
+def apply_edits(spec: Any, edits: Iterable[Edit]) -> dict:
+    """The spec with all edits made, in order."""
+    root = copy.deepcopy(S.load(spec))
+    for e in edits:
+        if e.action in STRUCTURE:
+            root["fields"] = _restructure(root["fields"], e)
+            continue
+        holder, key = root["fields"], e.path[0]
+        for step in e.path[1:]:
+            holder, key = holder[key], step
+        if e.action == "set":
+            holder[key] = {**holder[key], **copy.deepcopy(e.value)}
+        elif e.action == "nullable":
+            inner = holder[key]
+            outer = {k: v for k, v in inner.items() if k in S.FIELD_KEYS - {"type"}}
+            holder[key] = {"type": "maybe", "p_null": e.value, "child": {k: v for k, v in inner.items() if k not in outer}, **outer}
+        else:
+            raise ValueError(f"unknown edit {e.action!r}")
+    return root
 
 
 # --- revisions over rows ------------------------------------------------------------------------
 
-@dataclass
-class LayerStack:
-    """Stacked revisions: the newest layer serves rows until it has served ``max_hits``, then it goes."""
-
-    max_layers_total: int | None = None
-    max_layers_per_strategy: int | None = None
-    layering: bool = True
-    layers: list[dict] = field(default_factory=list)
-
-    def add(self, at_row: int, version: str, strategy: str, max_hits: int | None = None) -> bool:
-        """Activate a revision from ``at_row`` on; False when a limit forbids it."""
-        same = sum(1 for x in self.layers if x["strategy"] == strategy)
-        if ((not self.layering and same) or
-                (self.max_layers_total is not None and len(self.layers) >= self.max_layers_total) or
-                (self.max_layers_per_strategy is not None and same >= self.max_layers_per_strategy)):
-            return False
-        if self.layers and at_row < self.layers[-1]["at"]:
-            raise ValueError("layers are added in row order")
-        self.layers.append({"at": at_row, "version": version, "strategy": strategy, "left": max_hits})
-        return True
-
-    def intervals(self, n: int, base: str = "base") -> list[tuple[int, int, str]]:
-        """Row intervals ``[lo, hi)`` and the version that serves them. Works by segment, not by row."""
-        stack: list[dict] = []
-        todo = [dict(x) for x in self.layers if x["at"] < n]
-        row, out = 0, []
-        while row < n:
-            while todo and todo[0]["at"] <= row:
-                stack.append(todo.pop(0))
-            while stack and stack[-1]["left"] == 0:
-                stack.pop()
-            stop = min(n, todo[0]["at"]) if todo else n
-            top = stack[-1] if stack else None
-            if top and top["left"] is not None:
-                stop = min(stop, row + top["left"])
-                top["left"] -= stop - row
-            version = top["version"] if top else base
-            if out and out[-1][2] == version:
-                out[-1] = (out[-1][0], stop, version)
-            else:
-                out.append((row, stop, version))
-            row = stop
-        return out
+@dataclass(frozen=True)
+class Layer:
+    """A revision that serves rows from ``at`` on, ``hits`` of them (all if none is given)."""
+
+    at: int
+    version: str
+    kind: str = "drift"
+    hits: int | None = None
+
+
+def accept(layers: Iterable[Layer], most: int | None = None, most_per_kind: int | None = None) -> list[Layer]:
+    """The layers that limits on their number, in all and per kind, let in; in row order, earlier ones first."""
+    got: list[Layer] = []
+    for layer in sorted(layers, key=lambda x: x.at):
+        like = sum(x.kind == layer.kind for x in got)
+        if (most is None or len(got) < most) and (most_per_kind is None or like < most_per_kind):
+            got.append(layer)
+    return got
+
+
+def intervals(layers: Iterable[Layer], n: int, base: str = "base") -> list[tuple[int, int, str]]:
+    """Row intervals ``[lo, hi)`` with the version that serves them: the newest layer with hits left.
+
+    A layer begins at its row and ends when its hits are used; what lies below goes on where it stopped.
+    Works by change, not by row.
+    """
+    waiting = sorted((x for x in layers if x.at < n), key=lambda x: -x.at)
+    live: list[list] = []  # [version, hits left]
+    out: list[tuple[int, int, str]] = []
+    row = 0
+    while row < n:
+        while waiting and waiting[-1].at <= row:
+            new = waiting.pop()
+            live.append([new.version, n if new.hits is None else new.hits])
+        live = [x for x in live if x[1] > 0]
+        stop = min(n, waiting[-1].at if waiting else n, row + live[-1][1] if live else n)
+        version = live[-1][0] if live else base
+        if live:
+            live[-1][1] -= stop - row
+        if out and out[-1][2] == version:
+            out[-1] = (out[-1][0], stop, version)
+        else:
+            out.append((row, stop, version))
+        row = stop
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from suite.specs import FLAT, STREAM_EVENTS
+from suite.specs import FLAT, READINGS
 from synthloom.functions.draw import Draw
 from synthloom.operators import audit, detect, faults as X
 from synthloom.plans.fault_plan import FaultOp, FaultPlan, apply_plan, draw_plan, register_fault
@@ -55,17 +55,17 @@ def test_batch_duplicates_are_bounded_and_counted(clean):
 
 def test_nested_lists_duplicate_and_shuffle(spark):
     rows = spark.range(300).withColumnRenamed("id", "row_id")
-    ev = synth_over(rows, STREAM_EVENTS, "row_id", 1, keep=["row_id"], now="2025-01-01").cache()
+    ev = synth_over(rows, READINGS, "row_id", 1, keep=["row_id"], now="2025-01-01").cache()
     dup = X.duplicate_elements(ev, D, "row_id", max_dups=1)
-    grown = dup.select("row_id", F.size("payload").alias("n")).join(ev.select("row_id", F.size("payload").alias("m")), "row_id")
+    grown = dup.select("row_id", F.size("samples").alias("n")).join(ev.select("row_id", F.size("samples").alias("m")), "row_id")
     assert grown.where("n <> m + 1").count() == 0
-    spread = X.duplicate_elements(ev, D, "row_id", max_dups=2, strategy="random").select("row_id", F.size("payload").alias("n"))
-    assert spread.join(ev.select("row_id", F.size("payload").alias("m")), "row_id").where("n <> m + least(m, 2)").count() == 0
+    spread = X.duplicate_elements(ev, D, "row_id", max_dups=2, strategy="random").select("row_id", F.size("samples").alias("n"))
+    assert spread.join(ev.select("row_id", F.size("samples").alias("m")), "row_id").where("n <> m + least(m, 2)").count() == 0
     mixed = X.shuffle_arrays(ev, D, "row_id")
-    a = mixed.select("row_id", F.sort_array(F.transform("payload", lambda x: F.to_json(x))).alias("a"))
-    b = ev.select("row_id", F.sort_array(F.transform("payload", lambda x: F.to_json(x))).alias("b"))
+    a = mixed.select("row_id", F.sort_array(F.transform("samples", lambda x: F.to_json(x))).alias("a"))
+    b = ev.select("row_id", F.sort_array(F.transform("samples", lambda x: F.to_json(x))).alias("b"))
     assert a.join(b, "row_id").where("a <> b").count() == 0
-    assert mixed.join(ev.select("row_id", F.col("payload").alias("old")), "row_id").where("payload <> old").count() > 50
+    assert mixed.join(ev.select("row_id", F.col("samples").alias("old")), "row_id").where("samples <> old").count() > 50
 
 
 def test_count_sibling_follows_list(spark):

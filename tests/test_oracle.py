@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from tests.compare import check, connect
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = {n: q for n, q in entry.queries().items() if n not in entry.LLM}, entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from suite.common import table
-from suite.specs import ANALYTICS, FLAT
+from suite.specs import SHIPMENTS, FLAT
 from synthloom.operators import detect, link
 from synthloom.operators.infer import infer_spec
 from synthloom.plans import drift as P, spec as S
@@ -27,7 +27,7 @@ def plan(df) -> str:
     return out.getvalue()
 
 
-QUERIES = {n: q for n, q in entry.queries().items() if not n.endswith("_stream")}
+QUERIES = {n: q for n, q in entry.queries().items() if n not in entry.LLM and not n.endswith("_stream")}
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
@@ -37,7 +37,7 @@ def test_no_python_and_no_cartesian(spark, name):
 
 
 def test_synthesis_is_one_stage(spark):
-    text = plan(synth(spark, ANALYTICS, 1000, now="2025-01-01"))
+    text = plan(synth(spark, SHIPMENTS, 1000, now="2025-01-01"))
     assert "Exchange" not in text and "Range" in text
 
 
@@ -60,33 +60,42 @@ def test_fk_audit_aggregates_before_the_join(spark):
     assert text.index("Join") < text.index("HashAggregate") or "HashAggregate" in text.split("Join")[1]
 
 
-def test_schema_drift_keeps_specs_valid():
+def test_structure_drift_keeps_specs_valid():
     spec, done = FLAT, []
     for seed in range(40):
-        spec, notes = P.drift_schema(spec, seed, steps=2, skip_fields=("id",))
-        done += notes
-        spec = S.load(spec)
-    kinds = {n.split(" ")[0] for n in done}
-    assert {"added", "dropped", "renamed"} <= kinds and "id" in spec["fields"]
-
-
-def test_data_drift_is_reproducible_and_bounded(spark):
-    cfg = {"int": {"offset_abs": [5, 5], "nullable": 0.3}, "enum": {"force_weight": True}, "maybe": {"null_delta": 0.1}}
-    a, notes = P.drift_data(FLAT, 3, cfg)
-    assert (a, notes) == P.drift_data(FLAT, 3, cfg) and notes
-    count = a["fields"]["count"]
-    assert count["type"] == "maybe" and count["child"]["min"] == 6
-    assert sorted(a["fields"]["tier"]["weights"]) == [0.0, 0.0, 1.0]
-    assert synth(spark, a, 100, now="2025-01-01").count() == 100
+        plan = P.plan_structure(spec, seed, steps=2, keep=("id",))
+        assert plan == P.plan_structure(spec, seed, steps=2, keep=("id",))
+        spec = S.load(P.apply_edits(spec, plan))
+        done += plan
+    assert {"add", "drop", "rename"} <= {e.action for e in done} and "id" in spec["fields"]
+    nested = {"type": "object", "fields": {"a": {"type": "object", "fields": {"b": "int"}}, "a_b": "bool"}}
+    flat = P.apply_edits(nested, [P.Edit("flatten", ("a",))])["fields"]
+    assert {k: v["type"] for k, v in flat.items()} == {"a_b": "bool", "a_b_": "int"}
+    bound = P.apply_edits(FLAT, [P.Edit("rename", ("at",), "when"), P.Edit("drop", ("when",))])["fields"]
+    assert "depends_on" not in bound["day"] and "when" not in bound
+
+
+def test_value_drift_is_reproducible_and_bounded(spark):
+    want = {"int": {"shift": (5, 5), "nulls": (0.3, 0.3)}, "enum": {"only": True}, "maybe": {"move": (0.1, 0.1)},
+            "float": {"share": (0.5, 0.5)}, "timestamp": {"shift": (-3600, -3600)}}
+    plan = P.plan_values(FLAT, 3, want)
+    assert plan == P.plan_values(FLAT, 3, want) and plan
+    got = P.apply_edits(FLAT, plan)["fields"]
+    assert got["count"]["type"] == "maybe" and got["count"]["p_null"] == 0.3
+    assert (got["count"]["child"]["min"], got["count"]["child"]["max"]) == (6, 105)
+    assert sorted(got["tier"]["weights"]) == [0.0, 0.0, 1.0] and abs(got["city"]["p_null"] - 0.3) < 1e-9
+    assert (got["amount"]["min"], got["amount"]["max"]) == (252.5, 747.5)
+    assert got["at"]["start"] == "2023-02-28T23:00:00+00:00"
+    assert synth(spark, {"type": "object", "fields": got}, 100, now="2025-01-01").count() == 100
 
 
 def test_layers_expire_and_respect_limits():
-    st = P.LayerStack(max_layers_per_strategy=1)
-    assert st.add(10, "a", "s", 5) and not st.add(12, "b", "s")
-    assert st.add(12, "c", "d", 2)
-    assert st.intervals(30) == [(0, 10, "base"), (10, 12, "a"), (12, 14, "c"), (14, 17, "a"), (17, 30, "base")]
-    single = P.LayerStack(layering=False)
-    assert single.add(0, "a", "s") and not single.add(1, "b", "s")
+    wanted = [P.Layer(10, "a", "s", 5), P.Layer(12, "b", "s"), P.Layer(12, "c", "d", 2)]
+    got = P.accept(wanted, most_per_kind=1)
+    assert [x.version for x in got] == ["a", "c"]
+    assert P.intervals(got, 30) == [(0, 10, "base"), (10, 12, "a"), (12, 14, "c"), (14, 17, "a"), (17, 30, "base")]
+    assert P.intervals([P.Layer(0, "a"), P.Layer(5, "b")], 9) == [(0, 5, "a"), (5, 9, "b")]
+    assert [x.version for x in P.accept(wanted, most=1)] == ["a"]
 
 
 def test_inferred_spec_round_trips(spark):

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from suite.specs import ANALYTICS, SMOKE, STREAM_EVENTS
+from suite.specs import EVERY_NODE, READINGS, SHIPMENTS
 from synthloom.operators import detect, link
 from synthloom.plans import spec as S
 from synthloom.sources.synth import Engine, synth, synth_over
@@ -71,11 +71,11 @@ def test_select_modes(spark):
 
 def test_same_seed_same_rows_any_partitioning(spark):
     def rows(**kw):
-        return [r.asDict(True) for r in synth(spark, STREAM_EVENTS, 300, seed=5, now=NOW, **kw).orderBy("event_id").collect()]
+        return [r.asDict(True) for r in synth(spark, READINGS, 300, seed=5, now=NOW, **kw).orderBy("reading").collect()]
 
     one = rows(partitions=1)
     assert one == rows(partitions=3) == rows(partitions=16)
-    assert one != [r.asDict(True) for r in synth(spark, STREAM_EVENTS, 300, seed=6, now=NOW).orderBy("event_id").collect()]
+    assert one != [r.asDict(True) for r in synth(spark, READINGS, 300, seed=6, now=NOW).orderBy("reading").collect()]
 
 
 def test_slices_join_to_the_whole(spark):
@@ -90,7 +90,7 @@ def test_function_and_object_api_agree(spark):
 
 
 def test_bundled_specs_build(spark):
-    for spec in (SMOKE, STREAM_EVENTS, ANALYTICS):
+    for spec in (EVERY_NODE, READINGS, SHIPMENTS):
         df = synth(spark, spec, 50, seed=123, now=NOW)
         assert df.count() == 50
         for f in df.schema.fields:
@@ -99,16 +99,16 @@ def test_bundled_specs_build(spark):
 
 
 def test_smoke_values_pass_type_check(spark):
-    df = synth(spark, SMOKE, 500, seed=9, now=NOW)
-    keep = ["int_field", "float_field", "enum_field", "string_regex", "maybe_field"]
-    report = detect.type_check(df, obj(**{k: SMOKE["fields"][k] for k in keep})).collect()
+    df = synth(spark, EVERY_NODE, 500, seed=9, now=NOW)
+    keep = ["berth", "draught", "flag", "call_sign", "pilot"]
+    report = detect.type_check(df, obj(**{k: EVERY_NODE["fields"][k] for k in keep})).collect()
     assert all(r["wrong_type"] == 0 and r["out_of_domain"] == 0 for r in report)
 
 
 def test_variant_when_types_differ(spark):
-    df = synth(spark, SMOKE, 200, seed=1, now=NOW)
-    assert isinstance(df.schema["one_of_field"].dataType, T.VariantType)
-    kinds = {r[0] for r in df.select(F.schema_of_variant("one_of_field")).distinct().collect()}
+    df = synth(spark, EVERY_NODE, 200, seed=1, now=NOW)
+    assert isinstance(df.schema["cargo"].dataType, T.VariantType)
+    kinds = {r[0] for r in df.select(F.schema_of_variant("cargo")).distinct().collect()}
     assert kinds == {"BIGINT", "STRING"}
 
 
