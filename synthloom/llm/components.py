@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from synthloom.session import persist_reliably
 
 
+TASK_LINKS = 500_000  # links that a task of a round handles
+
+
 class LocalUnion:
     """Components of a bounded set of nodes 0..n-1, fed with arrays of links."""
 
@@ -55,18 +58,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     near it. Minima are taken by partial aggregation and joined back, so a node with very many links is
     spread by the join's skew handling. Rounds are cut by reliable checkpoints; self links give single nodes.
     """
-    pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    loops = pairs.where("a = b").select(F.col("a").alias("id"))
-    pairs = persist_reliably(pairs.where("a <> b"))
+    everything = persist_reliably(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    loops = everything.where("a = b").select(F.col("a").alias("id"))
+    pairs = everything.where("a <> b")
+    tasks = max(1, -(-pairs.count() // TASK_LINKS))  # rounds only ever shrink what the first one reads
     seen = None
     for _ in range(max_rounds):
+        pairs = pairs.coalesce(tasks)
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = _least(both).select("a", F.least("a", "m").alias("m"))
+        least = _least(both).select("a", F.least("a", "m").alias("m")).coalesce(tasks)
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where(
-            "a <> b").distinct()
+            "a <> b").distinct().coalesce(tasks)
         low = _least(large)
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        pairs = persist_reliably(small.union(low.select("a", F.col("m").alias("b"))).distinct())
+        pairs = persist_reliably(small.union(low.select("a", F.col("m").alias("b"))).distinct().coalesce(tasks))
         state = pairs.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if state == seen:
             break

@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from synthloom.llm.common import binary_list, hashes, mix, set_batches, split_words, stored, text_slices
-from synthloom.llm.components import connected_components
+from synthloom.llm.components import LocalUnion, connected_components
 
 WORDS = 5
 TABLES, WIDTH = 7, 2          # at similarity 0.85 a linked pair shares no key with a chance of 0.00025
+BLOCK = 256                   # sets of a block whose products are taken at once
 SKETCH_BITS = 4               # bits of each minhash that candidates are compared by
 
 
@@ -148,16 +149,84 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def set_links(left: list[np.ndarray], right: list[np.ndarray], percent: int,
+              columns: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of sets that reach the similarity, by products of incidence matrices."""
+    flat = np.concatenate([*left, *right])
+    size = np.array([len(s) for s in [*left, *right]])
+    row = np.repeat(np.arange(len(size)), size)
+    _, column = np.unique(flat, return_inverse=True)
+    n = len(left)
+    first = row < n
+    both = np.zeros((column.max() + 1, 2), bool)
+    both[column[first], 0] = True
+    both[column[~first], 1] = True
+    number = np.cumsum(both.all(1)) - 1
+    use = both.all(1)[column]
+    row, column = row[use], number[column[use]]
+    common = np.zeros((n, len(size) - n), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        s, e = np.searchsorted(column, [at, at + columns])
+        grid = np.zeros((len(size), columns), np.float32)
+        grid[row[s:e], column[s:e] - at] = 1
+        common += grid[:n] @ grid[n:].T
+    common = common.astype(np.int64)
+    union = size[:n, None] + size[None, n:] - common
+    return np.nonzero(100 * common >= percent * union)
+
+
+def cluster_links(parts: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that join parts of a cluster: each set outside the largest part against all sets.
+
+    Sets are dealt to blocks by hash; a task multiplies two blocks and returns each set's link to the
+    smallest one of its component there.
+    """
+    per = parts.groupBy("cluster", "part").agg(F.count("*").alias("n"))
+    mixed = per.groupBy("cluster").agg(F.max_by("part", "n").alias("main"), F.sum("n").alias("m"), F.count("*").alias("k")
+                                       ).where("k > 1").drop("k")
+    blocks = F.ceil(F.col("m") / F.lit(block)).cast("int")
+    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    rows = parts.join(mixed, "cluster").withColumn("minor", F.col("part") != F.col("main")).withColumn("own", own).withColumn(
+        "last", blocks - 1)
+    begin = F.when(F.col("minor"), F.col("own")).otherwise(0)  # two minor sets meet once
+    left = rows.select("rep", "cluster", F.lit(0).alias("side"), F.col("own").alias("x"), F.explode(F.sequence(begin, "last")).alias("y"))
+    right = rows.where("minor").select("rep", "cluster", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), "last")).alias("x"),
+                                       F.col("own").alias("y"))
+
+    def links(got: pa.Table) -> pa.Table:
+        side, rep = got["side"].to_numpy(), got["rep"].to_numpy()
+        own = [np.frombuffer(s, np.uint64) for s in got["shingles"].to_pylist()]
+        sides = [np.flatnonzero(side == k) for k in (0, 1)]
+        union = LocalUnion(len(rep))
+        linked = np.zeros(len(rep), bool)
+        if len(sides[0]) and len(sides[1]):
+            i, j = set_links([own[k] for k in sides[0]], [own[k] for k in sides[1]], percent)
+            i, j = sides[0][i], sides[1][j]
+            apart = rep[i] != rep[j]
+            union.add(i[apart], j[apart])
+            linked[i[apart]] = linked[j[apart]] = True
+        least = np.full(len(rep), np.iinfo(np.int64).max)
+        np.minimum.at(least, union.label, rep)
+        root = least[union.label]
+        use = linked & (root != rep)
+        return pa.table({"a": root[use], "b": rep[use]})
+
+    return left.union(right).join(sets, "rep").groupBy("cluster", "x", "y").applyInArrow(links, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
                     words: int = WORDS, tables: int = TABLES, width: int = WIDTH) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Texts link where 100 * intersection >= percent * union of their shingle sets. Equal sets are one class, whose
     smallest id stands for it. In each bucket of a table all classes are first held against its smallest and
-    largest id; then, in buckets that still hold several components, every class outside the largest
-    component is held against all classes of other components. So no candidate link is lost, and a bucket
-    of alike texts is never expanded into its pairs. Texts without words link with nothing; so do rows
-    without an id, which are kept and have no component.
+    largest id. Classes that sketches find alike to such a hub form clusters; where confirmed links leave a
+    cluster in several parts, its sets are multiplied block by block, and only a spanning set of links comes
+    out. What shares a bucket but no cluster is paired by sketches. So no candidate link is lost, and a
+    group of alike texts is never expanded into rows of pairs. Texts without words link with nothing; so do
+    rows without an id, which are kept and have no component.
     """
     set_batches(docs.sparkSession)
     count = 2 * tables * width
@@ -174,8 +243,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     about = classes.select("rep", *own)
     near = (buckets.select("rep", F.explode(F.array("low", "high")).alias("hub")).where("rep <> hub")
             .select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct())
-    first = (near.join(about.alias("x"), F.col("a") == F.col("x.rep")).join(about.alias("y"), F.col("b") == F.col("y.rep"))
-             .where(_alike("x", "y", percent, count)).select("a", "b"))
+    loose = stored(near.join(about.alias("x"), F.col("a") == F.col("x.rep")).join(
+        about.alias("y"), (F.col("b") == F.col("y.rep")) & _alike("x", "y", percent, count)).select("a", "b"), "loose")
 
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
     needed = buckets.select("rep").distinct()
@@ -190,19 +259,24 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     sets = stored(sets.join(about.select("rep", "n_shingles"), "rep").where(F.length("shingles") == F.col("n_shingles") * 8)
                   .select("rep", "shingles").dropDuplicates(["rep"]), "sets")
 
-    links = stored(confirm(first, sets, percent), "links")
-    groups = stored(connected_components(links), "groups")
-    placed = (buckets.select("key", "rep").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
-              .withColumn("component", F.coalesce("component", "rep")))
-    per = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mixed = per.groupBy("key").agg(F.max_by("component", "n").alias("main"), F.count("*").alias("n")).where("n > 1").drop("n")
+    links = stored(confirm(loose, sets, percent), "links")
+    parts = stored(connected_components(loose).join(
+        connected_components(links).select("id", F.col("component").alias("part")), "id", "left").select(
+        F.col("id").alias("rep"), F.col("component").alias("cluster"), F.coalesce("part", "id").alias("part")), "parts")
+    inner = stored(cluster_links(parts, sets, percent), "links")
+
+    # pairs of a bucket that no chain of alike hubs joins
+    placed = buckets.select("key", "rep").join(parts.select("rep", "cluster"), "rep", "left").withColumn(
+        "cluster", F.coalesce("cluster", "rep"))
+    per = placed.groupBy("key", "cluster").agg(F.count("*").alias("n"))
+    mixed = per.groupBy("key").agg(F.max_by("cluster", "n").alias("main"), F.count("*").alias("n")).where("n > 1").drop("n")
     open_ = placed.join(mixed, "key").join(about, "rep")
-    x, y = open_.alias("x"), open_.where("component <> main").alias("y")
-    second = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
+    x, y = open_.alias("x"), open_.where("cluster <> main").alias("y")
+    second = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cluster") != F.col("y.cluster"))
                      & _alike("x", "y", percent, count))
               .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct())
     more = stored(confirm(second, sets, percent), "links")
-    groups = connected_components(links.union(more))
+    groups = connected_components(links.union(inner).union(more))
     named = classes.select("name1", "name2", "n_shingles", "rep").join(
         groups.withColumnRenamed("id", "rep"), "rep", "left").select(
         "name1", "name2", "n_shingles", F.coalesce("component", "rep").alias("_root"))
