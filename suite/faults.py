@@ -209,7 +209,7 @@ def bloat(spark, sf):
 
 @suite.add("f8_bloat_repeat", f"""
 WITH d AS (SELECT p_partkey, p_name, {hit('bloat', .5, 'p_partkey')} AS h, regexp_extract(p_name, '(\\S+)\\s*$', 1) AS w FROM part),
-r AS (SELECT *, repeat(w||' ', greatest(1, least(floor(1024.0::DOUBLE/length(w))::INT, 64))) AS more FROM d)
+r AS (SELECT *, repeat(w||' ', ceil(1024.0::DOUBLE/(length(w)+1))::INT) AS more FROM d)
 SELECT p_partkey, CASE WHEN h THEN p_name||substr(more, 1, 1024) ELSE p_name END AS p_name FROM r""")
 def bloat_repeat(spark, sf):
     df = table(spark, sf, "part").select("p_partkey", "p_name")

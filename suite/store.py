@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from suite.common import Suite, table
-from suite.tables import DATASETS_CTE, SEED, event_datasets
+from suite.tables import DATASETS_CTE, NOW as CREATED, SEED, event_datasets
 from synthloom.operators import store as B
 from synthloom.session import persist_reliably
 
@@ -109,7 +109,7 @@ def size_by_schema(spark, sf):
     return B.size_by_schema(hot, "hot").unionByName(B.size_by_schema(durable, "durable"))
 
 
-_VICTIM = f"substr(md5('view|{SEED}|0'),1,12)"
+_VICTIM = f"md5('view|{SEED}|{CREATED.isoformat()}|0')"
 
 
 @suite.add("b8_delete_dataset", f"""WITH {TIERS}
@@ -118,7 +118,7 @@ UNION ALL SELECT 'durable', count(*), true FROM durable WHERE id <> {_VICTIM}"""
 def delete_dataset(spark, sf):
     import hashlib
     hot, durable = tiers(spark, sf)
-    victim = hashlib.md5(f"view|{SEED}|0".encode()).hexdigest()[:12]
+    victim = hashlib.md5(f"view|{SEED}|{CREATED.isoformat()}|0".encode()).hexdigest()
     hot, durable, report = B.delete_dataset(hot, durable, victim)
     found = report.select("found").scalar()
     return (hot.agg(F.count("*").alias("datasets")).select(F.lit("hot").alias("tier"), "datasets", found.alias("found"))

@@ -103,7 +103,7 @@ def event_datasets(spark, sf, batch_size=100, keep=()):
 DATASETS_CTE = f"""
 numbered AS (SELECT event_type, event_id, user_id, value, props,
   row_number() OVER (PARTITION BY event_type ORDER BY event_id)-1 AS seq FROM events),
-datasets AS (SELECT substr(md5(event_type||'|{SEED}|'||(seq//100)),1,12) AS id,
+datasets AS (SELECT md5(event_type||'|{SEED}|{NOW.isoformat()}|'||(seq//100)) AS id,
   event_type AS schema_name, '{{"items":['||string_agg('{{"event_id":'||event_id||',"user_id":'||user_id
    ||',"value":'||value::DECIMAL(18,2)||',"props":"'||replace(props,'"','\\"')||'"}}', ',' ORDER BY seq)||']}}' AS data,
   count(*) AS n, min(event_id) AS first_event FROM numbered GROUP BY event_type, seq//100)"""
@@ -138,7 +138,7 @@ def event_envelope(spark, sf):
 
 
 @suite.add("s9_read_items", f"""
-SELECT substr(md5(event_type||'|{SEED}|'||(seq//100)),1,12) AS id, event_id, user_id, value, props FROM (
+SELECT md5(event_type||'|{SEED}|{NOW.isoformat()}|'||(seq//100)) AS id, event_id, user_id, value, props FROM (
  SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id)-1 AS seq FROM events)""")
 def read_items(spark, sf):
     return DS.read_items(event_datasets(spark, sf),

@@ -111,10 +111,10 @@ def padding(draw: Draw, path: str, key: Column, size: int) -> Column:
 
 
 def repeat_tail(s: Column, need: int) -> Column:
-    """Grow text by repeating its last word: at least 8 characters, at most 64 repetitions."""
+    """Grow text by ``need`` characters (at least 8) of its last word, repeated."""
     need = max(8, need)
     word = F.regexp_extract(s, r"(\S+)\s*$", 1)
     token = F.when(F.length(word) > 0, word).otherwise(s)
-    reps = F.greatest(F.lit(1), F.least(F.floor(F.lit(need) / F.length(token)), F.lit(64)))
+    reps = F.ceil(F.lit(need) / (F.length(token) + 1))
     more = F.repeat(F.concat(token, F.lit(" ")), reps.cast("int"))
     return F.concat(s, F.substring(more, 1, need))

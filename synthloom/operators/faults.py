@@ -359,7 +359,7 @@ def truncate_json(df: DataFrame, draw: Draw, key: str, *, p: float = 0.1, nodes:
         else:
             new[c] = F.when(~F.coalesce(whole, F.lit(False)), F.col(c))
     if "" in nodes:
-        record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in data]))
+        record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in data]), {"ignoreNullFields": "false"})
         new["_corrupt_record"] = F.when(F.col("_node") == "", cut(record, F.col("_at")))
     if loose:
         new["_fragments"] = F.map_from_entries(F.array_compact(F.array(*loose)))
@@ -382,8 +382,8 @@ def _pick_text(df: DataFrame, draw: Draw, key: str, op: str, columns: list[str],
 def bloat(df: DataFrame, draw: Draw, key: str, *, columns: list[str] | None = None, p: float = 0.1,
           extra_kb: int = 32, strategy: str = "insert", hit: Column | None = None) -> DataFrame:
     """Grow one string of a hit row by ``extra_kb`` KiB: random printable text inserted at a random
-    place, or its last word repeated. Candidates are the first ten string columns."""
-    names = (columns or string_columns(df, key))[:10]
+    place, or its last word repeated. Candidates are all string columns, or ``columns``."""
+    names = columns or string_columns(df, key)
     need = extra_kb * 1024
     staged = _pick_text(df, draw, key, "bloat", names, p, hit, nonempty=False)
 

@@ -48,7 +48,7 @@ def pool_join(child: DataFrame, pool: DataFrame, fields: list[str], key: str, dr
 
 def pool_info(pool: DataFrame) -> DataFrame:
     """Pool size and one sample record (the one with the smallest digest), as JSON."""
-    record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in pool.columns]))
+    record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in pool.columns]), {"ignoreNullFields": "false"})
     return pool.select(record.alias("r")).agg(
         F.count("*").alias("size"), F.min_by("r", F.md5("r")).alias("sample"))
 

@@ -23,6 +23,7 @@ class DatasetMeta:
     spec: Any = None
     faults: list[str] = field(default_factory=list)
     ttl_days: int = 30
+    append: str | None = None  # names this append; by default the time it was created at
 
 
 def dataset_append(df: DataFrame, meta: DatasetMeta, schema_col: str, seq: str,
@@ -30,12 +31,14 @@ def dataset_append(df: DataFrame, meta: DatasetMeta, schema_col: str, seq: str,
     """Group rows into datasets of at most ``batch_size`` items, in ``seq`` order.
 
     ``seq`` is a dense 0-based number within the schema, so a group never exceeds ``batch_size`` rows.
-    The id is 12 hex characters of a hash of (schema, seed, batch), so a retried append writes the
-    same ids. Other columns become the JSON of the item.
+    The id is a hash of (schema, seed, append, batch): a retried append writes the same ids, another append
+    of the same schema and seed writes new ones. Other columns become the JSON of the item, nulls included.
     """
-    if not 1 <= batch_size <= MAX_ITEMS:
-        raise ValueError(f"batch_size must be within 1..{MAX_ITEMS}")
-    item = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in (schema_col, seq)]))
+    if batch_size < 1:
+        raise ValueError("batch_size must be at least 1")
+    append = meta.append or meta.created.isoformat()
+    item = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in (schema_col, seq)]),
+                     {"ignoreNullFields": "false"})  # null and missing are not the same
     rows = df.select(F.col(schema_col).alias("schema_name"), F.col(seq).alias("_seq"), item.alias("_item"),
                      F.floor(F.col(seq) / F.lit(batch_size)).alias("_batch"))
     grouped = rows.groupBy("schema_name", "_batch").agg(
@@ -44,7 +47,7 @@ def dataset_append(df: DataFrame, meta: DatasetMeta, schema_col: str, seq: str,
     spec_hash = F.substring(F.sha2(F.lit(json.dumps(meta.spec, sort_keys=True)), 256), 1, 16)
     created = F.lit(meta.created.replace(tzinfo=meta.created.tzinfo or dt.timezone.utc))
     return grouped.select(
-        F.substring(F.md5(F.concat_ws("|", "schema_name", F.lit(str(meta.seed)), "_batch")), 1, 12).alias("id"),
+        F.md5(F.concat_ws("|", "schema_name", F.lit(str(meta.seed)), F.lit(append), "_batch")).alias("id"),
         F.col("schema_name"),
         F.concat(F.lit('{"items":['), texts, F.lit("]}")).alias("data"),
         F.create_map(F.lit("spec_hash"), spec_hash).alias("metadata"),

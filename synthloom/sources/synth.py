@@ -98,7 +98,7 @@ def envelope(df: DataFrame, seq: str | Column, faults: str | None = None) -> Dat
     """Wrap rows as events ``(type, seq, data, faults)``; ``seq`` is a dense 0-based number."""
     number = F.col(seq) if isinstance(seq, str) else seq
     hidden = {seq, faults}
-    data = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in hidden]))
+    data = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in hidden]), {"ignoreNullFields": "false"})
     tags = F.col(faults) if faults else F.array().cast("array<string>")
     return df.select(F.lit("event").alias("type"), number.cast("bigint").alias("seq"),
                      data.alias("data"), tags.alias("faults"))

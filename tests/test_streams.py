@@ -117,14 +117,44 @@ def test_pregen_caps(spark):
     assert spark.read.parquet(path).groupBy("s").count().orderBy("s").collect() == [(0, 25), (1, 25)]
 
 
-def test_publish_reports_failures(spark):
-    df = spark.range(10).select("id", F.when(F.col("id") == 3, F.repeat(F.lit("x"), 500)).otherwise("y").alias("v"))
-    path = work_dir(spark, "pub")
-    report = P.publish(df, "t", "id", 4, "json", path, max_bytes=100).first()
+def test_publish_reports_failures_and_loses_nothing(spark):
+    df = spark.range(10).select("id", F.when(F.col("id") == 3, F.repeat(F.lit("x"), 2_000_000)).when(F.col("id") > 4, "y").alias("v"))
+    path, dead = work_dir(spark, "pub"), work_dir(spark, "dead")
+    report = P.publish(df, "t", "id", 4, "json", path, max_bytes=1_048_576, dead_letters=dead).first()
     assert (report["sent"], report["failed"], report["batches"]) == (9, 1, 3)
-    assert spark.read.json(path).count() == 9
-    with pytest.raises(ValueError):
-        P.messages(df, "t", "id", 20_000)
+    assert spark.read.json(path).count() == 9 and spark.read.parquet(dead).count() == 1
+    whole = work_dir(spark, "pub")
+    assert P.publish(df, "t", "id", 20_000, "json", whole).first()["failed"] == 0
+    got = [r["value"] for r in spark.read.json(whole).collect()]
+    assert len(got) == 10 and '{"id":0,"v":null}' in got  # a null is not a missing key
+    with pytest.raises(ValueError, match="dead_letters"):
+        P.publish(df, "t", "id", 4, "json", path, max_bytes=100)
+
+
+def test_appends_of_one_seed_stay_apart(spark):
+    import datetime as dt
+
+    from synthloom.operators import store
+    from synthloom.sources import datasets as DS
+
+    def append(first: int, minute: int):
+        rows = spark.range(3).select(F.lit("s").alias("schema"), F.col("id").alias("seq"),
+                                     F.when(F.col("id") > 0, F.col("id") + first).alias("v"))
+        return DS.dataset_append(rows, DS.DatasetMeta(7, dt.datetime(2024, 1, 1, 0, minute)), "schema", "seq")
+
+    one, two = append(0, 0), append(3, 1)
+    assert one.first()["id"] == append(0, 0).first()["id"] != two.first()["id"]
+    assert store.find_missing(one.union(two), one).count() == 1
+    assert one.first()["data"].startswith('{"items":[{"v":null},')
+
+
+def test_bloat_knows_every_named_column_and_its_length(spark):
+    names = [f"c{i}" for i in range(12)]
+    df = spark.range(400).select("id", *[F.lit("hello").alias(c) for c in names])
+    grown = X.bloat(df, Draw(1, kind="portable"), "id", columns=names, p=1.0, extra_kb=32, strategy="repeat")
+    sizes = grown.select(*[(F.length(c) - 5).alias(c) for c in names])
+    long = {c for r in sizes.collect() for c in names if r[c]}
+    assert long == set(names) and {v for r in sizes.collect() for v in r if v} == {32 * 1024}
 
 
 def test_micro_batch_faults_can_be_replayed(spark):
