@@ -8,44 +8,50 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Strftime directive -> Spark datetime pattern letters.
-STRFTIME = {
-    "Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss", "f": "SSSSSS",
-    "j": "DDD", "y": "yy", "b": "MMM", "B": "MMMM", "a": "EEE", "A": "EEEE", "p": "a", "I": "hh",
-}
 DEFAULT_FORMAT = "%Y-%m-%dT%H:%M:%S%z"
 SECOND = 1_000_000
-
-
-def spark_pattern(fmt: str, offset: str = "+0000") -> str:
-    """Translate a strftime format; an unknown directive is an error at spec load."""
-    out, literal, i = [], "", 0
-
-    def flush() -> None:
-        nonlocal literal
-        if literal:
-            quoted = literal.replace("'", "''")
-            out.append(f"'{quoted}'" if re.search(r"[A-Za-z'\[\]{}#]", literal) else literal)
-            literal = ""
-
-    while i < len(fmt):
-        if fmt[i] != "%" or i + 1 >= len(fmt):
-            literal += fmt[i]
-            i += 1
-            continue
-        code = fmt[i + 1]
-        i += 2
-        if code == "%":
-            literal += "%"
-        elif code == "z":
-            literal += offset
-        elif code in STRFTIME:
-            flush()
-            out.append(STRFTIME[code])
+DAY = 86_400 * SECOND
+# English names, as strftime gives them.
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
+DIRECTIVES = frozenset("YmdHMSfjybBaApIz%")
+
+
+def calendar_day(us: Column) -> Column:
+    """The date of epoch microseconds on the UTC calendar, whatever the session's time zone."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(us / F.lit(DAY)).cast("int"))
+
+
+def time_parts(us: Column, fmt: str, offset: str = "+0000") -> list[Column]:
+    """The pieces of a strftime format. Everything is integer arithmetic on UTC micros and calendar dates, so no
+    session time zone takes part; an unknown directive is an error at spec load."""
+    day, inside = calendar_day(us), F.pmod(us, F.lit(DAY))
+    hour = F.floor(inside / F.lit(3600 * SECOND))
+
+    def digits(x: Column, n: int) -> Column:
+        return F.lpad(x.cast("bigint").cast("string"), n, "0")
+
+    def name(words: tuple[str, ...], at: Column, size: int | None = None) -> Column:
+        return F.element_at(F.array(*[F.lit(w[:size]) for w in words]), at.cast("int"))
+
+    parts = {
+        "Y": lambda: digits(F.year(day), 4), "y": lambda: digits(F.pmod(F.year(day), F.lit(100)), 2),
+        "m": lambda: digits(F.month(day), 2), "d": lambda: digits(F.dayofmonth(day), 2), "j": lambda: digits(F.dayofyear(day), 3),
+        "H": lambda: digits(hour, 2), "M": lambda: digits(F.floor(inside / F.lit(60 * SECOND)) % 60, 2),
+        "S": lambda: digits(F.floor(inside / F.lit(SECOND)) % 60, 2), "f": lambda: digits(inside % SECOND, 6),
+        "I": lambda: digits((hour + 11) % 12 + 1, 2), "p": lambda: F.when(hour < 12, "AM").otherwise("PM"),
+        "B": lambda: name(MONTHS, F.month(day)), "b": lambda: name(MONTHS, F.month(day), 3),
+        "A": lambda: name(WEEKDAYS, F.weekday(day) + 1), "a": lambda: name(WEEKDAYS, F.weekday(day) + 1, 3),
+        "z": lambda: F.lit(offset), "%": lambda: F.lit("%")}
+    out = []
+    for directive, plain in re.findall(r"%(.)|([^%]+|%$)", fmt, re.DOTALL):
+        if plain:
+            out.append(F.lit(plain))
+        elif directive in DIRECTIVES:
+            out.append(parts[directive]())
         else:
-            raise ValueError(f"unsupported time directive %{code} in {fmt!r}")
-    flush()
-    return "".join(out)
+            raise ValueError(f"unsupported time directive %{directive} in {fmt!r}")
+    return out
 
 
 def offset_seconds(tz: str | None) -> int:
@@ -65,7 +71,7 @@ def format_micros(us: Column, fmt: str | None = None, tz: str | None = None) ->
     sign, rest = ("-" if secs < 0 else "+"), abs(secs)
     text = f"{sign}{rest // 3600:02d}{rest % 3600 // 60:02d}"
     shifted = us + F.lit(secs * SECOND) if secs else us
-    return F.date_format(F.timestamp_micros(shifted), spark_pattern(fmt or DEFAULT_FORMAT, text))
+    return F.when(us.isNotNull(), F.concat(F.lit(""), *time_parts(shifted, fmt or DEFAULT_FORMAT, text)))
 
 
 def to_micros(value: object) -> int:
@@ -97,6 +103,30 @@ def epoch_to_micros(col: Column) -> Column:
 
 
 def text_to_micros(col: Column) -> Column:
-    """ISO text (naive = UTC) or ``yyyyMMdd`` to microseconds; null when neither parses."""
-    compact = F.when(F.length(col) == 8, F.try_to_timestamp(col, F.lit("yyyyMMdd")))
-    return F.unix_micros(F.coalesce(compact, F.try_to_timestamp(col)))
+    """ISO text (naive = UTC) or ``yyyyMMdd`` to microseconds; null when neither parses.
+
+    A text without a zone gets one before it is parsed, so the session's time zone never decides.
+    """
+    text = F.trim(col)
+    compact = F.try_to_date(F.when(text.rlike(r"^\d{8}$"), text), "yyyyMMdd")
+    plain = F.try_to_date(F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), text))
+    day = F.unix_date(F.coalesce(compact, plain)).cast("bigint") * F.lit(DAY)
+    zoned = text.rlike(r"(?i)(Z|UTC|GMT|[+-]\d{1,2}(:?\d{2}){0,2}|[a-z]+/[a-z_]+)$")
+    moment = F.unix_micros(F.try_to_timestamp(F.when(zoned, text).otherwise(F.concat(text, F.lit("Z")))))
+    return F.when(text.rlike(r"^(\d{8}|\d{4}-\d{1,2}-\d{1,2})$"), day).otherwise(moment)
+
+
+def clock_to_micros(col: Column) -> Column:
+    """A time-zone free timestamp, read as UTC."""
+    seconds = (F.hour(col) * 3600 + F.minute(col) * 60).cast("bigint") * SECOND
+    return (F.unix_date(col.cast("date")).cast("bigint") * F.lit(DAY) + seconds
+            + (F.date_part(F.lit("SECOND"), col) * SECOND).cast("bigint"))
+
+
+def micros_to_clock(us: Column) -> Column:
+    """A time-zone free timestamp that shows UTC."""
+    day, inside = calendar_day(us), F.pmod(us, F.lit(DAY))
+    return F.make_timestamp_ntz(
+        F.year(day), F.month(day), F.dayofmonth(day), F.floor(inside / F.lit(3600 * SECOND)).cast("int"),
+        (F.floor(inside / F.lit(60 * SECOND)) % 60).cast("int"),
+        ((inside % F.lit(60 * SECOND)).cast("decimal(20,6)") / F.lit(SECOND)).cast("decimal(16,6)"))

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from synthloom.functions import lists as L
 from synthloom.functions import text as X
 from synthloom.functions.draw import Draw, below
-from synthloom.functions.times import SECOND, text_to_micros
+from synthloom.functions.times import SECOND, clock_to_micros, format_micros, micros_to_clock, text_to_micros
 from synthloom.plans.compile import let
 from synthloom.session import hash_position, lookup_join, top_per_key
 
@@ -485,11 +485,10 @@ def write_time(old: Column, dtype: T.DataType, us: Column) -> Column:
     if isinstance(dtype, T.TimestampType):
         return F.timestamp_micros(us)
     if isinstance(dtype, T.TimestampNTZType):
-        return F.timestamp_micros(us).cast("timestamp_ntz")
+        return micros_to_clock(us)
     if isinstance(dtype, T.StringType):
-        moment = F.timestamp_micros(us)
-        fraction = F.when(us % SECOND != 0, F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).otherwise(
-            F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss"))
+        fraction = F.when(us % SECOND != 0, format_micros(us, "%Y-%m-%dT%H:%M:%S.%f")).otherwise(
+            format_micros(us, "%Y-%m-%dT%H:%M:%S"))
         zoned = old.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
         return (F.when(old.rlike(r"^-?\d{15,}$"), us.cast("string"))
                 .when(old.rlike(r"^-?\d+$") & (F.length(old) != 8), F.floor(us / SECOND).cast("string"))
@@ -499,13 +498,15 @@ def write_time(old: Column, dtype: T.DataType, us: Column) -> Column:
 
 def read_time(col: Column, dtype: T.DataType) -> Column:
     """Epoch microseconds of a time value: timestamp, epoch s/us number, ISO or epoch text."""
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(col.cast("timestamp"))
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(col)
+    if isinstance(dtype, T.TimestampNTZType):
+        return clock_to_micros(col)
     if isinstance(dtype, T.StringType):
         number = col.try_cast("bigint")
         return (F.when(col.rlike(r"^-?\d{15,}$"), number)
                 .when(col.rlike(r"^-?\d+$") & (F.length(col) != 8), number * SECOND)
-                .otherwise(F.unix_micros(F.coalesce(F.try_to_timestamp(col), F.try_to_timestamp(col, F.lit("yyyyMMdd"))))))
+                .otherwise(text_to_micros(col)))
     return F.when(F.abs(col) >= 10**15, col.cast("bigint")).otherwise((col * SECOND).cast("bigint"))
 
 
