@@ -18,14 +18,21 @@ def count_bucket(col: Column) -> Column:
             .when(col <= 10000, "1001-10000").otherwise("10000+"))
 
 
-def exact(value: str | Column, scale: int = 6) -> Column:
-    """Doubles summed as decimals: the total does not depend on the order rows arrive in."""
-    return (F.col(value) if isinstance(value, str) else value).cast(f"decimal(28,{scale})")
+def exact_sum(value: str | Column) -> Column:
+    """Sum of numbers as a double that does not depend on the order of rows, where decimals can hold them.
+
+    Twelve decimal places do for values from 1e-6 to 1e20; a group with smaller or larger ones is summed as doubles.
+    """
+    v = (F.col(value) if isinstance(value, str) else value).cast("double")
+    size = F.abs(v)
+    held = (F.coalesce(F.max(size), F.lit(0.0)) < 1e20) & (F.coalesce(F.min(F.when(size > 0, size)), F.lit(1.0)) >= 1e-6)
+    decimals = F.try_sum(F.when(size < 1e20, v).try_cast("decimal(38,12)")).cast("double")
+    return F.when(held, F.coalesce(decimals, F.sum(v))).otherwise(F.sum(v))
 
 
 def labelled_counter(df: DataFrame, labels: list[str], value: str | None = None) -> DataFrame:
     """Total per label set: the number of rows, or the sum of ``value``."""
-    total = F.count("*") if value is None else F.sum(exact(value)).cast("double")
+    total = F.count("*") if value is None else exact_sum(value)
     return df.groupBy(*labels).agg(total.alias("total"))
 
 
@@ -37,7 +44,7 @@ def histogram(df: DataFrame, value: str, bounds: list[float], labels: list[str])
     edges = sorted(bounds)
     wide = df.groupBy(*labels).agg(
         *[F.count_if(F.col(value) <= b).alias(f"_b{i}") for i, b in enumerate(edges)],
-        F.count(value).alias("count"), F.sum(exact(value)).cast("double").alias("sum"))
+        F.count(value).alias("count"), exact_sum(value).alias("sum"))
     rows = F.array(*[F.struct(F.lit(float(b)).alias("le"), F.col(f"_b{i}").alias("bucket"))
                      for i, b in enumerate(edges)],
                    F.struct(F.lit(INF).alias("le"), F.col("count").alias("bucket")))
@@ -46,7 +53,7 @@ def histogram(df: DataFrame, value: str, bounds: list[float], labels: list[str])
 
 def rate(df: DataFrame, ts: str, labels: list[str], window: str = "1 minute", value: str | None = None) -> DataFrame:
     """Per-second increase per window and label set."""
-    total = F.count("*").cast("double") if value is None else F.sum(exact(value)).cast("double")
+    total = F.count("*").cast("double") if value is None else exact_sum(value)
     w = F.window(F.col(ts).cast("timestamp"), window)
     agg = df.groupBy(w.alias("_w"), *labels).agg(total.alias("_total"))
     start, end = F.unix_micros("_w.start"), F.unix_micros("_w.end")
@@ -85,7 +92,7 @@ def gauge_by_label(df: DataFrame, value: str, ts: str, series: list[str], label:
     """Last value of each series, then maximum and sum per label."""
     last = df.groupBy(label, *series).agg(F.max_by(value, F.struct(ts, tie)).alias("_last"))
     return last.groupBy(label).agg(
-        F.max("_last").alias("max_value"), F.sum(exact("_last")).cast("double").alias("sum_value"))
+        F.max("_last").alias("max_value"), exact_sum("_last").alias("sum_value"))
 
 
 def percentiles(df: DataFrame, value: str, qs: list[float], accuracy: int = 10_000) -> DataFrame:
@@ -137,12 +144,11 @@ def half_compare(df: DataFrame, ts: str, value: str) -> DataFrame:
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     span = df.agg(F.struct(F.min(us).alias("a"), F.max(us).alias("b")).alias("s")).scalar()
     half = (us - span["a"]) * 2 < (span["b"] - span["a"])
-    sides = df.select(exact(value).alias("v"), half.alias("h")).agg(*[
+    sides = df.select(F.col(value).alias("v"), half.alias("h")).agg(*[
         f.alias(n) for n, f in {
-            "s1": F.sum(F.when(F.col("h"), F.col("v"))), "n1": F.count_if(F.col("h")),
-            "s2": F.sum(F.when(~F.col("h"), F.col("v"))), "n2": F.count_if(~F.col("h"))}.items()])
-    first = F.col("s1").cast("double") / F.col("n1")
-    second = F.col("s2").cast("double") / F.col("n2")
+            "s1": exact_sum(F.when(F.col("h"), F.col("v"))), "n1": F.count_if(F.col("h")),
+            "s2": exact_sum(F.when(~F.col("h"), F.col("v"))), "n2": F.count_if(~F.col("h"))}.items()])
+    first, second = F.col("s1") / F.col("n1"), F.col("s2") / F.col("n2")
     return sides.select(first.alias("first_half"), second.alias("second_half"),
                         ((second - first) / first * 100.0).alias("change_pct"))
 

@@ -130,29 +130,14 @@ def carried(df: DataFrame, keys: list[str], slice_of: Column, aggs: dict[str, Co
     return sliced.join(handed, [*keys, "_slice"])
 
 
-HOT_KEYS = 64
+def lookup_join(df: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join to a table with one row per key; rows without a key stay.
 
-
-def lookup_join(df: DataFrame, lookup: DataFrame, keys: list[str], salts: int = 64) -> DataFrame:
-    """Left join to a table with one row per key, safe when a few keys hold most rows.
-
-    Keys above 1/64 of the rows (so fewer than 64 of them, whatever the data) are found by one
-    aggregate over the key columns; their rows are spread over ``salts`` and only their lookup rows
-    are repeated. Rows without a key are spread too. A small lookup is broadcast by its size as usual.
+    A plain join reads either side once, so lookups can be chained: the plan grows by one join each. A key
+    that holds most rows is split by adaptive execution's skew handling, which a left join allows for its
+    left side; a small lookup is broadcast by its measured size.
     """
-    total = df.agg(F.count("*").alias("n")).scalar()
-    hot = (df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") * HOT_KEYS > total)
-           .select(*keys, F.lit(True).alias("_hot")))
-    hashable = [f"`{c}`" for c, t in df.dtypes if "map<" not in t and "variant" not in t]
-    empty = F.lit(False)
-    for k in keys:
-        empty = empty | F.col(k).isNull()
-    spread = F.coalesce(F.col("_hot"), F.lit(False)) | empty
-    left = df.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.when(spread, F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = lookup.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return left.join(right, [*keys, "_salt"], "left").drop("_salt")
+    return df.join(lookup, keys, "left")
 
 
 def islands(df: DataFrame, keys: list[str], order: str, ts_us: str, gap_us: int, width: int,

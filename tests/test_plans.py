@@ -117,3 +117,25 @@ def test_deep_json_is_refused(spark):
     doc = '{"a":' * 12 + "1" + "}" * 12
     with pytest.raises(Exception, match="nested deeper"):
         detect.key_profile(spark.createDataFrame([(doc,)], "doc string"), "doc").collect()
+
+
+def test_chained_lookups_scan_the_table_once(spark, tmp_path):
+    from synthloom.session import lookup_join
+    spark.range(100).selectExpr("id", *[f"id % {k + 2} as k{k}" for k in range(4)]).write.parquet(str(tmp_path / "facts"))
+    df = spark.read.parquet(str(tmp_path / "facts"))
+    for k in range(4):
+        names = spark.range(9).select(F.col("id").alias(f"k{k}"), F.concat(F.lit("n"), "id").alias(f"name{k}"))
+        df = lookup_join(df, names, [f"k{k}"])
+    text = plan(df)
+    assert text.split("\n\n")[0].count("Scan parquet") == 1 and df.count() == 100
+
+
+def test_sums_keep_small_and_large_numbers(spark):
+    from synthloom.operators import metrics
+    small = spark.range(1000).selectExpr("'a' as g", "1e-7D as v")
+    assert abs(metrics.labelled_counter(small, ["g"], "v").first()["total"] - 1e-4) < 1e-15
+    large = spark.range(3).selectExpr("'a' as g", "1e23D as v")
+    assert metrics.labelled_counter(large, ["g"], "v").first()["total"] == pytest.approx(3e23)
+    cents = spark.range(1000).selectExpr("'a' as g", "0.1D as v")
+    assert metrics.labelled_counter(cents, ["g"], "v").first()["total"] == 100.0
+    assert metrics.labelled_counter(cents.selectExpr("g", "cast(null as double) v"), ["g"], "v").first()["total"] is None
