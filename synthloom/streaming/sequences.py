@@ -132,7 +132,9 @@ def arrival_shape(df: DataFrame, row: str, base_rate: int, bursts: list[tuple[fl
         raise ValueError("rates must be positive")
     out = None
     for first, start, rate in reversed(arrival_segments(base_rate, list(bursts))):
-        at = F.lit(start) + F.floor((F.col(row) - F.lit(first)) * F.lit(SECOND) / F.lit(rate))
+        since = F.col(row).cast("bigint") - F.lit(first)  # whole seconds and the rest, in integers throughout
+        rest = F.call_function("div", (since % F.lit(rate)) * F.lit(SECOND), F.lit(rate).cast("bigint"))
+        at = F.lit(start) + F.call_function("div", since, F.lit(rate).cast("bigint")) * F.lit(SECOND) + rest
         hit = F.col(row) >= first
         out = F.when(hit, at) if out is None else out.when(hit, at)
     return df.withColumn(name, out)
