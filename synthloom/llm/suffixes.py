@@ -25,7 +25,7 @@ from synthloom.llm.common import mix, set_batches, stored, tasks_of
 ANCHOR = 24                       # bytes of an anchor
 PERIOD, COVER = 16, (0, 1, 2, 4, 8)  # every distance modulo 16 is a difference of two members
 WIDE = 4096                       # an anchor in more documents has its suffixes dealt out one by one
-BLOCK = 4 << 20                   # bytes of slices sorted at once; one bucket may be larger
+BLOCK = 2 << 20                   # bytes of slices sorted at once; one bucket may be larger
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -39,8 +39,9 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     if n < length:
         return none, none, none, none, none.view(np.uint64)
     hashed = np.zeros(n - ANCHOR + 1, np.uint64)
+    word = _words8(data)
     for k in range(0, ANCHOR, 8):
-        hashed = mix(hashed * np.uint64(BASE) + _words8(data, k, len(hashed)))
+        hashed = mix(hashed * np.uint64(BASE) + word[k:k + len(hashed)].astype(np.uint64))
     window = length - ANCHOR + 1
     low = np.uint64(0xFFFFFF)
     if n > int(low):
@@ -65,63 +66,65 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     return text[head], start[head], many, at[head], hashed[at[head]]
 
 
-def _words8(data: np.ndarray, shift: int, n: int) -> np.ndarray:
-    """Eight bytes from each position on, as one number."""
-    out = np.zeros(n, np.uint64)
-    for k in range(8):
-        out = (out << np.uint64(8)) | data[shift + k:shift + k + n]
+def _words8(data: np.ndarray) -> np.ndarray:
+    """A view of the eight bytes from each position on as one number, first byte highest."""
+    return np.ndarray((len(data) - 7,), ">u8", np.ascontiguousarray(data), strides=(1,))
+
+
+def _dense(x: np.ndarray) -> np.ndarray:
+    """Rank of each value among the distinct values."""
+    order = np.argsort(x)
+    sorted_ = x[order]
+    out = np.zeros(len(x), np.int64)
+    if len(x):
+        out[order] = np.concatenate([[0], np.cumsum(sorted_[1:] != sorted_[:-1])])
     return out
 
 
+def _joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Rank of pairs of ranks."""
+    return _dense(first * (int(second.max()) + 1 if len(second) else 1) + second)
+
+
 class CoverRanks:
-    """Ranks of the sample suffixes of a buffer whose slices end at ``ends`` (per byte), cut at ``depth`` bytes."""
+    """Ranks of a buffer's sample suffixes, cut at ``depth`` bytes, by doubling over samples a period apart.
+
+    ``classes[d][rank]`` is equal for sample suffixes with at least ``depth - d`` bytes in common.
+    """
 
     def __init__(self, data: np.ndarray, depth: int) -> None:
         self.delta = np.array([min((d - r) % PERIOD for d in COVER) for r in range(PERIOD)])
         member = np.zeros(PERIOD, bool)
         member[list(COVER)] = True
-        self.sample = np.flatnonzero(np.resize(member, len(data) - depth - 8))
-        columns = [_words8_at(data, self.sample + k) for k in range(0, depth, 8)]
-        tail = depth % 8
-        if tail:
-            columns[-1] = columns[-1] & ~np.uint64((1 << 8 * (8 - tail)) - 1)
-        order = np.lexsort(columns[::-1])
-        same = np.zeros(len(order), np.int64)  # common bytes with the sample suffix before
-        going = np.ones(max(0, len(order) - 1), bool)
-        for c in columns:
-            differ = c[order[1:]] ^ c[order[:-1]]
-            lead = np.where(differ == 0, 8, 7 - np.floor(np.log2(np.maximum(differ, 1).astype(np.float64))).astype(np.int64) // 8)
-            # rounding to a float may raise a value to the next power of two, never over a byte border downwards
-            lead = np.where((differ != 0) & (lead < 7) & (differ >> (np.uint64(8) * (7 - np.minimum(lead, 7)).astype(np.uint64)) == 0),
-                            lead + 1, lead)
-            same[1:] += np.where(going, lead, 0)
-            going &= differ == 0
-        self.common = np.minimum(same, depth)
+        sample = np.flatnonzero(np.resize(member, len(data) - depth - 2 * PERIOD))
+        word = _words8(data)
+        place = np.zeros(len(data), np.int64)
+        unit = _joined(_dense(word[sample].astype(np.uint64)), _dense(word[sample + 8].astype(np.uint64)))
+        place[sample] = unit
+        rank, reach = unit, PERIOD
+        while reach + PERIOD <= depth:
+            rank, reach = _joined(rank, place[sample + reach]), reach + PERIOD
+        while reach < depth:
+            rest = word[sample + reach].astype(np.uint64)
+            if depth - reach < 8:
+                rest >>= np.uint64(8 * (8 - (depth - reach)))
+            rank, reach = _joined(rank, _dense(rest)), min(depth, reach + 8)
+        order = np.argsort(rank)
         self.rank = np.full(len(data), -1, np.int64)
-        self.rank[self.sample[order]] = np.arange(len(order))
-        self.levels = [self.common]
-        while (1 << len(self.levels)) <= len(self.common):
-            last, step = self.levels[-1], 1 << (len(self.levels) - 1)
-            self.levels.append(np.minimum(last[:-step], last[step:]))
-
-    def lcp(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Common bytes of sample suffixes of ranks a <= b, at most ``depth``."""
-        span = b - a
-        out = np.full(len(a), np.iinfo(np.int64).max)
-        some = np.flatnonzero(span > 0)
-        level = np.floor(np.log2(span[some])).astype(np.int64)
-        for k in np.unique(level).tolist():
-            at = some[level == k]
-            table = self.levels[k]
-            out[at] = np.minimum(table[a[at] + 1], table[b[at] + 1 - (1 << k)])
-        return out
-
-
-def _words8_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(at), np.uint64)
-    for k in range(8):
-        out = (out << np.uint64(8)) | data[at + k]
-    return out
+        self.rank[sample[order]] = np.arange(len(order))
+        common = np.zeros(len(order), np.int64)  # bytes in common with the sample suffix before
+        going = np.arange(1, len(order))
+        for k in range(0, depth, 8):
+            x = word[sample[order[going]] + k].astype(np.uint64) ^ word[sample[order[going - 1]] + k].astype(np.uint64)
+            lead = np.zeros(len(x), np.int64)
+            for half in (32, 16, 8):  # leading zero bytes, by halves
+                empty = x < np.uint64(1) << np.uint64(64 - half)
+                lead += empty * (half // 8)
+                x = np.where(empty, x << np.uint64(half), x)
+            same = (lead == 7) & (x == 0)
+            common[going] += np.where(same, 8, lead)
+            going = going[same]
+        self.classes = [np.cumsum(common < depth - d).astype(np.int32) for d in range(int(self.delta.max()) + 1)]
 
 
 def least_documents(slices: list[bytes], anchor: np.ndarray, many: np.ndarray, bucket: np.ndarray,
@@ -134,7 +137,7 @@ def least_documents(slices: list[bytes], anchor: np.ndarray, many: np.ndarray, b
     lead = (-anchor) % PERIOD                      # so that the anchor lies on a multiple of the period
     room = -(-(lead + sizes) // PERIOD) * PERIOD
     begin = np.cumsum(room) - room + lead
-    data = np.zeros(int(room.sum()) + 2 * length + 40, np.uint8)
+    data = np.zeros(int(room.sum()) + 4 * length + 80, np.uint8)
     flat = np.frombuffer(b"".join(slices), np.uint8)
     data[np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(flat))] = flat
     ranks = CoverRanks(data, length)
@@ -143,12 +146,20 @@ def least_documents(slices: list[bytes], anchor: np.ndarray, many: np.ndarray, b
     at = begin[own] + step
     delta = ranks.delta[at % PERIOD]
     rank = ranks.rank[at + delta]
-    first, second = _words8_at(data, at), _words8_at(data, at + 8)
-    group = bucket[own] * 256 + (anchor[own] - step)  # suffixes of one bucket that start alike have one distance
-    order = np.lexsort((rank, second, first, group))
+    lead = _words8(data)[at].astype(np.uint64)     # the bytes before the next sample; none where it starts here
+    lead = np.where(delta > 0, lead >> (np.uint64(64) - np.uint64(8) * np.maximum(delta, 1).astype(np.uint64)), np.uint64(0))
+    group = _dense(bucket[own] * 256 + (anchor[own] - step))  # suffixes of a bucket that start alike have one distance
+    lead = _dense(lead)
+    tops = [int(x.max()) + 1 if len(x) else 1 for x in (group, lead, rank)]
+    if tops[0] * tops[1] * tops[2] < 1 << 62:
+        order = np.argsort((group * tops[1] + lead) * tops[2] + rank)
+    else:
+        order = np.lexsort((rank, lead, group))
     a, b = order[:-1], order[1:]
-    alike = (group[a] == group[b]) & (first[a] == first[b]) & (second[a] == second[b])
-    alike[alike] = ranks.lcp(rank[a[alike]], rank[b[alike]]) >= length - delta[a[alike]]
+    alike = (group[a] == group[b]) & (lead[a] == lead[b])
+    for d, of in enumerate(ranks.classes):
+        here = np.flatnonzero(alike & (delta[a] == d))
+        alike[here] = of[rank[a[here]]] == of[rank[b[here]]]
     heads = np.concatenate([[0], np.flatnonzero(~alike) + 1]) if len(order) else np.zeros(0, np.int64)
     least = np.minimum.reduceat(owner[own][order], heads) if len(order) else owner[own]
     out = np.empty(len(own), np.int64)
@@ -156,7 +167,7 @@ def least_documents(slices: list[bytes], anchor: np.ndarray, many: np.ndarray, b
     return np.split(out, np.cumsum(many)[:-1])
 
 
-def _texts(batch: pa.RecordBatch, limit: int = 8 << 20) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
+def _texts(batch: pa.RecordBatch, limit: int = 2 << 20) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
     """(first row, texts, bytes, offsets) for pieces of a batch of at most ``limit`` bytes or one text."""
     texts = [t.encode() if t else b"" for t in batch.column("text").to_pylist()]
     at = 0
@@ -202,18 +213,16 @@ def repeated_anchors(rows: DataFrame, length: int, parts: int) -> DataFrame:
             if not docs:
                 continue
             doc, key = np.concatenate(docs), np.concatenate(keys)
-            order = np.lexsort((doc, key))
+            order = np.argsort(key)
             doc, key = doc[order], key[order]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-            doc, key = doc[new], key[new]
             part = ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)  # ascending with the key
             bounds = np.searchsorted(part, np.arange(parts + 1))
             out = []
             for p in range(parts):
                 s, e = int(bounds[p]), int(bounds[p + 1])
                 if s < e:
-                    used, small = np.unique(doc[s:e], return_inverse=True)
+                    held = np.bincount(doc[s:e], minlength=len(names)) > 0
+                    used, small = np.flatnonzero(held), (np.cumsum(held) - 1)[doc[s:e]]
                     planes = np.ascontiguousarray(key[s:e].view(np.uint8).reshape(-1, 8).T).tobytes()
                     out.append((p, pack(planes), pack(small.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()),
                                 names[used].tobytes(), digests[used].tobytes()))
@@ -238,12 +247,14 @@ def repeated_anchors(rows: DataFrame, length: int, parts: int) -> DataFrame:
                 base += len(names[-1])
             key, doc = np.concatenate(keys), np.concatenate(docs)
             name, digest = np.concatenate(names), np.concatenate(digests)
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             key, doc = key[order], doc[order]
             head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            count = np.repeat(np.diff(np.append(head, len(key))), np.diff(np.append(head, len(key))))
-            keep = np.flatnonzero(count > 1)
-            key, doc, wide = key[keep], doc[keep], count[keep] > WIDE
+            many, text = np.diff(np.append(head, len(key))), digest[doc]
+            several = np.minimum.reduceat(text, head) != np.maximum.reduceat(text, head)  # copies of one text count as one
+            keep = np.flatnonzero(np.repeat(several, many))
+            wide = np.repeat(many > WIDE, many)[keep]
+            key, doc = key[keep], doc[keep]
             order = np.argsort(doc, kind="stable")
             key, doc, wide = key[order], doc[order], wide[order]
             head = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
@@ -402,8 +413,14 @@ def changed_texts(rows: DataFrame, length: int) -> DataFrame:
     if not ANCHOR + 1 <= length <= ANCHOR + 60:
         raise ValueError(f"length must lie between {ANCHOR + 1} and {ANCHOR + 60}")
     usable = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
+    # a copy of a smaller document's text loses everything, and has nothing that the smaller one has not
+    names = stored(usable.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n"), F.sha2("text", 256).alias("own")), "names")
+    firsts = names.groupBy("own").agg(F.min("doc_id").alias("least"))
+    marked = stored(names.join(firsts, "own").withColumn("copy", F.col("doc_id") > F.col("least")).select(
+        "doc_id", "digest", "n", "copy").distinct(), "copies")
     anchors = stored(repeated_anchors(usable, length, tasks_of(rows.sparkSession)), "anchors")
     lists = anchors.groupBy("doc_id", "digest").agg(F.collect_list("anchors").alias("anchors"), F.collect_list("wide").alias("wide"))
+    lists = lists.join(marked.where("NOT copy"), ["doc_id", "digest"], "left_semi")
     needed = stored(usable.join(lists, ["doc_id", "digest"]), "repeats")
     spans = removed_runs(needed, length).groupBy("doc_id", "digest").agg(F.collect_set(F.struct("start", "bits")).alias("runs"))
 
@@ -430,8 +447,10 @@ def changed_texts(rows: DataFrame, length: int) -> DataFrame:
                  pa.array(digests, pa.string()), pa.array(kept, pa.binary())],
                 ["doc_id", "digest", "removed", "spans", "sha", "kept"])
 
-    return needed.dropDuplicates(["doc_id", "digest"]).select("doc_id", "digest", "text").join(
+    parts = needed.dropDuplicates(["doc_id", "digest"]).select("doc_id", "digest", "text").join(
         spans, ["doc_id", "digest"]).mapInArrow(cut, "doc_id long, digest long, removed long, spans long, sha string, kept binary")
+    return parts.union(marked.where("copy").select("doc_id", "digest", "n", F.lit(1).cast("long"), F.sha2(F.lit(""), 256),
+                                                   F.lit("").cast("binary")))
 
 
 def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
