@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Iterator
 
@@ -23,15 +24,22 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 
 def set_batches(spark: SparkSession) -> None:
     """Let Arrow batches be bounded by bytes, so that very long texts do not add up."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    A collection on the driver then lets Spark delete the shuffle files of stages that nothing refers to any more.
+    """
+    spark, schema = df.sparkSession, df.schema
     path = work_dir(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.range(1).count()  # the session refers to its last execution
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def tasks_of(spark: SparkSession) -> int:
