@@ -47,6 +47,12 @@ def user_sequence_stream(spark, sf):
     return run_stream(out, "sequence").select("user_id", "tick")
 
 
+@suite.add("st1_user_sequence_stream_events", f"SELECT user_id, event_id, {START}+{_POS}*{INC} AS tick FROM events")
+def user_sequence_stream_events(spark, sf):
+    sdf = stream_table(spark, sf, "events").select("user_id", E)
+    return run_stream(SQ.user_sequence_stream(sdf, ["user_id"], E, START, INC), "sequence").select("user_id", E, "tick")
+
+
 @suite.add("st2_wallclock_sequence", """
 SELECT event_id, 500+(epoch_us(ts)-1704067200000000)//60000000*60000000 AS tick FROM events""")
 def wallclock_sequence(spark, sf):

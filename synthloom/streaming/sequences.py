@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -14,6 +16,8 @@ from synthloom.functions.times import SECOND, format_micros
 from synthloom.session import islands, keyed_position
 
 TTL_SECONDS = 86_400
+RUN_ROWS = 500_000    # rows of a user that are sorted in memory
+BLOCK_ROWS = 10_000   # rows of each sorted run that a merge holds
 
 
 def shown(us: Column, fmt: str | None, tz: str | None) -> Column:
@@ -29,19 +33,62 @@ def user_sequence(df: DataFrame, user: list[str], order: str, start: int, inc: i
     return placed.withColumn(name, shown(us, fmt, tz)).drop("_pos")
 
 
+def in_order(chunks: Iterator[pd.DataFrame], order: str, run_rows: int, block_rows: int) -> Iterator[pd.DataFrame]:
+    """All rows of the chunks in order (nulls last), in pieces; memory holds one run and a block of every other run."""
+    with tempfile.TemporaryDirectory() as folder:
+        runs, held, n = [], [], 0
+        for chunk in chunks:
+            held.append(chunk)
+            n += len(chunk)
+            if n >= run_rows:
+                path = f"{folder}/{len(runs)}"
+                table = pa.Table.from_pandas(pd.concat(held).sort_values(order, kind="stable"), preserve_index=False)
+                with pa.OSFile(path, "wb") as f, pa.ipc.new_file(f, table.schema) as out:
+                    out.write_table(table, max_chunksize=block_rows)
+                runs.append(path)
+                held, n = [], 0
+        rest = pd.concat(held).sort_values(order, kind="stable") if held else None
+        if not runs:
+            if rest is not None and len(rest):
+                yield rest
+            return
+        readers = [blocks(path) for path in runs] + ([iter([rest])] if rest is not None else [])
+        loaded: list[pd.DataFrame | None] = [next(r, None) for r in readers]
+        while any(b is not None for b in loaded):
+            ends = [b[order].iloc[-1] for b in loaded if b is not None]
+            ends = [e for e in ends if not pd.isna(e)]
+            limit = min(ends) if ends else None
+            taken = []
+            for i, b in enumerate(loaded):
+                if b is None:
+                    continue
+                upto = len(b) if limit is None else int((b[order] <= limit).sum())
+                taken.append(b.iloc[:upto])
+                loaded[i] = b.iloc[upto:] if upto < len(b) else next(readers[i], None)
+            yield pd.concat(taken).sort_values(order, kind="stable")
+
+
+def blocks(path: str) -> Iterator[pd.DataFrame]:
+    """Pieces of a sorted run."""
+    with pa.OSFile(path) as f, pa.ipc.open_file(f) as run:
+        for k in range(run.num_record_batches):
+            yield run.get_batch(k).to_pandas()
+
+
 def user_sequence_stream(sdf: DataFrame, user: list[str], order: str, start: int, inc: int,
                          name: str = "tick", ts_us: str | None = None, ttl_seconds: int = TTL_SECONDS,
                          drop_idle_seconds: int | None = None) -> DataFrame:
     """Streaming form: the last value per user is kept as state and survives restarts.
 
-    Rows pass through in Arrow chunks; each chunk advances the state by its length, so a busy user is
-    never gathered as a whole. With ``ts_us`` a pause above ``ttl_seconds`` restarts the user's sequence.
+    A user's rows of a micro-batch arrive in Arrow chunks and are numbered by ``order`` over all of them: beyond
+    ``RUN_ROWS`` rows, sorted runs go to local files and are merged block by block. With ``ts_us`` a pause above ``ttl_seconds`` restarts the user's sequence.
     ``drop_idle_seconds`` also frees the state of silent users by wall clock; use it with a continuous
     trigger only (a timeout keeps an ``availableNow`` query waiting).
     """
     columns = [*user, order] + ([ts_us] if ts_us else [])
     fields = {f.name: f for f in sdf.schema.fields}
     out_schema = ", ".join(f"`{c}` {fields[c].dataType.simpleString()}" for c in columns) + f", `{name}` bigint"
+    run_rows, block_rows = RUN_ROWS, BLOCK_ROWS
     timeout = GroupStateTimeout.ProcessingTimeTimeout if drop_idle_seconds else GroupStateTimeout.NoTimeout
 
     def advance(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -49,8 +96,8 @@ def user_sequence_stream(sdf: DataFrame, user: list[str], order: str, start: int
             state.remove()
             return
         last, seen = state.get if state.exists else (start, None)
-        for chunk in chunks:
-            rows = chunk[columns].sort_values(order)
+        for rows in in_order((c[columns] for c in chunks), order, run_rows, block_rows):
+            rows = rows.copy()
             steps = np.arange(1, len(rows) + 1, dtype="int64")
             base = np.full(len(rows), last, dtype="int64")
             if ts_us:

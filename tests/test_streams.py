@@ -165,3 +165,23 @@ def test_micro_batch_faults_can_be_replayed(spark):
     ST.each_batch(sdf, damage, folder + "/out", folder + "/s1").awaitTermination(60)
     ST.each_batch(sdf, damage, folder + "/out", folder + "/s2").awaitTermination(60)
     assert spark.read.parquet(folder + "/out").select("ord").distinct().count() == 50 == spark.read.parquet(folder + "/out").count()
+
+
+@pytest.mark.parametrize("run_rows", [10**6, 100])
+def test_user_sequence_follows_order_over_chunks(spark, monkeypatch, run_rows):
+    """Rows of one user in descending order, in Arrow chunks of 10: in memory and by merged runs."""
+    monkeypatch.setattr(SQ, "RUN_ROWS", run_rows)
+    monkeypatch.setattr(SQ, "BLOCK_ROWS", 7)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "10")
+    try:
+        folder, schema = work_dir(spark, "order"), "user int, n bigint, us bigint"
+        rows = [(1, i, i * 60_000_000 + (2 * DAY_US if i >= 300 else 0)) for i in range(450)]
+        feed(spark, folder + "/in", rows[::-1][::2] + rows[::-1][1::2], schema)
+        sdf = spark.readStream.schema(schema).parquet(folder + "/in")
+        run(SQ.user_sequence_stream(sdf, ["user"], "n", 0, 1, ts_us="us"), folder)
+    finally:
+        spark.conf.set(key, old)
+    got = spark.read.parquet(folder + "/out").orderBy("n").collect()
+    assert [r["tick"] for r in got] == [i + 1 if i < 300 else i - 299 for i in range(450)]
