@@ -147,3 +147,20 @@ def test_suffix_tree_learns_contexts_and_sums_to_one(spark):
         assert abs(sum(10 ** score[len(context)::len(context) + 1]) + (1 - known) - 1) < 0.02, context
     _, base, model = score_tokens(tree, np.array([h[w] for w in "abcdxbef"], np.uint64), np.array([0, 8]))
     assert model.sum() > base.sum() + 1
+
+
+def test_suffix_tree_keeps_rare_long_contexts_of_a_large_corpus(spark):
+    """Forty occurrences of a passage that three words of context decide, in 200,000 other tokens."""
+    import random
+    rng = random.Random(9)
+    other = [" ".join(f"w{rng.randrange(20)}" for _ in range(2000)) for _ in range(100)]
+    passage = ["left m n o yes", "right m n o no"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(other + passage * 40)] + [(-1, passage[0]), (-2, passage[0].replace("yes", "no"))],
+                                 "doc_id long, text string")
+    runs = []
+    for share in (1e-9, 1e-3, 2.0):  # all strings, some and none travel with the task
+        got = {r["doc_id"]: r for r in suffix_tree_scores(docs, F.col("doc_id") >= 0, F.col("doc_id") < 0, Sizes(frequent=share)).collect()}
+        runs.append({k: round(r["score"], 6) for k, r in got.items()})
+    assert runs[0] == runs[1] == runs[2]
+    assert runs[0][-1] > runs[0][-2] + 0.3
+    assert runs[0][-1] > got[-1]["base_score"] + 5
