@@ -11,10 +11,12 @@ from synthloom.llm.minhash import near_duplicates
 from synthloom.llm.packing import pack_documents
 from synthloom.llm.pieces import sentence_pieces
 from synthloom.llm.quality import score_quality
+from synthloom.llm.search import ranked_search, search_sql
 from synthloom.llm.suffixtree import suffix_tree_scores
 from synthloom.llm.suffixes import suffix_dedup
 from synthloom.llm.tokenshards import token_shards
 from synthloom.llm.toxicity import score_toxicity
+from synthloom.llm.urlfilter import filter_urls, rule
 
 WORD_BPE = "word_bpe_49k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -63,8 +65,19 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree_scores(documents(spark, sf_dir), rest != 0, rest == 0)
 
 
+URL_RULES = [rule("block", "net/"), rule("allow", "example.net/en/"), rule("block", "example.com/de/"), rule("allow", "org/fr/")]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(documents(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"), k=50)
+
+
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_embedding_dedup": op2_embedding_dedup,
            "op3_suffix_dedup": op3_suffix_dedup, "op4_fingerprints": op4_fingerprints, "op5_quality": op5_quality,
            "op6_packing": op6_packing, "op7_minhash_dedup": op7_minhash_dedup, "op8_token_shards": op8_token_shards, "op9_pieces": op9_pieces,
-           "op10_suffix_tree": op10_suffix_tree}
-SQL: dict[str, str] = {}
+           "op10_suffix_tree": op10_suffix_tree, "op11_url_filter": op11_url_filter, "op12_search": op12_search}
+SQL: dict[str, str] = {"op12_search": search_sql(50)}
