@@ -16,6 +16,7 @@ from synthloom.llm.suffixtree import suffix_tree_scores
 from synthloom.llm.suffixes import suffix_dedup
 from synthloom.llm.tokenshards import token_shards
 from synthloom.llm.toxicity import score_toxicity
+from synthloom.llm.trie import conversation_trie, trie_sql
 from synthloom.llm.urlfilter import filter_urls, rule
 
 WORD_BPE = "word_bpe_49k.json"
@@ -76,8 +77,13 @@ def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"), k=50)
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(documents(spark, sf_dir, "conversations"))
+
+
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_embedding_dedup": op2_embedding_dedup,
            "op3_suffix_dedup": op3_suffix_dedup, "op4_fingerprints": op4_fingerprints, "op5_quality": op5_quality,
            "op6_packing": op6_packing, "op7_minhash_dedup": op7_minhash_dedup, "op8_token_shards": op8_token_shards, "op9_pieces": op9_pieces,
-           "op10_suffix_tree": op10_suffix_tree, "op11_url_filter": op11_url_filter, "op12_search": op12_search}
-SQL: dict[str, str] = {"op12_search": search_sql(50)}
+           "op10_suffix_tree": op10_suffix_tree, "op11_url_filter": op11_url_filter, "op12_search": op12_search,
+           "op13_conversation_trie": op13_conversation_trie}
+SQL: dict[str, str] = {"op12_search": search_sql(50), "op13_conversation_trie": trie_sql()}
