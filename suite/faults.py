@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from suite.columns import dbl
-from suite.common import SEED, Suite, below, digest, table, text, u
+from suite.common import SEED, Suite, below, digest, strings, table, text, u
 from synthloom.functions import lists as L
+from synthloom.functions import text as TX
 from synthloom.functions.draw import Draw
-from synthloom.operators import audit, faults as X
+from synthloom.operators import audit, faults as X, json_faults as J
 from synthloom.plans.fault_plan import FaultOp, FaultPlan, apply_plan
 
 suite = Suite()
@@ -26,7 +27,6 @@ def events(spark, sf, *cols):
 
 
 
-
 def tags(df, *cols):
     return df.select(*cols, F.array_join("_faults", ";").alias("faults"))
 
@@ -120,7 +120,7 @@ def partial_load(spark, sf):
 SELECT event_id, CASE WHEN {hit('partial_load', .2)} THEN '{{}}' ELSE replace(props, ' ', '') END AS props,
  CASE WHEN {hit('partial_load', .2)} THEN 'k' ELSE '' END AS missing FROM events""")
 def partial_load_json(spark, sf):
-    df = X.partial_load_json(events(spark, sf, E, "props"), D, E, "props", p=0.2)
+    df = J.partial_load_json(events(spark, sf, E, "props"), D, E, "props", p=0.2)
     return df.select(E, F.replace("props", F.lit(" "), F.lit("")).alias("props"), F.array_join("_missing", ",").alias("missing"))
 
 
@@ -185,7 +185,20 @@ def truncate_json(spark, sf):
     return df.select(DOC, "lang", "text", F.col("_corrupt_record").alias("corrupt"))
 
 
-@suite.add("f7_truncate_json_bytes")
+_WHOLE = "'{\"doc_id\":'||doc_id||','||" + "||','||".join(
+    f"'\"{c}\":'||coalesce(to_json({c})::VARCHAR, 'null')" for c in ("text", "lang", "source", "n_chars")) + "||'}'"
+# the last character of a cut text, where bytes of it are missing: one, two or three bytes of a longer one
+_BROKEN = "(?:[C-F].|[EF].[89AB].|F.[89AB].[89AB].)$"
+
+
+@suite.add("f7_truncate_json_bytes", f"""
+WITH d AS (SELECT *, {_WHOLE} AS root, CASE WHEN {hit('truncate_json', .3, DOC)} THEN {below('truncate_json#node', DOC, 5)} END AS node,
+ {u('truncate_json#at', DOC)} AS ua FROM documents),
+r AS (SELECT *, CASE node WHEN 0 THEN root WHEN 1 THEN to_json(text)::VARCHAR WHEN 2 THEN to_json(lang)::VARCHAR ELSE 'xx' END AS raw FROM d),
+c AS (SELECT *, decode(unhex(regexp_replace(substr(hex(encode(raw)), 1, 2*(floor(ua*(strlen(raw)-1)::DOUBLE)::BIGINT+1)), '{_BROKEN}', ''))) AS part FROM r)
+SELECT doc_id, CASE WHEN node = 2 THEN part WHEN node = 0 THEN NULL ELSE lang END AS lang, CASE WHEN node IN (0, 4) THEN NULL ELSE n_chars END AS n_chars,
+ length(CASE WHEN node = 1 THEN part WHEN node = 0 THEN NULL ELSE text END) AS size, CASE WHEN node = 0 THEN md5(part) END AS corrupt,
+ CASE WHEN node = 4 AND n_chars IS NOT NULL THEN '[n_chars]' ELSE '[]' END AS fragments FROM c""")
 def truncate_json_bytes(spark, sf):
     df = X.truncate_json(table(spark, sf, "documents"), D, DOC, p=0.3, unit="bytes")
     return df.select(DOC, "lang", "n_chars", F.length("text").alias("size"), F.md5("_corrupt_record").alias("corrupt"),
@@ -248,7 +261,7 @@ def corrupted(s: str, how: str, up: str, uc: str) -> str:
  ELSE {put(at(n), 0, ch(L.COMBINING))} END"""
 
 
-STRATS = "['replacement','delete','swap','zero_width','homoglyph','fullwidth','append_ff','insert_conf','accent']"
+STRATS = strings(TX.STRATEGIES)
 
 
 @suite.add("f9_corrupt_text", f"""
@@ -270,16 +283,16 @@ def corrupt_short_text(spark, sf):
     return X.corrupt_text(df, D, "o_orderkey", p=1.0).select("o_orderkey", "s")
 
 
+_KEY = f"{E}||'|1'"  # the key is the second token
 _NEWKEY = corrupted("key", "how", "up", "uc")
 
 
 @suite.add("f10_corrupt_key", f"""
-WITH d AS (SELECT event_id, props, 'k' AS key, {hit('corrupt_key', .4)} AS h, {below('corrupt_key#how', E, 9)} AS how,
- {u('corrupt_key#pos', E)} AS up, {u('corrupt_key#chr', E)} AS uc FROM events)
-SELECT event_id, CASE WHEN h THEN '{{"'||{_NEWKEY}||'":'||(props->>'$.k')||'}}' ELSE replace(props, ' ', '') END AS props FROM d""")
+WITH d AS (SELECT event_id, props, 'k' AS key, {hit('corrupt_key', .4)} AS h, {below('corrupt_key#how', _KEY, 9)} AS how,
+ {u('corrupt_key#pos', _KEY)} AS up, {u('corrupt_key#chr', _KEY)} AS uc FROM events)
+SELECT event_id, CASE WHEN h THEN '{{"'||{_NEWKEY}||'": '||(props->>'$.k')||'}}' ELSE props END AS props FROM d""")
 def corrupt_key(spark, sf):
-    df = X.corrupt_key(events(spark, sf, E, "props"), D, E, "props", p=0.4)
-    return df.select(E, F.replace("props", F.lit(" "), F.lit("")).alias("props"))
+    return J.corrupt_key(events(spark, sf, E, "props"), D, E, "props", p=0.4).select(E, "props")
 
 
 # --- time ---------------------------------------------------------------------------------------

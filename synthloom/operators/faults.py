@@ -230,27 +230,6 @@ def partial_load(df: DataFrame, draw: Draw, key: str, *, p: float = 0.1, min_key
     return replace_columns(staged, new, ("_hit",))
 
 
-def partial_load_json(df: DataFrame, draw: Draw, key: str, column: str, *, p: float = 0.1,
-                      min_keys: int = 1, max_keys: int = 3, hit: Column | None = None) -> DataFrame:
-    """Lose min..max top-level keys of a JSON object column: here keys are truly absent."""
-    obj = F.expr(f"cast(try_parse_json(`{column}`) as map<string, variant>)")
-    staged = (ensure_audit(df).withColumn("_hit", hit_column(draw, "partial_load", key, p, hit))
-              .withColumn("_map", F.when(F.col("_hit"), obj)))
-    names = F.filter(F.map_keys("_map"), lambda k: k != META)
-    hi = F.least(F.size(names), F.lit(max_keys))
-    lo = F.least(F.lit(min_keys), hi)
-    count = lo + below(draw.u("partial_load#n", F.col(key)), hi - lo + 1)
-    order = F.array_sort(F.transform(names, lambda k: F.struct(
-        draw.rank("partial_load", F.col(key), k).alias("h"), k.alias("k"))))
-    lost = F.array_sort(F.transform(F.slice(order, F.lit(1), count.cast("int")), lambda e: e["k"]))
-    staged = staged.withColumn("_missing", F.coalesce(lost, F.array().cast(NO_FAULTS)))
-    kept = F.to_json(F.map_filter("_map", lambda k, v: ~F.array_contains("_missing", k)))
-    label = F.concat(F.lit(f"partial_load({column} drop:"), F.array_join("_missing", ","), F.lit(")"))
-    return replace_columns(staged, {
-        column: F.when(F.size("_missing") > 0, kept).otherwise(F.col(column)),
-        AUDIT: noted(F.size("_missing") > 0, label)}, ("_hit", "_map"))
-
-
 def _leaf(path: str) -> Column:
     """Value (or list of values) a dotted path points to; ``a[].b`` reads ``a.b``."""
     return F.col(path.replace("[]", ""))
@@ -305,7 +284,10 @@ def null_field(df: DataFrame, draw: Draw, key: str, *, fields: list[str] | None
         staged = staged.withColumn("_hit", hit_column(draw, "null_field", key, p, hit) & F.col("_offer").isNotNull())
     new: dict[str, Column] = {}
     for f in paths:
-        element = below(draw.u(f"null_field#{f}@", F.col(key)), F.size(_leaf(f))).cast("int") if "[]" in f else F.lit(0)
+        element = F.lit(0)
+        if "[]" in f:  # one of the elements that hold something
+            full = F.filter(F.transform(_leaf(f), lambda x, i: F.when(x.isNotNull(), i)), lambda i: i.isNotNull())
+            element = F.get(full, below(draw.u(f"null_field#{f}@", F.col(key)), F.size(full)).cast("int"))
         when = F.col("_hit") & (F.col("_offer.f") == f)
         top, expr = _null_at(df, f, when, element)
         if top in new:
@@ -419,30 +401,8 @@ def corrupt_text(df: DataFrame, draw: Draw, key: str, *, columns: list[str] | No
     return replace_columns(staged, new, ("_pick", "_how", "_u1", "_u2"))
 
 
-def corrupt_key(df: DataFrame, draw: Draw, key: str, column: str, *, p: float = 0.1,
-                hit: Column | None = None) -> DataFrame:
-    """Rename one top-level key of a JSON object column; a collision gets a zero-width space."""
-    obj = F.expr(f"cast(try_parse_json(`{column}`) as map<string, variant>)")
-    k = F.col(key)
-    staged = (ensure_audit(df)
-              .withColumn("_map", F.when(hit_column(draw, "corrupt_key", key, p, hit), obj))
-              .withColumn("_names", F.array_sort(F.filter(F.map_keys("_map"), lambda x: x != "")))
-              .withColumn("_old", F.get("_names", below(draw.u("corrupt_key#key", k), F.size("_names")).cast("int")))
-              .withColumn("_how", F.when(F.col("_old").isNotNull(), X.strategy_name(draw, "corrupt_key", k)))
-              .withColumn("_new", X.corrupt(F.col("_old"), F.col("_how"), draw.u("corrupt_key#pos", k),
-                                            draw.u("corrupt_key#chr", k))))
-    unique = F.when(F.array_contains("_names", F.col("_new")) & (F.col("_new") != F.col("_old")),
-                    F.concat("_new", F.lit(L.ZERO_WIDTH[0]))).otherwise(F.col("_new"))
-    renamed = F.transform_keys("_map", lambda n, v: F.when(n == F.col("_old"), unique).otherwise(n))
-    done = F.col("_old").isNotNull() & (F.col("_new") != F.col("_old"))
-    label = F.concat(F.lit(f"corrupt_key({column}."), F.col("_old"), F.lit(" "), F.col("_how"), F.lit(")"))
-    return replace_columns(staged, {
-        column: F.when(done, F.to_json(renamed)).otherwise(F.col(column)),
-        AUDIT: noted(done, label)}, ("_map", "_names", "_old", "_how", "_new"))
-
-
 def corrupt_column_name(df: DataFrame, draw: Draw, columns: list[str] | None = None) -> DataFrame:
-    """Typed-table form of ``corrupt_key``: one column of the whole table is renamed."""
+    """Typed-table form of ``json_faults.corrupt_key``: one column of the whole table is renamed."""
     names = columns or [c for c in df.columns if not c.startswith("_")]
     nth = df.sparkSession.range(1).select(
         below(draw.u("corrupt_key#key", F.lit("table")), len(names)).alias("i")).first()["i"]

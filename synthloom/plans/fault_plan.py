@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from synthloom.functions.draw import Draw, below
 from synthloom.operators import faults as ops
+from synthloom.operators import json_faults as nested
 
 PLAN = "_plan"
 
@@ -19,8 +20,9 @@ _OPERATORS: dict[str, Callable[..., DataFrame]] = {
     "bloat": ops.bloat, "time_skew": ops.time_skew, "time_skew_typed": ops.time_skew_typed,
     "late_arrival": ops.late_arrival, "shuffle_arrays": ops.shuffle_arrays,
     "duplicate_elements": ops.duplicate_elements, "duplicate_rows": ops.duplicate_rows,
-    "truncate_json": ops.truncate_json, "partial_load_json": ops.partial_load_json,
-    "corrupt_key": ops.corrupt_key,
+    "truncate_json": ops.truncate_json, "partial_load_json": nested.partial_load_json,
+    "corrupt_key": nested.corrupt_key, "truncate_json_nodes": nested.truncate_json_nodes,
+    "corrupt_json_text": nested.corrupt_json_text, "bloat_json": nested.bloat_json,
 }
 
 
