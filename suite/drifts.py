@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from suite.columns import DAY_TEXT, K, dbl, moment, over_orders, pick, rounded
-from suite.common import SEED, Suite, below, table, u
+from suite.common import SEED, Suite, below, bits, table, u
 from synthloom.functions import lists as L
 from synthloom.functions.draw import Draw
 from synthloom.functions.times import to_micros
@@ -188,3 +188,34 @@ def schema_diff(spark, sf):
     after = ev.select("event_id", F.concat(F.lit('{"id":'), "event_id", F.lit(',"v":'), amount, F.lit(',"new":true,"props_k":'),
                                            F.get_json_object("props", "$.k"), F.lit("}")).alias("doc"))
     return V.schema_diff(V.json_paths(before, "doc", "event_id"), V.json_paths(after, "doc", "event_id"))
+
+
+_SIDES = """old AS (SELECT unnest([{'p': 'user', 'k': 'number', 'x': user_id::VARCHAR}, {'p': 'kind', 'k': 'string', 'x': event_type},
+  {'p': 'gone', 'k': 'number', 'x': (event_id + 10000000)::VARCHAR}]) AS s FROM events),
+new AS (SELECT unnest([{'p': 'member', 'k': 'number', 'x': user_id::VARCHAR}, {'p': 'kind_of', 'k': 'string', 'x': event_type},
+  {'p': 'copy_of', 'k': 'string', 'x': CASE WHEN event_type = 'click' THEN 'tap' ELSE event_type END}]) AS s FROM events)"""
+
+
+def _cells(side: str) -> str:
+    h = bits("sketch", "s.x")
+    return f"SELECT s.p AS p, s.k AS k, {h} % 64 AS c, min({h}) AS least FROM {side} GROUP BY 1, 2, 3"
+
+
+@suite.add("v11_renames", f"""
+WITH {_SIDES}, a AS ({_cells('old')}), b AS ({_cells('new')}),
+m AS (SELECT a.p AS o, b.p AS n, any_value(a.k) AS k, count(*)::DOUBLE/greatest((SELECT count(*) FROM a x WHERE x.p = a.p), (SELECT count(*) FROM b x WHERE x.p = b.p)) AS ratio
+  FROM a JOIN b ON a.k = b.k AND a.c = b.c AND a.least = b.least GROUP BY a.p, b.p),
+r AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY ratio DESC, n) AS i, row_number() OVER (PARTITION BY n ORDER BY ratio DESC, o) AS j FROM m WHERE ratio >= 0.5),
+t AS (SELECT n AS path, 'renamed' AS change, CASE k WHEN 'number' THEN 'int' ELSE k END AS old_type, CASE k WHEN 'number' THEN 'int' ELSE k END AS new_type, o AS moved_from, ratio
+  FROM r WHERE i = 1 AND j = 1)
+SELECT * FROM t UNION ALL SELECT 'copy_of', 'added', NULL, 'string', NULL, NULL WHERE 'copy_of' NOT IN (SELECT path FROM t)
+UNION ALL SELECT 'gone', 'dropped', 'int', NULL, NULL, NULL WHERE 'gone' NOT IN (SELECT moved_from FROM t)""")
+def renames(spark, sf):
+    ev = table(spark, sf, "events")
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    before = ev.select("event_id", F.concat(F.lit('{"id":'), "event_id", F.lit(',"user":'), "user_id", F.lit(',"kind":'), quoted(F.col("event_type")),
+                                            F.lit(',"gone":'), (F.col("event_id") + 10_000_000).cast("string"), F.lit("}")).alias("doc"))
+    other = F.when(F.col("event_type") == "click", "tap").otherwise(F.col("event_type"))
+    after = ev.select("event_id", F.concat(F.lit('{"id":'), "event_id", F.lit(',"member":'), "user_id", F.lit(',"kind_of":'), quoted(F.col("event_type")),
+                                           F.lit(',"copy_of":'), quoted(other), F.lit("}")).alias("doc"))
+    return V.schema_diff_rows(before, after, "doc", "event_id", Draw(SEED, kind="portable"))

@@ -11,20 +11,27 @@ from synthloom.sources.synth import synth_over
 suite = Suite()
 
 
+LEVELS = 10
+DEEP = '{"d":' * LEVELS + '"x@y.z"' + "}" * LEVELS
+
+
 def docs(spark, sf):
+    """A text per event: keys with dots and brackets, a mixed list, ten levels; those of user 7 are cut off."""
     amount = F.col("value").cast("decimal(18,2)").cast("string")
     user = F.col("user_id").cast("string")
     who = F.when(F.col("user_id") < 50, F.concat(F.lit("u"), user, F.lit("@example.com"))).otherwise(user)
     tags = F.when(F.col("value") > 50, F.lit(',"tags":["a","b"]')).when(F.col("value") > 20, F.lit(',"tags":[1]')).otherwise("")
     mix = F.when(F.col("event_type") == "click", "null").when(F.col("event_type") == "view", "1.5").otherwise('"http://x"')
-    return table(spark, sf, "events").select("event_id", F.concat(
+    whole = F.concat(
         F.lit('{"id":'), "event_id", F.lit(',"v":'), amount, F.lit(',"type":"'), "event_type", F.lit('","who":"'), who,
-        F.lit('","props":'), "props", tags, F.lit(',"mix":'), mix, F.lit("}")).alias("doc"))
+        F.lit('","props":'), "props", tags, F.lit(',"mix":'), mix, F.lit(',"a.b":true,"e[]":[1,"x",2.5,{"k":'), "user_id",
+        F.lit('}],"deep":' + DEEP + "}"))
+    return table(spark, sf, "events").select("event_id", F.when(F.col("user_id") == 7, F.substring(whole, 1, 9)).otherwise(whole).alias("doc"))
 
 
 def _rows(path, kind, detail="NULL", num="NULL", items="NULL", where="true"):
     return (f"SELECT event_id, '{path}' AS path, {kind} AS type, {detail} AS detail, ({num})::DOUBLE AS num, ({items})::BIGINT AS items "
-            f"FROM events WHERE {where}")
+            f"FROM events WHERE user_id <> 7 AND {where}")
 
 
 NODES = " UNION ALL ".join([
@@ -33,8 +40,13 @@ NODES = " UNION ALL ".join([
     _rows("props", "'object'"), _rows("props.k", "'int'", num="(props->>'$.k')::INT"),
     _rows("tags", "'array'", items="CASE WHEN value > 50 THEN 2 ELSE 1 END", where="value > 20"),
     _rows("tags[]", "CASE WHEN value > 50 THEN 'string' ELSE 'int' END", num="CASE WHEN value <= 50 THEN 1 END", where="value > 20"),
+    _rows("tags[]", "'string'", where="value > 50"),
     _rows("mix", "CASE event_type WHEN 'click' THEN 'maybe' WHEN 'view' THEN 'float' ELSE 'string' END",
-          "CASE WHEN event_type NOT IN ('click','view') THEN 'url' END", "CASE WHEN event_type = 'view' THEN 1.5 END")])
+          "CASE WHEN event_type NOT IN ('click','view') THEN 'url' END", "CASE WHEN event_type = 'view' THEN 1.5 END"),
+    _rows('"a.b"', "'bool'"), _rows('"e[]"', "'array'", items="4"), _rows('"e[]"[]', "'int'", num="1"), _rows('"e[]"[]', "'string'"),
+    _rows('"e[]"[]', "'float'", num="2.5"), _rows('"e[]"[]', "'object'"), _rows('"e[]"[].k', "'int'", num="user_id"), _rows("deep", "'object'"),
+    *[_rows("deep" + ".d" * k, "'object'") for k in range(1, LEVELS)], _rows("deep" + ".d" * LEVELS, "'string'", "'email'"),
+    "SELECT event_id, NULL, 'malformed', NULL, NULL, NULL FROM events WHERE user_id = 7"])
 
 
 @suite.add("i1_infer_value_type", NODES)
@@ -44,12 +56,21 @@ def infer_value_type(spark, sf):
 
 @suite.add("i2_infer_spec", f"""
 WITH n AS ({NODES}),
-k AS (SELECT * FROM n WHERE path <> 'tags[]' OR event_id = (SELECT min(event_id) FROM n WHERE path = 'tags')),
 t AS (SELECT path, type, count(*) AS n, min(event_id) AS first_seen, arg_min({{'d': detail}}, event_id).d AS detail, min(num) AS min, max(num) AS max,
- min(items) AS min_items, max(items) AS max_items FROM k GROUP BY 1, 2)
-SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY path ORDER BY n DESC, first_seen) = 1""")
+ min(items) AS min_items, max(items) AS max_items FROM n GROUP BY 1, 2)
+SELECT *, count(*) OVER (PARTITION BY path) AS kinds FROM t QUALIFY row_number() OVER (PARTITION BY path ORDER BY n DESC, first_seen, type) = 1""")
 def infer_spec(spark, sf):
-    return I.infer_table(docs(spark, sf), "doc", "event_id")
+    return I.infer_table(docs(spark, sf), "doc", "event_id").drop("steps")
+
+
+@suite.add("i2_first_elements", f"""
+WITH n AS ({NODES}) SELECT path, type, count(*) AS n FROM n
+WHERE path NOT LIKE '"e[]"[].%' AND NOT (path = '"e[]"[]' AND type <> 'int') AND NOT path = 'tags[]' GROUP BY 1, 2
+UNION ALL SELECT 'tags[]', CASE WHEN value > 50 THEN 'string' ELSE 'int' END, count(*) FROM events WHERE user_id <> 7 AND value > 20 GROUP BY 1, 2
+UNION ALL SELECT NULL, 'malformed', count(*) FROM events WHERE user_id = 7 HAVING count(*) > 0""")
+def first_elements(spark, sf):
+    nodes = I.infer_value_type(docs(spark, sf), "doc", "event_id", first_element=True)
+    return nodes.groupBy("path", "type").agg(F.count("*").alias("n"))
 
 
 @suite.add("i3_infer_sample", f"""

@@ -32,11 +32,15 @@ def null_profile(spark, sf):
 
 
 @suite.add("d2_key_profile", """
-SELECT * FROM (SELECT 'p' AS path, count(*) AS present FROM events UNION ALL SELECT 'p.k', count(*) FROM events
- UNION ALL SELECT unnest(['big','big[].x','big[].y']), count(*) FROM events WHERE value > 50)""")
+SELECT * FROM (SELECT 'p' AS path, count(*) AS present FROM events WHERE event_type <> 'error' UNION ALL
+ SELECT unnest(['p.k', '"a.b"', '"e[]"', 'x', 'x.y', 'x.y[][].z']), count(*) FROM events WHERE event_type <> 'error' UNION ALL
+ SELECT unnest(['big','big[].x','big[].y']), count(*) FROM events WHERE value > 50 AND event_type <> 'error' UNION ALL
+ SELECT NULL, count(*) FROM events WHERE event_type = 'error') WHERE present > 0""")
 def key_profile(spark, sf):
     big = F.when(F.col("value") > 50, F.lit(',"big":[{"x":1},{"y":null}]')).otherwise("")
-    df = table(spark, sf, "events").select(F.concat(F.lit('{"p":'), "props", big, F.lit("}")).alias("doc"))
+    end = F.when(F.col("event_type") == "error", "").otherwise("}")
+    df = table(spark, sf, "events").select(F.concat(
+        F.lit('{"a.b":1,"e[]":[],"x":{"y":[[],[{"z":[]}]]},"p":'), "props", big, end).alias("doc"))
     return Q.key_profile(df, "doc")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from synthloom.functions import lists as L
-from synthloom.functions.jsons import json_nodes
+from synthloom.functions.jsons import MALFORMED, json_nodes, path_text
 from synthloom.plans import spec as S
 from synthloom.session import carried
 
@@ -49,10 +49,10 @@ def null_profile(df: DataFrame) -> DataFrame:
 
 
 def key_profile(df: DataFrame, json_col: str) -> DataFrame:
-    """How often each key (nested paths) is present in a JSON column."""
+    """How often each key (nested paths) is present in a JSON column; texts that are not JSON count without a path."""
     nodes = json_nodes(df.select(json_col), json_col, [])
-    return (nodes.where((F.col("path") != "") & ~F.endswith(F.col("path"), F.lit("[]")))
-            .groupBy("path").agg(F.count("*").alias("present")))
+    keys = nodes.where((F.col("kind") == MALFORMED) | ((F.size("steps") > 0) & F.element_at("steps", -1).isNotNull()))
+    return keys.groupBy("steps").agg(F.count("*").alias("present")).select(path_text(F.col("steps")).alias("path"), "present")
 
 
 def duplicate_rows_report(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from synthloom.functions.draw import Draw
+from synthloom.functions.jsons import json_nodes, path_text
 from synthloom.operators.infer import infer_table
 from synthloom.plans import spec as S
 from synthloom.plans.compile import add_fields
@@ -105,9 +106,66 @@ def schema_diff(before: DataFrame, after: DataFrame) -> DataFrame:
                     F.when(moved & (F.col("path") == F.col("_to")), F.col("_from")).alias("moved_from")))
 
 
+SKETCH = 64  # cells of a value sketch
+
+
+def value_sketch(df: DataFrame, json_col: str, draw: Draw) -> DataFrame:
+    """(path, type, cell, least): of each path's scalar values per hash cell the least hash.
+
+    A value's text is hashed, so equal values of two columns meet; cells merge by minimum, and a path has at most
+    ``SKETCH`` of them whatever its number of rows.
+    """
+    nodes = json_nodes(df.select(json_col), json_col, []).where(F.col("kind").isNull())
+    shape = F.schema_of_variant("value")
+    kind = F.when(shape == "STRING", "string").when(shape == "BOOLEAN", "bool").when(shape != "VOID", "number")
+    hashed = nodes.select("steps", kind.alias("type"), draw.bits("sketch", F.col("value").cast("string")).alias("h")).where(F.col("type").isNotNull())
+    cells = hashed.groupBy("steps", "type", F.pmod("h", F.lit(SKETCH)).alias("cell")).agg(F.min("h").alias("least"))
+    return cells.select(path_text(F.col("steps")).alias("path"), "type", "cell", "least")
+
+
+def column_renames(before: DataFrame, after: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(old_path, new_path, type, ratio) of renamed paths, from two value sketches.
+
+    A path that is gone and one that is new are compared by the share of sketch cells in which their least values
+    agree, an estimate of the overlap of their distinct values. Pairs of one type from ``threshold`` on that are each
+    other's best (ties: by name) are renames, one to one. Both sides are as small as the schema.
+    """
+    def whole(cells: DataFrame) -> DataFrame:
+        return cells.groupBy("path", "type").agg(F.count("*").alias("size"))
+
+    # a path with any value on the other side was kept
+    gone = before.join(after.select("path").distinct(), "path", "left_anti")
+    new = after.join(before.select("path").distinct(), "path", "left_anti")
+    agree = gone.select("type", "cell", "least", F.col("path").alias("old_path")).join(
+        new.select("type", "cell", "least", F.col("path").alias("new_path")), ["type", "cell", "least"]).groupBy("type", "old_path", "new_path").agg(
+        F.count("*").alias("same"))
+    sized = (agree.join(whole(gone).select("type", F.col("path").alias("old_path"), F.col("size").alias("a")), ["type", "old_path"])
+             .join(whole(new).select("type", F.col("path").alias("new_path"), F.col("size").alias("b")), ["type", "new_path"]))
+    scored = sized.withColumn("ratio", F.col("same") / F.greatest("a", "b")).where(F.col("ratio") >= threshold)
+    first = lambda by, name: F.row_number().over(W.partitionBy(by).orderBy(F.desc("ratio"), name))
+    return (scored.withColumn("_o", first("old_path", "new_path")).withColumn("_n", first("new_path", "old_path"))
+            .where((F.col("_o") == 1) & (F.col("_n") == 1)).select("old_path", "new_path", "type", "ratio"))
+
+
+def schema_diff_rows(before: DataFrame, after: DataFrame, json_col: str, order: str, draw: Draw, threshold: float = 0.5) -> DataFrame:
+    """``schema_diff`` of two JSON tables in which a drop and an add with the same values are one rename.
+
+    More columns: ``moved_from`` also names a renamed path's old name, ``ratio`` how far the values agree.
+    """
+    plain = schema_diff(json_paths(before, json_col, order), json_paths(after, json_col, order))
+    moves = column_renames(value_sketch(before, json_col, draw), value_sketch(after, json_col, draw), threshold)
+    marked = plain.join(moves.select(F.col("new_path").alias("path"), F.col("old_path"), "ratio"), "path", "left").join(
+        moves.select(F.col("old_path").alias("path"), F.lit(True).alias("_gone")), "path", "left")
+    was = F.col("old_path").isNotNull() & (F.col("change") == "added")
+    lost = F.coalesce("_gone", F.lit(False)) & (F.col("change") == "dropped")
+    return marked.where(~lost).select(
+        "path", F.when(was, "renamed").otherwise(F.col("change")).alias("change"), F.when(was, F.col("new_type")).otherwise(F.col("old_type")).alias("old_type"),
+        "new_type", F.coalesce("moved_from", F.when(was, F.col("old_path"))).alias("moved_from"), F.when(was, F.col("ratio")).alias("ratio"))
+
+
 def json_paths(df: DataFrame, json_col: str, order: str) -> DataFrame:
     """Path table of the records in a JSON column."""
-    return infer_table(df, json_col, order).where(F.col("path") != "").select("path", "type")
+    return infer_table(df, json_col, order).where((F.col("path") != "") & F.col("path").isNotNull()).select("path", "type")
 
 
 def spec_paths(df: DataFrame, spec: Any) -> DataFrame:

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from synthloom.functions.jsons import json_nodes
-from synthloom.session import persist_reliably
+from synthloom.functions.jsons import MALFORMED, json_nodes, path_text
 
-MAX_PATHS = 20_000
+DETAILS = ("digits", "email", "url")
 
 
 def infer_sample(df: DataFrame, order: str, n: int | None = None) -> DataFrame:
@@ -18,80 +17,78 @@ def infer_sample(df: DataFrame, order: str, n: int | None = None) -> DataFrame:
     return df if n is None else df.orderBy(order).limit(n)
 
 
-def infer_value_type(df: DataFrame, json_col: str, order: str, into_lists: bool = True) -> DataFrame:
-    """Type of every JSON value: ``(order, path, type, detail, num, items)``.
-
-    Null reads as ``maybe``; digit strings, e-mail addresses and URLs are told apart in ``detail``; of a list
-    only the first element is looked at. ``num`` is a number's value, ``items`` a list's length.
-    """
-    nodes = json_nodes(df.select(order, json_col), json_col, [order], first_element=True,
-                       into_lists=into_lists)
+def _typed(df: DataFrame, json_col: str, order: str, first_element: bool) -> DataFrame:
+    """(order, steps, type, detail code, num, items) of every JSON value; codes and numbers keep aggregation hashed."""
+    nodes = json_nodes(df.select(order, json_col), json_col, [order], first_element=first_element)
     # the parser trims 28.00 to DECIMAL(2,0), while whole numbers below 19 digits are BIGINT
-    kind = F.schema_of_variant("value")
-    typed = nodes.select(
-        order, "path", "value",
-        F.when(kind == "VOID", "maybe").when(kind == "BOOLEAN", "bool")
+    named = nodes.withColumn("kind", F.coalesce("kind", F.schema_of_variant("value")))
+    kind = F.col("kind")
+    typed = named.select(
+        order, "steps", "value", "items", F.when(kind.isin("object", "array", MALFORMED), kind)
+        .when(kind == "VOID", "maybe").when(kind == "BOOLEAN", "bool")
         .when(kind == "BIGINT", "int").when(kind.rlike(r"^DECIMAL\((19|[23]\d),0\)"), "int")
-        .when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "float").when(kind == "STRING", "string")
-        .when(F.startswith(kind, F.lit("ARRAY")), "array")
-        .when(F.startswith(kind, F.lit("OBJECT")), "object").otherwise("string").alias("type"))
-    is_text = F.col("type") == "string"
-    text = F.when(is_text, F.expr("try_cast(value as string)"))
+        .when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "float").otherwise("string").alias("type"))
+    text = F.when(F.col("type") == "string", F.expr("try_cast(value as string)"))
     number = F.when(F.col("type").isin("int", "float"), F.expr("try_cast(value as double)"))
-    detail = (F.when(text.rlike(r"^\p{Nd}+$"), "digits")
-              .when(F.contains(text, F.lit("@")) & F.contains(text, F.lit(".")), "email")
-              .when(text.rlike("^https?://"), "url"))
-    items = F.when(F.col("type") == "array", F.size(F.expr("try_cast(value as array<variant>)")))
-    return typed.select(order, "path", "type", detail.alias("detail"), number.alias("num"),
-                        items.cast("bigint").alias("items"))
+    detail = (F.when(text.rlike(r"^\p{Nd}+$"), 1).when(F.contains(text, F.lit("@")) & F.contains(text, F.lit(".")), 2)
+              .when(text.rlike("^https?://"), 3))
+    return typed.select(order, "steps", "type", detail.alias("detail"), number.alias("num"), F.col("items").cast("bigint").alias("items"))
 
 
-def infer_table(df: DataFrame, json_col: str, order: str) -> DataFrame:
-    """Merged type per path: the most frequent type (ties: first seen), its range and list lengths.
+def _detail(code: Column) -> Column:
+    return F.get(F.array(*map(F.lit, DETAILS)), code - 1)
+
+
+def infer_value_type(df: DataFrame, json_col: str, order: str, first_element: bool = False) -> DataFrame:
+    """Type of every JSON value: ``(order, path, type, detail, num, items)``.
 
-    Counts and extremes are built map-side per (path, type). Below a list only the first record that has
-    the list counts: those records are known from the first pass, and only they are parsed again.
+    Null reads as ``maybe``; digit strings, e-mail addresses and URLs are told apart in ``detail``. ``num`` is a number's
+    value, ``items`` a list's length. All elements of lists count, or only the first. A text that is not JSON is one
+    row of type ``malformed`` without a path.
+    """
+    return _typed(df, json_col, order, first_element).select(
+        order, path_text(F.col("steps")).alias("path"), "type", _detail(F.col("detail")).alias("detail"), "num", "items")
+
+
+def infer_table(df: DataFrame, json_col: str, order: str, first_element: bool = False) -> DataFrame:
+    """Merged type per path: the most frequent type (ties: first seen, then by name), its range, list lengths and number of types.
+
+    One pass and one aggregation: all records and list elements merge into one associative record per (steps, type).
+    Texts that are not JSON count in a row of type ``malformed`` without a path.
+    """
+    code, whole = F.coalesce("detail", F.lit(0)), dict(df.dtypes)[order] in ("bigint", "int")
+    # the least detail of the first record; in one number where it can be, so that the aggregation stays hashed
+    first = (F.pmod(F.min(F.col(order).cast("decimal(20,0)") * 4 + code), F.lit(4)).cast("int") if whole
+             else F.min(F.struct(F.col(order).alias("o"), code.alias("d")))["d"])
+    parts = _typed(df, json_col, order, first_element).groupBy("steps", "type").agg(
+        F.count("*").alias("n"), F.min(order).alias("first_seen"), first.alias("d"),
+        F.min("num").alias("min"), F.max("num").alias("max"), F.min("items").alias("min_items"), F.max("items").alias("max_items"))
+    best = parts.groupBy("steps").agg(
+        F.count("*").alias("kinds"),
+        F.min_by(F.struct("type", "d", "n", "first_seen", "min", "max", "min_items", "max_items"),
+                 F.struct(-F.col("n"), F.col("first_seen"), F.col("type"))).alias("b"))
+    return best.select(path_text(F.col("steps")).alias("path"), "steps", "b.type", F.when(F.col("b.d") > 0, _detail(F.col("b.d"))).alias("detail"),
+                       "b.n", "b.first_seen", "b.min", "b.max", "b.min_items", "b.max_items", "kinds")
+
+
+def infer_spec(df: DataFrame, json_col: str, order: str, first_element: bool = False, max_paths: int = 20_000) -> dict[str, Any]:
+    """A spec that can synthesise records like the samples. Only the path table reaches the driver.
+
+    Of values of several types the most frequent one is taken. More than ``max_paths`` paths mean that keys are data;
+    that is an error, as no spec can hold them.
     """
-    def summary(nodes: DataFrame) -> DataFrame:
-        return nodes.groupBy("path", "type").agg(
-            F.count("*").alias("n"), F.min(order).alias("first_seen"),
-            F.min_by(F.struct("detail"), order).alias("_d"),
-            F.min("num").alias("min"), F.max("num").alias("max"),
-            F.min("items").alias("min_items"), F.max("items").alias("max_items"))
-
-    # a table as small as the schema, used twice: written once so the documents are not parsed twice
-    outer = persist_reliably(summary(infer_value_type(df, json_col, order, into_lists=False)))
-    firsts = outer.where(F.col("type") == "array").select(
-        F.col("path").alias("_list"), F.col("first_seen").alias("_first"))
-    samples = df.select(order, json_col).join(
-        firsts.select(F.col("_first").alias(order)).distinct(), order, "left_semi")
-    listed = (infer_value_type(samples, json_col, order).where(F.contains(F.col("path"), F.lit("[]")))
-              .withColumn("_list", F.substring_index("path", "[]", 1)))
-    inner = summary(listed.join(firsts, (listed["_list"] == firsts["_list"]) & (F.col(order) == F.col("_first")), "left_semi"))
-    best = outer.unionByName(inner).groupBy("path").agg(
-        F.min_by(F.struct("type", "_d", "n", "first_seen", "min", "max", "min_items", "max_items"),
-                 F.struct(-F.col("n"), F.col("first_seen"))).alias("b"))
-    return best.select("path", "b.type", F.col("b._d.detail").alias("detail"), "b.n", "b.first_seen",
-                       "b.min", "b.max", "b.min_items", "b.max_items")
-
-
-def infer_spec(df: DataFrame, json_col: str, order: str) -> dict[str, Any]:
-    """A spec that can synthesise records like the samples. Only the path table reaches the driver."""
-    rows = infer_table(df, json_col, order).limit(MAX_PATHS + 1).collect()
-    if len(rows) > MAX_PATHS:
-        raise ValueError(f"more than {MAX_PATHS} distinct paths: the keys look like data")
-    nodes = {r["path"]: r for r in rows}
-    inside: dict[str, list[str]] = {}
-    for path in sorted(nodes, key=lambda p: (nodes[p]["first_seen"], p)):
-        if path.endswith("[]"):
-            inside.setdefault(path[:-2], []).append(path)
-        elif path:
-            parent = path.rpartition(".")[0]
-            inside.setdefault(parent, []).append(path)
-
-    def build(path: str) -> dict[str, Any]:
-        r = nodes[path]
-        kind, below = r["type"], inside.get(path, [])
+    rows = infer_table(df, json_col, order, first_element).where(F.col("steps").isNotNull()).limit(max_paths + 1).collect()
+    if len(rows) > max_paths:
+        raise ValueError(f"more than {max_paths} distinct paths: the keys look like data")
+    nodes = {tuple(r["steps"]): r for r in rows}
+    inside: dict[tuple, list[tuple]] = {}
+    for steps in sorted(nodes, key=lambda s: (nodes[s]["first_seen"], [k or "" for k in s])):
+        if steps:
+            inside.setdefault(steps[:-1], []).append(steps)
+
+    def build(steps: tuple) -> dict[str, Any]:
+        r = nodes[steps]
+        kind, below = r["type"], inside.get(steps, [])
         if kind == "maybe":
             return {"type": "maybe", "p_null": 0.5, "child": {"type": "string"}}
         if kind == "int":
@@ -99,15 +96,14 @@ def infer_spec(df: DataFrame, json_col: str, order: str) -> dict[str, Any]:
         if kind == "float":
             return {"type": "float", "min": r["min"], "max": r["max"], "precision": 2}
         if kind == "array":
-            child = [p for p in below if p.endswith("[]")]
+            child = [s for s in below if s[-1] is None]
             return {"type": "array", "min_items": r["min_items"], "max_items": r["max_items"],
                     "child": build(child[0]) if child else {"type": "string"}}
         if kind == "object":
-            return {"type": "object", "fields": {
-                p[len(path):].lstrip("."): build(p) for p in below if not p.endswith("[]")}}
+            return {"type": "object", "fields": {s[-1]: build(s) for s in below if s[-1] is not None}}
         # digit strings keep their class; the length is bounded so that it can be generated
         text = {"digits": {"regex": r"^\d{1,12}$"}, "email": {"string_type": "email"},
                 "url": {"string_type": "url"}}
         return {"type": kind, **text.get(r["detail"], {})}
 
-    return build("") if nodes else {"type": "object", "fields": {}}
+    return build(()) if nodes else {"type": "object", "fields": {}}

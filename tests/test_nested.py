@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from synthloom.functions import spans as P
 from synthloom.functions.draw import Draw
+from synthloom.functions.jsons import json_nodes
+from synthloom.operators import drift as V
 from synthloom.operators import faults as X
 from synthloom.operators import json_faults as J
+from synthloom.operators.infer import infer_spec, infer_table
 
 D = Draw(11)
 KEYS = ["a", "b.c", "e[]", 'q"x', "", "__meta", "k1", "é😀", "\\"]
@@ -159,3 +162,50 @@ def test_null_elements_are_not_nulled_again(spark):
     df = spark.createDataFrame([(i, [{"b": None}, {"b": i}, {"b": None}]) for i in range(40)], "row_id int, arr array<struct<b:int>>")
     bad = X.null_field(df, D, "row_id", fields=["arr[].b"], p=1.0).collect()
     assert all(r["_faults"] == ["null_field(arr[].b)"] and [x["b"] for x in r["arr"]] == [None] * 3 for r in bad)
+
+
+def walk(v, steps=()):
+    yield steps, v
+    for k, x in (v.items() if isinstance(v, dict) else ((None, y) for y in v) if isinstance(v, list) else ()):
+        yield from walk(x, (*steps, k))
+
+
+def test_walk_equals_the_parser(docs):
+    """All nodes at any depth, list elements and odd keys included; malformed texts are told."""
+    want: dict = {}
+    for r in docs.collect():
+        if r["doc"] is None:
+            continue
+        own = loads(r["doc"])
+        for steps, v in [(None, None)] if own is None and r["doc"] != "null" else walk(own):
+            kind = "malformed" if steps is None else "object" if isinstance(v, dict) else "array" if isinstance(v, list) else None
+            key = (steps, kind, len(v) if kind == "array" else None)
+            want[key] = want.get(key, 0) + 1
+    got = json_nodes(docs, "doc", []).groupBy("steps", "kind", "items").count().collect()
+    assert {(None if r["steps"] is None else tuple(r["steps"]), r["kind"], r["items"]): r["count"] for r in got} == want
+    assert max(len(s) for s, *_ in want if s) == 60
+
+
+def test_spec_sees_every_field_and_element(spark):
+    df = spark.createDataFrame([(0, '{"a.b":1,"c":{"x y":[[1.5],["z"]]},"e[]":3,"l":[1,"x",2.5]}'), (1, "{bad"), (2, '{"l":["y"],"new":null}'), (3, None)],
+                               "i long, doc string")
+    table = {r["path"]: (r["type"], r["n"], r["kinds"]) for r in infer_table(df, "doc", "i").collect()}
+    assert table == {"": ("object", 2, 1), '"a.b"': ("int", 1, 1), "c": ("object", 1, 1), 'c."x y"': ("array", 1, 1), 'c."x y"[]': ("array", 2, 1),
+                     'c."x y"[][]': ("float", 1, 2), '"e[]"': ("int", 1, 1), "l": ("array", 2, 1), "l[]": ("string", 2, 3), "new": ("maybe", 1, 1),
+                     None: ("malformed", 1, 1)}
+    spec = infer_spec(df, "doc", "i")
+    assert list(spec["fields"]) == ["a.b", "c", "e[]", "l", "new"] and spec["fields"]["l"]["max_items"] == 3
+    first = {r["path"]: r["type"] for r in infer_table(df, "doc", "i", first_element=True).collect()}
+    assert first["l[]"] == "int" and first['c."x y"[][]'] == "float"
+    by_name = infer_table(df.select(F.col("i").cast("string").alias("i"), "doc"), "doc", "i")
+    assert {r["path"]: (r["type"], r["n"], r["kinds"]) for r in by_name.collect()} == table
+
+
+def test_renames_are_told_from_drop_and_add(spark):
+    before = spark.createDataFrame([(i, json.dumps({"id": i, "a.b": f"name {i}", "x": i % 7, "same": 1, "y": i})) for i in range(300)], "i long, doc string")
+    after = spark.createDataFrame([(i, json.dumps({"id": i, "c": f"name {i}" if i % 5 else "other", "z": i % 7, "same": "text", "w": -i - 1})) for i in range(300)],
+                                  "i long, doc string")
+    got = {r["path"]: (r["change"], r["moved_from"], r["ratio"]) for r in V.schema_diff_rows(before, after, "doc", "i", D, 0.5).collect()}
+    assert set(got) == {"c", "z", "same", "w", "y"}
+    assert got["c"][:2] == ("renamed", '"a.b"') and 0.5 < got["c"][2] < 1.0
+    assert got["z"] == ("renamed", "x", 1.0) and got["same"][0] == "retyped" and got["w"][0] == "added" and got["y"][0] == "dropped"
