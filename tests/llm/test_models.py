@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -13,9 +14,8 @@ from pyspark.sql import functions as F
 from synthloom.llm.common import held
 from synthloom.llm.gru import Network, Scorer, parameters
 from synthloom.llm.quality import fit_nbsvm, score_quality
-from synthloom.llm.suffixtree import END, Sizes, fit_suffix_tree, score_tokens, suffix_tree_scores
+from synthloom.llm.suffixtree import Sizes, longer, suffix_tree_scores
 from synthloom.llm.toxicity import fit_windows, pieces, score_toxicity, window_starts
-from synthloom.llm.common import hashes
 from tests.llm.cases import documents, empty, prose, rows, words
 
 
@@ -132,21 +132,79 @@ def test_suffix_tree_scores(spark):
     assert suffix_tree_scores(empty(spark), rest != 0, rest == 0).count() == 0
 
 
-def test_suffix_tree_learns_contexts_and_sums_to_one(spark):
-    text = "a b c d " * 200 + "x b e f " * 200
-    docs = spark.createDataFrame([(t,) for t in [text] * 3 + [" ".join("bcdefax"[i * j % 7] for j in range(300)) for i in range(9)]], "text string")
-    tree, _ = fit_suffix_tree(docs, Sizes(frequent=1e-9))
-    assert len(tree.levels[0].keys) and len(tree.levels[1].keys)
-    every = sorted({w for r in docs.collect() for w in words(r["text"])})
-    h = {w: hashes(pa.array([w]))[0] for w in every} | {"\n": END}
-    known = sum(tree.chance)
-    for context in (["a", "b"], ["x", "b"], ["b"], [], ["e", "f"], ["\n"]):
-        seq = np.array([h[w] for c in h for w in (*context, c)], np.uint64)
-        starts = np.arange(0, len(seq) + 1, len(context) + 1)
-        _, _, score = score_tokens(tree, seq, starts)
-        assert abs(sum(10 ** score[len(context)::len(context) + 1]) + (1 - known) - 1) < 0.02, context
-    _, base, model = score_tokens(tree, np.array([h[w] for w in "abcdxbef"], np.uint64), np.array([0, 8]))
-    assert model.sum() > base.sum() + 1
+class PlainTree:
+    """The tree by its definition, over dicts of tuples of words."""
+
+    def __init__(self, texts: list[str | None], sizes: Sizes = Sizes()) -> None:
+        self.sizes, self.own = sizes, [[*words(t), "\n"] for t in texts]
+        self.words = Counter(w for t in self.own for w in t)
+        self.total = sum(self.words.values())
+        self.bottom = self.total + 0.1 * (len(self.words) + 1)
+        self.lengths, k = [0], 1
+        self.next: dict[tuple, Counter] = {}
+        while True:
+            found: dict[tuple, Counter] = {}
+            for t in self.own:
+                for i in range(k, len(t)):
+                    found.setdefault(tuple(t[i - k:i]), Counter())[t[i]] += 1
+            found = {c: n for c, n in found.items() if sum(n.values()) >= sizes.state}
+            if not found:
+                break
+            self.next |= found
+            self.lengths.append(k)
+            k = longer(k)
+        self.seen: dict[tuple, dict | None] = {}
+
+    def state(self, context: tuple) -> tuple[dict, float] | None:
+        """(chances of listed words, back-off factor) of a kept context, else nothing."""
+        if context not in self.seen:
+            self.seen[context] = None
+            n = self.next.get(context)
+            if n:
+                suffix = context[len(context) - self.lengths[self.lengths.index(len(context)) - 1]:]
+                listed = {w: c for w, c in n.items() if c >= self.sizes.pair}
+                count, low = sum(n.values()), {w: self.chance(suffix, w) for w in listed}
+                rest, rest_low = count - sum(listed.values()), max(1 - sum(low.values()), 1e-9)
+                gain = sum(c / count * math.log(c / count / low[w]) for w, c in listed.items())
+                gain += rest / count * math.log(rest / count / rest_low) if rest else 0
+                if listed and count * gain > 0.5 * (len(listed) + 1) * math.log(count):
+                    weight = self.sizes.weight
+                    self.seen[context] = ({w: (c + weight * low[w]) / (count + weight) for w, c in listed.items()},
+                                          (rest / rest_low + weight) / (count + weight))
+        return self.seen[context]
+
+    def chance(self, context: tuple, word: str) -> float:
+        """Of a word after a context of one of the lengths, by its longest kept suffix."""
+        if not context:
+            return (self.words[word] + 0.1) / self.bottom
+        shorter = context[len(context) - self.lengths[self.lengths.index(len(context)) - 1]:]
+        state = self.state(context)
+        if state is None:
+            return self.chance(shorter, word)
+        return state[0][word] if word in state[0] else state[1] * self.chance(shorter, word)
+
+    def score(self, text: str | None) -> float:
+        own = [*words(text), "\n"]
+        return sum(math.log10(self.chance(tuple(own[i - max(k for k in self.lengths if k <= i):i]), w)) for i, w in enumerate(own))
+
+
+def test_suffix_tree_equals_its_definition(spark):
+    """Scores, at any share of strings that travel, and chances after every context that sum to one."""
+    rng = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [" ".join(rng.choice(["a b c", "x b d", "b", "e f g h i j", "k"]) for _ in range(rng.randrange(30))) for _ in range(200)]
+    texts += [f"start{i % 3} {passage} {'yes' if i % 3 else 'no'} {rng.choice('abc')}" for i in range(120)] + [passage] * 40 + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    tree = PlainTree([t for i, t in enumerate(texts) if i % 10])
+    assert max(tree.lengths) >= 24 and sum(tree.state(c) is not None for c in list(tree.next)) > 20
+    for context in [(), ("b",), ("a", "b"), ("x", "b"), ("e", "f", "g"), *[c for c in tree.next if len(c) == 24][:2]]:
+        known = sum(tree.chance(context, w) for w in tree.words)
+        assert abs(known - 1) < 0.02, context
+    for share in (1e-9, 1e-2, 2.0):  # all short strings, some and none travel with the task
+        got = suffix_tree_scores(docs, F.col("doc_id") % 10 != 0, F.col("doc_id") % 10 == 0, Sizes(frequent=share)).collect()
+        assert len(got) == len(texts)
+        for r in got:
+            assert abs(r["score"] - tree.score(texts[r["doc_id"]])) < 1e-8, r
 
 
 def test_suffix_tree_keeps_rare_long_contexts_of_a_large_corpus(spark):
