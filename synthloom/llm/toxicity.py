@@ -8,6 +8,7 @@ other class counts little in that pass.
 
 from __future__ import annotations
 
+import pickle
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,6 +24,7 @@ from synthloom.llm.gru import CHARS, MAX_CHARS, Adam, Network, Scorer, parameter
 from synthloom.llm.sample import class_weights, labelled_sample, noisy_platt
 
 WIDTH, STRIDE = 32, 24
+STRIP = 16_384  # windows that are looked at together
 
 
 def bare(words: pa.Array) -> pa.Array:
@@ -98,7 +100,7 @@ class ToxicityModel:
         return pa.array(self.floor + (1 - self.floor) * p, pa.float64())
 
 
-def fit_windows(texts: list[str], y: np.ndarray, totals: dict[int, int] | None = None, seed: int = 7,
+def fit_windows(texts: list[str] | pa.Array, y: np.ndarray, totals: dict[int, int] | None = None, seed: int = 7,
                 epochs: int = 4, rate: float = 0.01, batch: int = 96, steps: int = 160, word_dropout: float = 0.25) -> ToxicityModel:
     """Fit on whole texts with labels 0 and 1; a quarter of the texts is left out to fit the chances."""
     y = np.asarray(y, int)
@@ -107,7 +109,7 @@ def fit_windows(texts: list[str], y: np.ndarray, totals: dict[int, int] | None =
     fit = rng.random(len(y)) >= 0.25
     if not fit.any() or y[fit].min() == y[fit].max():
         return ToxicityModel(parameters(1, seed), np.zeros(0, np.uint64), *noisy_platt(np.zeros(len(y)), y, weight))
-    column = pa.array(texts, pa.string())
+    column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
     offsets, codes, words, points, starts, lengths = pieces(column)
     doc = np.repeat(np.arange(len(y)), np.diff(offsets))
     names = bare(words).dictionary_encode().indices.to_numpy(zero_copy_only=False)
@@ -126,9 +128,10 @@ def fit_windows(texts: list[str], y: np.ndarray, totals: dict[int, int] | None =
     p["words"][ids[known], 0] += 0.3 * odds[known]
 
     text, first, end = window_starts(offsets)
-    inside = np.minimum(first[:, None] + np.arange(WIDTH), max(len(codes) - 1, 0))
-    logit = np.where(inside < end[:, None], odds[codes[inside]], -9.0).max(1) if len(codes) else np.zeros(len(text))
-    evidence, logit = logit, np.zeros(len(logit), np.float32)
+    evidence, logit = np.zeros(len(text)), np.zeros(len(text), np.float32)
+    for at in range(0, len(text) if len(codes) else 0, STRIP):
+        inside = np.minimum(first[at:at + STRIP, None] + np.arange(WIDTH), len(codes) - 1)
+        evidence[at:at + STRIP] = np.where(inside < end[at:at + STRIP, None], odds[codes[inside]], -9.0).max(1)
     bounds = np.searchsorted(text, np.arange(len(y) + 1))
     optimiser, net = Adam(p, rate, 1e-4), Network(p)
     t = np.arange(WIDTH)[:, None]
@@ -176,11 +179,24 @@ def fit_windows(texts: list[str], y: np.ndarray, totals: dict[int, int] | None =
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", bound: int = 3000,
                  id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
-    """Fit on at most ``bound`` labelled rows (half per class) for which ``train`` holds."""
+    """Fit on at most ``bound`` labelled rows (half per class) for which ``train`` holds.
+
+    The sample goes to one task, which its bound allows; the driver only gets the model.
+    """
     set_batches(docs.sparkSession)
     sample, totals = labelled_sample(docs, labels, label, train, bound, id_col, text_col)
-    got = sample.select("_y", "_text", F.col("_id").cast("string").alias("_key")).toArrow().sort_by("_key")
-    return fit_windows(got["_text"].to_pylist(), got["_y"].to_numpy(), totals)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        got = pa.Table.from_batches(held).sort_by("_key")
+        model = fit_windows(got["_text"].combine_chunks(), got["_y"].to_numpy(), totals)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    rows = sample.select("_y", "_text", F.col("_id").cast("string").alias("_key")).repartition(1)
+    made = rows.mapInArrow(fit, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else fit_windows(pa.array([], pa.string()), np.zeros(0, int), totals)
 
 
 def toxicity_score(model: ToxicityModel, text: Column | str) -> Column:
