@@ -25,32 +25,48 @@ SEQUENCE_TOKENS = 2048
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model does not reject, with all their columns."""
+    """Documents that the toxicity model does not reject, with all their columns.
+
+    Null and empty texts are scored as one empty window; rows without an id and repeated rows are judged like others.
+    """
     model = fit_toxicity(docs, documents(spark, sf_dir, "labels"), held("doc_id", 4) != 2)
     return docs.where(toxicity_score(model, F.col("text")) < THRESHOLD)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality model does not reject, with all their columns."""
+    """Documents that the quality model does not reject, with all their columns.
+
+    Null and empty texts get the score of a text without words; rows without an id and repeated rows are judged like others.
+    """
     model = fit_quality(docs, documents(spark, sf_dir, "labels"), held("doc_id", 5) != 0)
     return docs.where(quality_score(model, F.col("text")) >= THRESHOLD)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group, once; documents without an id stay."""
+    """The document with the smallest id of each near-duplicate group, once, with all its columns.
+
+    Documents without an id stay. Texts without words (null, empty) are nobody's duplicates; of rows that share an id
+    and text one stays.
+    """
     kept = near_duplicates(docs, SIMILARITY).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     same = W.partitionBy("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))).orderBy("text")
-    found = docs.join(kept, "doc_id", "left_semi").withColumn("_copy", F.row_number().over(same)).where("_copy = 1")
+    mark = "_copy"
+    while mark in docs.columns:
+        mark += "_"
+    found = docs.join(kept, "doc_id", "left_semi").withColumn(mark, F.row_number().over(same)).where(F.col(mark) == 1)
     return found.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier document holds."""
+    """Documents without the passages that an earlier document holds; all rows and columns stay.
+
+    Null texts stay null. Of rows with equal text the one with the smallest id keeps it; see ``strip_repeats`` for rows without one.
+    """
     return strip_repeats(docs, PASSAGE_BYTES)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in training sequences."""
+    """Pieces of documents in training sequences; a null text is empty, so its end id is its only token."""
     return pack_documents(docs, tokenizer_path("word_bpe_49k.json"), SEQUENCE_TOKENS, end_id=1)
 
 
