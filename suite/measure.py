@@ -76,6 +76,18 @@ def percentiles(spark, sf):
     return M.percentiles(table(spark, sf, "lineitem"), "l_extendedprice", [0.5, 0.95, 0.99])
 
 
+@suite.add("m8_percentiles_by_group", """
+WITH v AS (SELECT event_type, CASE WHEN user_id < 30 THEN 1.5 WHEN value > 50 THEN -value ELSE value END AS v FROM events),
+s AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY v)-1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM v),
+q AS (SELECT *, unnest([0.0::DOUBLE, 0.5::DOUBLE, 0.9::DOUBLE, 1.0::DOUBLE]) AS q FROM s)
+SELECT event_type, q, (max(v) FILTER (i = least(floor(n*q)::BIGINT, n-1)) + max(v) FILTER (i = CASE WHEN q = 0.5 THEN (n-1)//2 ELSE least(floor(n*q)::BIGINT, n-1) END))/2 AS value
+FROM q GROUP BY 1, 2""")
+def percentiles_by_group(spark, sf):
+    v = F.when(F.col("user_id") < 30, 1.5).when(F.col("value") > 50, -F.col("value")).otherwise(F.col("value"))
+    df = table(spark, sf, "events").select("event_type", v.alias("v"))
+    return M.percentiles(df, "v", [0.0, 0.5, 0.9, 1.0], ["event_type"])
+
+
 @suite.add("m9_half_compare", """
 WITH r AS (SELECT min(epoch_us(ts)) AS a, max(epoch_us(ts)) AS b FROM events),
 h AS (SELECT value::DECIMAL(28,6) AS v, (epoch_us(ts)-a)*2 < b-a AS h FROM events, r),

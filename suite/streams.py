@@ -40,17 +40,30 @@ def user_sequence(spark, sf):
     return df.join(shown, ["user_id", E])
 
 
+def streamed(spark, sf, **options):
+    """The stream's rows; files of the table arrive in one or more micro-batches."""
+    folder = work_dir(spark, "sequence")
+    sdf = stream_table(spark, sf, "events").select("user_id", E, ts_us().alias("us"))
+    SQ.user_sequence_stream(sdf, ["user_id"], E, START, INC, folder, folder + "/checkpoint", **options).awaitTermination()
+    return SQ.sequence_rows(spark, folder)
+
+
 @suite.add("st1_user_sequence_stream", f"SELECT user_id, {START}+{_POS}*{INC} AS tick FROM events")
 def user_sequence_stream(spark, sf):
-    sdf = stream_table(spark, sf, "events").select("user_id", E)
-    out = SQ.user_sequence_stream(sdf, ["user_id"], E, START, INC)
-    return run_stream(out, "sequence").select("user_id", "tick")
+    return streamed(spark, sf).select("user_id", "tick")
 
 
 @suite.add("st1_user_sequence_stream_events", f"SELECT user_id, event_id, {START}+{_POS}*{INC} AS tick FROM events")
 def user_sequence_stream_events(spark, sf):
-    sdf = stream_table(spark, sf, "events").select("user_id", E)
-    return run_stream(SQ.user_sequence_stream(sdf, ["user_id"], E, START, INC), "sequence").select("user_id", E, "tick")
+    return streamed(spark, sf).select("user_id", E, "tick")
+
+
+@suite.add("st1_user_sequence_stream_ttl", f"""
+WITH g AS (SELECT user_id, event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id) > 6*3600000000 AS fresh FROM events),
+r AS (SELECT *, count_if(coalesce(fresh, false)) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM g)
+SELECT user_id, event_id, {START}+row_number() OVER (PARTITION BY user_id, run ORDER BY event_id)*{INC} AS tick FROM r""")
+def user_sequence_stream_ttl(spark, sf):
+    return streamed(spark, sf, ts_us="us", ttl_seconds=6 * 3600, width=500).select("user_id", E, "tick")
 
 
 @suite.add("st2_wallclock_sequence", """

@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from synthloom.session import carried
+from synthloom.session import keys_join, persist_reliably
 
 INF = float("inf")
-CELLS = 4096
 
 
 def count_bucket(col: Column) -> Column:
@@ -95,48 +94,60 @@ def gauge_by_label(df: DataFrame, value: str, ts: str, series: list[str], label:
         F.max("_last").alias("max_value"), exact_sum("_last").alias("sum_value"))
 
 
-def percentiles(df: DataFrame, value: str, qs: list[float], accuracy: int = 10_000) -> DataFrame:
-    """Exact order statistics ``(q, value)``: sorted[int(n*q)], the median as mean of the middle two.
+def order_bits(v: Column) -> Column:
+    """A long that orders like the double ``v`` (NaN last, both zeros alike): its IEEE bits, read from its hexadecimal form."""
+    text = F.format_string("%a", F.abs(v))  # 0x1.8p1; 0x0.8p-1022 below the normal range
+    fraction = F.conv(F.rpad(F.regexp_extract(text, r"\.([0-9a-f]+)p", 1), 13, "0"), 16, 10).cast("bigint")
+    exponent = F.regexp_extract(text, r"p(-?[0-9]+)$", 1).cast("bigint") + 1023
+    small = F.substring(text, 3, 1) == "0"
+    infinite = F.lit(2047 << 52)
+    bits = (F.when(F.isnan(v), infinite + 1).when(F.abs(v) == INF, infinite)
+            .when(small, fraction).otherwise(F.shiftleft(exponent, 52) + fraction))
+    return F.when(v < 0, -bits - 1).otherwise(bits)
 
-    A quantile sketch brackets each wanted rank within a few ranks in ``accuracy``; one pass counts rows
-    below the brackets, and only the distinct values inside them are ranked, each bracket in cells. A rank outside its bracket
-    raises, so the answer is exact or the query fails. Raise ``accuracy`` with the table size.
+
+DIGIT = 16  # bits that one round of the selection decides
+
+
+def percentiles(df: DataFrame, value: str, qs: list[float], by: list[str] | None = None) -> DataFrame:
+    """Exact order statistics ``(by..., q, value)``: sorted[int(n*q)], the median as mean of the middle two.
+
+    Radix selection: rows are counted by the highest 16 bits of their order, each wanted rank picks its prefix, and
+    only rows with a picked prefix are counted by the next 16 bits, four times in all. Every round is one narrow
+    scan with map-side counts, the first three run while the plan is built; nothing is sorted but the counts of one prefix (at most 65,536), so any table, any
+    number of equal values and any group is answered. Nulls are not counted; groups without a value give no row.
     """
-    data = df.select(F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
-    slack = 3.0 / accuracy
-    lows = [F.lit(max(0.0, q - slack)) for q in qs]
-    highs = [F.lit(min(1.0, q + slack)) for q in qs]
-    sketch = data.agg(F.struct(
-        F.percentile_approx("v", F.array(*lows, *highs), F.lit(accuracy)).alias("b"),
-        F.min("v").alias("lo"), F.max("v").alias("hi")).alias("s")).scalar()
-    m = len(qs)
-    marked = data.withColumn("_s", sketch)
-    bound = lambda i: F.get(F.col("_s.b"), F.lit(i))
-    lo = [F.col("_s.lo") if q - slack <= 0 else bound(i) for i, q in enumerate(qs)]
-    hi = [F.col("_s.hi") if q + slack >= 1 else bound(m + i) for i, q in enumerate(qs)]
-    brackets = F.filter(F.array(*[F.when(F.col("v").between(lo[i], hi[i]), F.struct(
-        F.lit(i).alias("i"), F.coalesce(F.floor((F.col("v") - lo[i]) / F.nullif(hi[i] - lo[i], F.lit(0.0)) * CELLS),
-                                        F.lit(0)).alias("cell"))) for i in range(m)]), lambda x: x.isNotNull())
-    below = marked.agg(*[F.count_if(F.col("v") < lo[i]).alias(f"b{i}") for i in range(m)])
-    inside = (marked.select("v", F.explode(brackets).alias("b")).groupBy("b.i", "b.cell", "v").agg(F.count("*").alias("c")))
-    inside = carried(inside, ["i"], F.col("cell"), {"_m": F.sum("c")}, {"_earlier": F.sum("_m")})
-    size = data.agg(F.count("*").alias("n")).scalar()
-    starts = below.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q"), F.col(f"b{i}").alias("start")) for i, q in enumerate(qs)])))
-    upto = W.partitionBy("i", "_slice").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    placed = (inside.withColumn("upto", F.coalesce("_earlier", F.lit(0)) + F.sum("c").over(upto))
-              .join(F.broadcast(starts), "i")  # one row per quantile
-              .withColumn("n", size)
-              .withColumn("first", F.col("start") + F.col("upto") - F.col("c"))
-              .withColumn("last", F.col("start") + F.col("upto") - 1))
-    is_median = F.col("q") == 0.5
-    rank = F.least(F.floor(F.col("n") * F.col("q")), F.col("n") - 1)
-    other = F.when(is_median, F.floor((F.col("n") - 1) / 2)).otherwise(rank)
-    holds = lambda r: (F.col("first") <= r) & (r <= F.col("last"))
-    out = placed.groupBy("q").agg(F.max(F.when(holds(rank), F.col("v"))).alias("_a"),
-                                  F.max(F.when(holds(other), F.col("v"))).alias("_b"))
-    missed = F.raise_error(F.lit("a rank fell outside its bracket: raise accuracy")).cast("double")
-    return out.select("q", F.coalesce((F.col("_a") + F.col("_b")) / 2, missed).alias("value"))
+    by = by or []
+    data = df.select(*by, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
+    data = data.withColumn("_k", order_bits(F.col("v")))
+    targets = F.explode(F.array(*[F.struct(F.lit(float(q)).alias("q"), F.lit(i).alias("i")) for q in qs for i in (0, 1)])).alias("_t")
+    rank = F.least(F.floor(F.col("n") * F.col("_t.q")), F.col("n") - 1)
+    other = F.when(F.col("_t.q") == 0.5, F.floor((F.col("n") - 1) / 2)).otherwise(rank)
+
+    def counted(rows: DataFrame, shift: int) -> DataFrame:
+        return rows.groupBy(*by, F.shiftright("_k", shift).alias("_p")).agg(F.count("*").alias("_c"), F.min("v").alias("_v"))
+
+    def picked(cells: DataFrame, of: list[str]) -> DataFrame:
+        """Cells in which a rank lies, with the rank inside; each (of) holds the cells of one prefix."""
+        upto = W.partitionBy(*by, *of).orderBy("_p").rowsBetween(W.unboundedPreceding, 0)
+        placed = cells.withColumn("_before", F.sum("_c").over(upto) - F.col("_c"))
+        if not of:
+            placed = placed.withColumn("n", F.sum("_c").over(W.partitionBy(*by))).select("*", targets)
+            placed = placed.withColumn("_rank", F.when(F.col("_t.i") == 0, rank).otherwise(other)).select("*", "_t.q", "_t.i")
+        hit = (F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_c"))
+        return placed.where(hit).select(*by, "q", "i", "_p", (F.col("_rank") - F.col("_before")).alias("_rank"), "_v")
+
+    shift = 64 - DIGIT
+    found = picked(counted(data, shift), [])
+    while shift:
+        found = persist_reliably(found)  # a row per wanted rank; read twice below
+        wanted = found.select(*by, "_p").distinct()
+        inside = keys_join(data.withColumn("_p", F.shiftright("_k", shift)), wanted, [*by, "_p"], "left_semi")
+        shift -= DIGIT
+        cells = counted(inside, shift).withColumnRenamed("_p", "_next").withColumn("_p", F.shiftright("_next", DIGIT))
+        both = keys_join(found.drop("_v"), cells, [*by, "_p"]).drop("_p").withColumnRenamed("_next", "_p")
+        found = picked(both, ["q", "i"])
+    return found.groupBy(*by, "q").agg(((F.max(F.when(F.col("i") == 0, F.col("_v"))) + F.max(F.when(F.col("i") == 1, F.col("_v")))) / 2).alias("value"))
 
 
 def half_compare(df: DataFrame, ts: str, value: str) -> DataFrame:

@@ -40,6 +40,13 @@ def persist_reliably(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def keys_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a null key meets a null key, so no row is lost to it; keeps the left side's key columns."""
+    other = {k: f"_right_{k}" for k in keys}
+    both = left.join(right.withColumnsRenamed(other), [F.col(f"`{k}`").eqNullSafe(F.col(f"`{n}`")) for k, n in other.items()], how)
+    return both if how in ("left_semi", "left_anti") else both.drop(*other.values())
+
+
 def dense_position(df: DataFrame, order: list[Column], name: str = "seq",
                    partitions: int | None = None) -> DataFrame:
     """0-based dense position of every row in a global order, without a one-task window.
@@ -77,7 +84,7 @@ def hash_position(df: DataFrame, digest: str, by: list[str], name: str, hex_digi
     starts = sizes.select(*by, "_slice", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
     inside = W.partitionBy(*by, "_slice").orderBy(digest)
     ranked = sliced.withColumn("_at", F.row_number().over(inside) - 1)
-    return (ranked.join(starts, [*by, "_slice"])
+    return (keys_join(ranked, starts, [*by, "_slice"])
             .withColumn(name, F.col("_start") + F.col("_at"))
             .drop("_slice", "_start", "_at"))
 
@@ -94,7 +101,7 @@ def keyed_position(df: DataFrame, keys: list[str], order: str, name: str, width:
     starts = sizes.select(*keys, "_slice", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
     inside = W.partitionBy(*keys, "_slice").orderBy(order)
     ranked = sliced.withColumn("_at", F.row_number().over(inside) - 1)
-    return (ranked.join(starts, [*keys, "_slice"])
+    return (keys_join(ranked, starts, [*keys, "_slice"])
             .withColumn(name, F.col("_start") + F.col("_at"))
             .drop("_slice", "_start", "_at"))
 
@@ -127,7 +134,7 @@ def carried(df: DataFrame, keys: list[str], slice_of: Column, aggs: dict[str, Co
     sums = sliced.groupBy(*keys, "_slice").agg(*[e.alias(n) for n, e in aggs.items()])
     before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     handed = sums.select(*keys, "_slice", *[e.over(before).alias(n) for n, e in carry.items()])
-    return sliced.join(handed, [*keys, "_slice"])
+    return keys_join(sliced, handed, [*keys, "_slice"])
 
 
 def lookup_join(df: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:
@@ -137,7 +144,7 @@ def lookup_join(df: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:
     that holds most rows is split by adaptive execution's skew handling, which a left join allows for its
     left side; a small lookup is broadcast by its measured size.
     """
-    return df.join(lookup, keys, "left")
+    return keys_join(df, lookup, keys, "left")
 
 
 def islands(df: DataFrame, keys: list[str], order: str, ts_us: str, gap_us: int, width: int,
@@ -157,3 +164,28 @@ def islands(df: DataFrame, keys: list[str], order: str, ts_us: str, gap_us: int,
     upto = W.partitionBy(*keys, "_slice").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     return rows.withColumn(name, F.coalesce(F.max("_begin").over(upto), F.col("_begun"))).drop(
         "_slice", "_begun", "_begin")
+
+
+def run_positions(df: DataFrame, keys: list[str], order: str, ts_us: str, gap_us: int, width: int,
+                  seen: Column | None = None) -> DataFrame:
+    """Add ``_run`` and ``_pos``: runs of a key's rows without a gap above ``gap_us``, and 0-based positions in them.
+
+    A gap lies between a row's time and the last known time before it (``seen`` before the first row); rows without a
+    time belong to the run they stand in. ``_run`` is the number of the row that begins the run, null for the first run
+    where no gap begins it. Times, counts and run starts are handed over between slices, so no task holds a whole key.
+    """
+    slice_of = F.floor(F.col(order) / F.lit(width))
+    known = F.when(F.col(ts_us).isNotNull(), F.col(order))
+    rows = carried(df, keys, slice_of, {"_l": F.max_by(ts_us, known), "_n": F.count("*")},
+                   {"_before": F.last("_l", ignorenulls=True), "_count": F.sum("_n")})
+    inside = W.partitionBy(*keys, "_slice").orderBy(order)
+    earlier = F.last(ts_us, ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, -1))
+    previous = F.coalesce(earlier, "_before", *([seen] if seen is not None else []))
+    number = F.coalesce("_count", F.lit(0)) + F.row_number().over(inside)
+    rows = rows.withColumns({"_number": number, "_fresh": F.coalesce(F.col(ts_us) - previous > F.lit(gap_us), F.lit(False))})
+    rows = rows.withColumn("_begin", F.when(F.col("_fresh"), F.col("_number")))
+    rows = carried(rows.drop("_slice", "_before", "_count", "_fresh"), keys, slice_of, {"_b": F.max("_begin")}, {"_begun": F.max("_b")})
+    upto = inside.rowsBetween(W.unboundedPreceding, 0)
+    run = F.coalesce(F.max("_begin").over(upto), F.col("_begun"))
+    return rows.withColumn("_run", run).withColumn("_pos", F.col("_number") - F.coalesce("_run", F.lit(1))).drop(
+        "_slice", "_begin", "_begun", "_number")

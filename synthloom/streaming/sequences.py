@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
 from synthloom.functions.times import SECOND, format_micros
-from synthloom.session import islands, keyed_position
+from synthloom.session import keyed_position, lookup_join, run_positions
 
 TTL_SECONDS = 86_400
-RUN_ROWS = 500_000    # rows of a user that are sorted in memory
-BLOCK_ROWS = 10_000   # rows of each sorted run that a merge holds
+COMPACT = 16  # micro-batches after which the state is written as a whole again
 
 
 def shown(us: Column, fmt: str | None, tz: str | None) -> Column:
@@ -33,90 +26,77 @@ def user_sequence(df: DataFrame, user: list[str], order: str, start: int, inc: i
     return placed.withColumn(name, shown(us, fmt, tz)).drop("_pos")
 
 
-def in_order(chunks: Iterator[pd.DataFrame], order: str, run_rows: int, block_rows: int) -> Iterator[pd.DataFrame]:
-    """All rows of the chunks in order (nulls last), in pieces; memory holds one run and a block of every other run."""
-    with tempfile.TemporaryDirectory() as folder:
-        runs, held, n = [], [], 0
-        for chunk in chunks:
-            held.append(chunk)
-            n += len(chunk)
-            if n >= run_rows:
-                path = f"{folder}/{len(runs)}"
-                table = pa.Table.from_pandas(pd.concat(held).sort_values(order, kind="stable"), preserve_index=False)
-                with pa.OSFile(path, "wb") as f, pa.ipc.new_file(f, table.schema) as out:
-                    out.write_table(table, max_chunksize=block_rows)
-                runs.append(path)
-                held, n = [], 0
-        rest = pd.concat(held).sort_values(order, kind="stable") if held else None
-        if not runs:
-            if rest is not None and len(rest):
-                yield rest
-            return
-        readers = [blocks(path) for path in runs] + ([iter([rest])] if rest is not None else [])
-        loaded: list[pd.DataFrame | None] = [next(r, None) for r in readers]
-        while any(b is not None for b in loaded):
-            ends = [b[order].iloc[-1] for b in loaded if b is not None]
-            ends = [e for e in ends if not pd.isna(e)]
-            limit = min(ends) if ends else None
-            taken = []
-            for i, b in enumerate(loaded):
-                if b is None:
-                    continue
-                upto = len(b) if limit is None else int((b[order] <= limit).sum())
-                taken.append(b.iloc[:upto])
-                loaded[i] = b.iloc[upto:] if upto < len(b) else next(readers[i], None)
-            yield pd.concat(taken).sort_values(order, kind="stable")
-
-
-def blocks(path: str) -> Iterator[pd.DataFrame]:
-    """Pieces of a sorted run."""
-    with pa.OSFile(path) as f, pa.ipc.open_file(f) as run:
-        for k in range(run.num_record_batches):
-            yield run.get_batch(k).to_pandas()
-
-
-def user_sequence_stream(sdf: DataFrame, user: list[str], order: str, start: int, inc: int,
-                         name: str = "tick", ts_us: str | None = None, ttl_seconds: int = TTL_SECONDS,
-                         drop_idle_seconds: int | None = None) -> DataFrame:
-    """Streaming form: the last value per user is kept as state and survives restarts.
-
-    A user's rows of a micro-batch arrive in Arrow chunks and are numbered by ``order`` over all of them: beyond
-    ``RUN_ROWS`` rows, sorted runs go to local files and are merged block by block. With ``ts_us`` a pause above ``ttl_seconds`` restarts the user's sequence.
-    ``drop_idle_seconds`` also frees the state of silent users by wall clock; use it with a continuous
-    trigger only (a timeout keeps an ``availableNow`` query waiting).
+def last_values(spark: SparkSession, path: str, epoch: int, user: list[str]) -> DataFrame | None:
+    """State before micro-batch ``epoch``: one row (user..., last, seen) per user, newest first wins.
+
+    The state is a log: every ``COMPACT`` micro-batches the whole of it, in between what each one changed.
+    """
+    if epoch == 0:
+        return None
+    base = (epoch - 1) // COMPACT * COMPACT
+    parts = [spark.read.parquet(f"{path}/epoch={e}").withColumn("_e", F.lit(e)) for e in range(base, epoch)]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.groupBy(*user).agg(F.max_by(F.struct("last", "seen"), "_e").alias("_s")).select(*user, "_s.last", "_s.seen")
+
+
+def advance_sequence(batch: DataFrame, epoch: int, path: str, user: list[str], order: str, start: int, inc: int, name: str = "tick",
+                     ts_us: str | None = None, ttl_seconds: int = TTL_SECONDS, drop_idle_seconds: int | None = None,
+                     width: int = 65_536) -> None:
+    """Number one micro-batch from the state before it; write its rows and the state after it.
+
+    Both go to folders of their own, named by the micro-batch, so one that is replayed overwrites itself.
+    """
+    spark = batch.sparkSession
+    state = last_values(spark, f"{path}/state", epoch, user)
+    rows = batch.select(*user, order, *([ts_us] if ts_us else []))
+    if state is None:
+        rows = rows.withColumns({"last": F.lit(None).cast("bigint"), "seen": F.lit(None).cast("bigint")})
+    else:
+        rows = lookup_join(rows, state, user)
+    if ts_us:
+        rows = run_positions(rows, user, order, ts_us, ttl_seconds * SECOND, width, F.col("seen"))
+        base = F.when(F.col("_run").isNull(), F.coalesce("last", F.lit(start))).otherwise(F.lit(start))
+    else:
+        rows = keyed_position(rows, user, order, "_pos", width)
+        base = F.coalesce("last", F.lit(start))
+    numbered = rows.withColumn(name, base + (F.col("_pos") + 1) * F.lit(inc))
+    here = f"{path}/rows/epoch={epoch}"
+    numbered.select(*user, order, *([ts_us, "seen"] if ts_us else ["seen"]), name).write.mode("overwrite").parquet(here)
+
+    done = spark.read.parquet(here)
+    known = F.when(F.col(ts_us).isNotNull(), F.col(order)) if ts_us else None
+    changed = done.groupBy(*user).agg(
+        F.max_by(name, order).alias("last"),
+        (F.coalesce(F.max_by(ts_us, known), F.max("seen")) if ts_us else F.max("seen")).cast("bigint").alias("seen"))
+    if epoch % COMPACT == 0 and state is not None:
+        changed = changed.unionByName(state.join(changed.select(*user), user, "left_anti"))
+        if drop_idle_seconds and ts_us:
+            newest = changed.agg(F.max("seen")).scalar()
+            changed = changed.where(F.col("seen").isNull() | (F.col("seen") >= newest - F.lit(drop_idle_seconds * SECOND)))
+    changed.write.mode("overwrite").parquet(f"{path}/state/epoch={epoch}")
+
+
+def user_sequence_stream(sdf: DataFrame, user: list[str], order: str, start: int, inc: int, path: str, checkpoint: str,
+                         trigger: dict | None = None, **options) -> StreamingQuery:
+    """Streaming form of ``user_sequence``: start a query that writes (user..., order, tick) below ``path``/rows.
+
+    The last value of each user is kept in a table below ``path``/state and survives restarts. A micro-batch is
+    numbered like a batch table, in slices of ``order``, so a user that holds most of its rows is spread over tasks;
+    no Python runs on executors. With ``ts_us`` a pause above ``ttl_seconds`` restarts the user's sequence, also
+    between micro-batches; a row without a time continues it. ``drop_idle_seconds`` forgets users that long behind the
+    newest time whenever the state is compacted. Users may be null; ``order`` is a unique integer within the user.
     """
-    columns = [*user, order] + ([ts_us] if ts_us else [])
-    fields = {f.name: f for f in sdf.schema.fields}
-    out_schema = ", ".join(f"`{c}` {fields[c].dataType.simpleString()}" for c in columns) + f", `{name}` bigint"
-    run_rows, block_rows = RUN_ROWS, BLOCK_ROWS
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if drop_idle_seconds else GroupStateTimeout.NoTimeout
-
-    def advance(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last, seen = state.get if state.exists else (start, None)
-        for rows in in_order((c[columns] for c in chunks), order, run_rows, block_rows):
-            rows = rows.copy()
-            steps = np.arange(1, len(rows) + 1, dtype="int64")
-            base = np.full(len(rows), last, dtype="int64")
-            if ts_us:
-                times = rows[ts_us].to_numpy("int64")
-                before = np.concatenate([[times[0] if seen is None else seen], times[:-1]])
-                fresh = times - before > ttl_seconds * SECOND
-                begun = np.maximum.accumulate(np.where(fresh, steps, 0))
-                base = np.where(begun > 0, start, base)
-                steps = np.where(begun > 0, steps - begun + 1, steps)
-                seen = int(times[-1])
-            rows[name] = base + inc * steps
-            last = int(rows[name].iloc[-1])
-            yield rows
-        state.update((last, seen))
-        if drop_idle_seconds:
-            state.setTimeoutDuration(drop_idle_seconds * 1_000)
-
-    return sdf.select(*columns).groupBy(*user).applyInPandasWithState(
-        advance, out_schema, "last bigint, seen bigint", "append", timeout)
+    def write(batch: DataFrame, epoch: int) -> None:
+        advance_sequence(batch, epoch, path, user, order, start, inc, **options)
+
+    return sdf.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def sequence_rows(spark: SparkSession, path: str) -> DataFrame:
+    """All rows that ``user_sequence_stream`` has written."""
+    return spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows").drop("epoch", "seen")
 
 
 def wallclock_sequence(df: DataFrame, time_us: Column, start: int, inc: int,
@@ -136,10 +116,10 @@ def sequence_with_ttl(df: DataFrame, user: str, order: str, ts_us: str, start: i
                       ttl_seconds: int = TTL_SECONDS, name: str = "tick", width: int = 65_536) -> DataFrame:
     """Batch twin of expiring state: a gap above the time to live restarts the user's sequence.
 
-    Rows are cut into islands by idle gaps and the islands are numbered independently.
+    A row without a time continues it.
     """
-    rows = islands(df, [user], order, ts_us, ttl_seconds * SECOND, width)
-    return user_sequence(rows, [user, "_island"], order, start, inc, name=name, width=width).drop("_island")
+    rows = run_positions(df, [user], order, ts_us, ttl_seconds * SECOND, width)
+    return rows.withColumn(name, F.lit(start) + (F.col("_pos") + 1) * F.lit(inc)).drop("_run", "_pos")
 
 
 def temporal_generator(df: DataFrame, mode: str, start: int, step: int = SECOND, multiplier: float = 1.0,

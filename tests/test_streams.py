@@ -26,6 +26,10 @@ def run(sdf, folder, mode="append"):
      .option("checkpointLocation", folder + "/state").trigger(availableNow=True).start().awaitTermination(120))
 
 
+def sequence(sdf, folder, start, **options):
+    SQ.user_sequence_stream(sdf, ["user"], "n", start, 10, folder, folder + "/checkpoint", **options).awaitTermination(120)
+
+
 def test_synth_stream_equals_table_and_resumes(spark):
     folder = work_dir(spark, "synth")
     sdf = synth_stream(spark, FLAT, 50, seed=4, max_rows=120, now="2025-01-01")
@@ -47,8 +51,8 @@ def test_user_sequence_continues_over_restarts(spark):
     for start in (0, 3, 6):
         feed(spark, folder + "/in", [(u, start + i) for u in (1, 2) for i in range(3)], schema)
         sdf = spark.readStream.schema(schema).parquet(folder + "/in")
-        run(SQ.user_sequence_stream(sdf, ["user"], "n", 1_000_000, 10), folder)
-    rows = spark.read.parquet(folder + "/out").orderBy("user", "n").collect()
+        sequence(sdf, folder, 1_000_000)
+    rows = SQ.sequence_rows(spark, folder).orderBy("user", "n").collect()
     assert [r["tick"] for r in rows if r["user"] == 1] == [1_000_000 + 10 * (i + 1) for i in range(9)]
 
 
@@ -58,8 +62,8 @@ def test_expired_state_restarts_like_the_batch_twin(spark):
     for part in (rows[:3], rows[3:6], rows[6:]):
         feed(spark, folder + "/in", part, schema)
         sdf = spark.readStream.schema(schema).parquet(folder + "/in")
-        run(SQ.user_sequence_stream(sdf, ["user"], "n", 0, 10, ts_us="us"), folder)
-    streamed = [r["tick"] for r in spark.read.parquet(folder + "/out").orderBy("n").collect()]
+        sequence(sdf, folder, 0, ts_us="us")
+    streamed = [r["tick"] for r in SQ.sequence_rows(spark, folder).orderBy("n").collect()]
     twin = SQ.sequence_with_ttl(spark.createDataFrame(rows, schema), "user", "n", "us", 0, 10, width=2).orderBy("n")
     assert streamed == [r["tick"] for r in twin.collect()] == [10, 20, 30, 40, 10, 20, 30, 10, 20]
 
@@ -167,21 +171,27 @@ def test_micro_batch_faults_can_be_replayed(spark):
     assert spark.read.parquet(folder + "/out").select("ord").distinct().count() == 50 == spark.read.parquet(folder + "/out").count()
 
 
-@pytest.mark.parametrize("run_rows", [10**6, 100])
-def test_user_sequence_follows_order_over_chunks(spark, monkeypatch, run_rows):
-    """Rows of one user in descending order, in Arrow chunks of 10: in memory and by merged runs."""
-    monkeypatch.setattr(SQ, "RUN_ROWS", run_rows)
-    monkeypatch.setattr(SQ, "BLOCK_ROWS", 7)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    old = spark.conf.get(key)
-    spark.conf.set(key, "10")
-    try:
-        folder, schema = work_dir(spark, "order"), "user int, n bigint, us bigint"
-        rows = [(1, i, i * 60_000_000 + (2 * DAY_US if i >= 300 else 0)) for i in range(450)]
-        feed(spark, folder + "/in", rows[::-1][::2] + rows[::-1][1::2], schema)
-        sdf = spark.readStream.schema(schema).parquet(folder + "/in")
-        run(SQ.user_sequence_stream(sdf, ["user"], "n", 0, 1, ts_us="us"), folder)
-    finally:
-        spark.conf.set(key, old)
-    got = spark.read.parquet(folder + "/out").orderBy("n").collect()
-    assert [r["tick"] for r in got] == [i + 1 if i < 300 else i - 299 for i in range(450)]
+def test_user_sequence_spreads_a_hot_user_and_takes_odd_rows(spark, monkeypatch):
+    """Mixed order, rows without a time, a null user, state over compactions and a replayed micro-batch."""
+    monkeypatch.setattr(SQ, "COMPACT", 3)
+    folder, schema = work_dir(spark, "order"), "user int, n bigint, us bigint"
+    rows = [(1, i, None if i % 7 == 3 else i * 60_000_000 + (2 * DAY_US if i >= 300 else 0)) for i in range(450)]
+    rows += [(None, i, i * DAY_US) for i in range(5)] + [(2, i, None) for i in range(9)]
+    want = {}
+    for user in (1, None, 2):
+        last, seen = 0, None
+        for _, n, us in sorted(r for r in rows if r[0] == user) if user else [r for r in rows if r[0] is None]:
+            last = 0 if us is not None and seen is not None and us - seen > DAY_US else last
+            last, seen = last + 10, us if us is not None else seen
+            want[user, n] = last
+    for k in range(8):
+        part = [r for r in rows if r[1] * 8 // (450 if r[0] == 1 else 9) == k]
+        batch = spark.createDataFrame(part[::-1][::2] + part[::-1][1::2], schema)
+        for _ in range(1 + (k in (3, 4))):  # a replay gives the same again
+            SQ.advance_sequence(batch, k, folder, ["user"], "n", 0, 10, ts_us="us", width=16)
+    got = {(r["user"], r["n"]): r["tick"] for r in SQ.sequence_rows(spark, folder).collect()}
+    assert got == want
+    state = {r["user"]: r["last"] for r in SQ.last_values(spark, folder + "/state", 8, ["user"]).collect()}
+    assert state[1] == want[1, 449] and state[2] == want[2, 8]
+    plan = SQ.sequence_with_ttl(spark.createDataFrame(rows, schema), "user", "n", "us", 0, 10)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 15 and "Python" not in plan
