@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from suite.common import Suite, table
 from suite.tables import DATASETS_CTE, NOW as CREATED, SEED, event_datasets
 from synthloom.operators import store as B
-from synthloom.session import persist_reliably
+from synthloom.session import persist_reliably, work_dir
+from synthloom.sources.storelog import StoreLog, sync_logs
 
 suite = Suite()
 NOW = dt.datetime(2024, 2, 20, tzinfo=dt.timezone.utc)
@@ -51,6 +52,30 @@ def batch_sync(spark, sf):
     return B.batch_sync(hot, durable, NOW)[0].select("id", "schema_name", us("created_at"), us("expires_at"))
 
 
+@suite.add("b2_store_commits", f"""WITH {TIERS},
+moved AS (SELECT * FROM durable UNION ALL SELECT * REPLACE ({NOW_SQL} AS created_at, {NOW_SQL}+INTERVAL 30 DAY AS expires_at) FROM hot WHERE id NOT IN (SELECT id FROM durable))
+SELECT 'durable' AS tier, id, schema_name, epoch_us(created_at) + CASE WHEN schema_name = 'view' THEN 1000000 ELSE 0 END AS created_at FROM moved
+WHERE expires_at >= {NOW_SQL} AND schema_name <> 'click'
+UNION ALL SELECT 'hot', id, schema_name, epoch_us(created_at) FROM full_ds WHERE schema_name = 'error'""")
+def store_commits(spark, sf):
+    """Two stores over several commits: a sync that is repeated, a purge, an update, a delete, compactions between."""
+    hot, durable = tiers(spark, sf)
+    ddl = ", ".join(f"`{n}` {t}" for n, t in hot.dtypes)
+    h, d = (StoreLog(spark, work_dir(spark, name), ddl) for name in ("hot", "durable"))
+    h.commit(put=hot, retry_key="load")
+    d.commit(put=durable, retry_key="load")
+    for _ in range(2):
+        sync_logs(h, d, lambda a, b: B.batch_sync(a, b, NOW), "sync")
+    d.commit(delete=d.read().where(F.col("expires_at") < B.moment(NOW)), retry_key="purge")
+    d.compact()
+    d.commit(put=d.read().where("schema_name = 'view'").withColumn("created_at", F.col("created_at") + F.expr("INTERVAL 1 SECOND")), retry_key="update")
+    d.commit(delete=d.read().where("schema_name = 'click'"))
+    h.commit(put=durable.where("schema_name = 'error'"))
+    h.compact()
+    found = d.read().withColumn("tier", F.lit("durable")).unionByName(h.read().withColumn("tier", F.lit("hot")))
+    return found.select("tier", "id", "schema_name", us("created_at"))
+
+
 @suite.add("b2_batch_sync_report", f"""WITH {TIERS}, b AS (SELECT * FROM hot ORDER BY id LIMIT 1000)
 SELECT count_if(id IN (SELECT id FROM durable)) AS already_durable, count_if(id NOT IN (SELECT id FROM durable)) AS synced,
  coalesce(sum(CASE WHEN id NOT IN (SELECT id FROM durable) THEN octet_length(encode(data)) END), 0)::BIGINT AS bytes FROM b""")

@@ -10,9 +10,10 @@ from suite.columns import K, dbl, padded, pick, rounded
 from suite.common import SEED, Suite, below, table, u
 from synthloom.functions import lists as L
 from synthloom.operators import link
-from synthloom.session import dense_position, keyed_position, work_dir
+from synthloom.session import dense_position, keyed_position, persist_reliably, work_dir
 from synthloom.sources import datasets as DS
 from synthloom.sources import pregen, publish as P
+from synthloom.sources.storelog import ClaimLedger
 from synthloom.sources.synth import envelope, synth, synth_over
 
 suite = Suite()
@@ -83,6 +84,24 @@ def pregen_or_live(spark, sf):
             .unionByName(pregen.pregen_or_live(empty, live, 100, "event_id")))
 
 
+@suite.add("s4_take", """
+WITH p AS (SELECT event_type AS schema, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id)-1 AS row_id FROM events)
+SELECT 'first' AS taker, * FROM p WHERE schema = 'purchase' AND row_id < 60 UNION ALL SELECT 'other', * FROM p WHERE schema = 'click' AND row_id < 30
+UNION ALL SELECT unnest(['second', 'again']), * FROM p WHERE schema = 'purchase' AND row_id BETWEEN 60 AND 109
+UNION ALL SELECT 'all', * FROM p WHERE schema = 'error' UNION ALL SELECT 'live', * FROM p WHERE schema = 'error' AND row_id < 20""")
+def take(spark, sf):
+    """Takers of prepared rows one after another: none gets another's, a repeated one gets its own again."""
+    rows = table(spark, sf, "events").select(F.col("event_type").alias("schema"), "event_id")
+    ready = persist_reliably(keyed_position(rows, ["schema"], "event_id", "row_id"))
+    ledger = ClaimLedger(spark, work_dir(spark, "claims"))
+    out = None
+    for taker, schema, k, key in (("first", "purchase", 60, None), ("other", "click", 30, None), ("second", "purchase", 50, "s"),
+                                  ("again", "purchase", 50, "s"), ("all", "error", 10**9, None), ("live", "error", 20, None)):
+        part = ledger.take(ready, ready, schema, k, retry_key=key).withColumn("taker", F.lit(taker))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @suite.add("s5_bounded_recent", """
 SELECT user_id, event_id, value FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 20""")

@@ -97,8 +97,8 @@ def gauge_by_label(df: DataFrame, value: str, ts: str, series: list[str], label:
 def order_bits(v: Column) -> Column:
     """A long that orders like the double ``v`` (NaN last, both zeros alike): its IEEE bits, read from its hexadecimal form."""
     text = F.format_string("%a", F.abs(v))  # 0x1.8p1; 0x0.8p-1022 below the normal range
-    fraction = F.conv(F.rpad(F.regexp_extract(text, r"\.([0-9a-f]+)p", 1), 13, "0"), 16, 10).cast("bigint")
-    exponent = F.regexp_extract(text, r"p(-?[0-9]+)$", 1).cast("bigint") + 1023
+    fraction = F.conv(F.rpad(F.substring(F.substring_index(text, "p", 1), 5, 13), 13, "0"), 16, 10).cast("bigint")
+    exponent = F.substring_index(text, "p", -1).try_cast("bigint") + 1023
     small = F.substring(text, 3, 1) == "0"
     infinite = F.lit(2047 << 52)
     bits = (F.when(F.isnan(v), infinite + 1).when(F.abs(v) == INF, infinite)
