@@ -427,10 +427,12 @@ def changed_texts(rows: DataFrame, length: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             removed, spans_, digests, kept = [], [], [], []
-            for text, runs in zip(b.column("text").to_pylist(), b.column("runs").to_pylist()):
-                raw = np.frombuffer(text.encode(), np.uint8)
-                start = np.array([r["start"] for r in runs], np.int64)
-                bits = np.array([r["bits"] for r in runs], np.int64)
+            lists = b.column("runs")
+            ends, flat = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten()
+            starts, marks = (flat.field(c).to_numpy() for c in ("start", "bits"))
+            for i, text in enumerate(b.column("text")):
+                raw = np.frombuffer(text.as_buffer(), np.uint8)
+                start, bits = starts[ends[i]:ends[i + 1]], marks[ends[i]:ends[i + 1]]
                 edge = np.zeros(len(raw) + 1, np.int64)
                 for k in range(int(bits.max()).bit_length()):
                     at = start[bits >> k & 1 == 1] + k

@@ -85,7 +85,7 @@ class ToxicityModel:
     def margins(self, texts: pa.Array) -> np.ndarray:
         """Highest window logit of every text."""
         scorer, out = Scorer(self.params), []
-        for _, part in text_slices(texts, 16 << 20):
+        for _, part in text_slices(texts, 4 << 20):
             offsets, codes, words, points, starts, lengths = pieces(part)
             f, b = scorer.words(self.word_ids(words, len(lengths)), points, starts, lengths) if len(words) else (
                 np.zeros((1, scorer.p["wf.b"].shape[0]), np.float32),) * 2
@@ -114,9 +114,9 @@ def fit_windows(texts: list[str] | pa.Array, y: np.ndarray, totals: dict[int, in
     doc = np.repeat(np.arange(len(y)), np.diff(offsets))
     names = bare(words).dictionary_encode().indices.to_numpy(zero_copy_only=False)
     names = np.concatenate([names, len(words) + np.arange(len(lengths) - len(words))])
-    seen = np.unique(np.stack([names[codes], doc], 1), axis=0) if len(codes) else np.zeros((0, 2), np.int64)
-    seen = seen[fit[seen[:, 1]]]
-    by = {k: np.bincount(seen[y[seen[:, 1]] == k, 0], minlength=len(lengths))[names] for k in (0, 1)}
+    seen = np.unique(names[codes].astype(np.int64) * len(y) + doc)  # words of a text
+    word, of = seen // len(y), seen % len(y)
+    by = {k: np.bincount(word[fit[of] & (y[of] == k)], minlength=len(lengths))[names] for k in (0, 1)}
     known = np.flatnonzero((by[0] + by[1] >= 3)[:len(words)])
     vocabulary = np.unique(hashes(bare(words))[known])
     p = parameters(len(vocabulary) + 1, seed)
