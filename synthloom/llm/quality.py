@@ -19,13 +19,14 @@ from synthloom.llm.common import binary_list, hashes, mix, set_batches, split_wo
 from synthloom.llm.sample import class_weights, labelled_sample, platt
 
 BITS = 18
+SLICE = 2 << 20  # bytes of texts whose features are found together
 
 
 def features(texts: pa.Array, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Distinct feature numbers of every text: per slice (offsets, features)."""
     size = np.uint64(1 << bits)
     two, shape_salt = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
-    for _, part in text_slices(texts):
+    for _, part in text_slices(texts, SLICE):
         offsets, codes, words = split_words(part)
         shapes = pc.replace_substring_regex(
             pc.replace_substring_regex(words, r"\pL+", "a"), r"[0-9]+", "0")
