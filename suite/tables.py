@@ -14,7 +14,7 @@ from synthloom.session import dense_position, keyed_position, persist_reliably,
 from synthloom.sources import datasets as DS
 from synthloom.sources import pregen, publish as P
 from synthloom.sources.storelog import ClaimLedger
-from synthloom.sources.synth import envelope, synth, synth_over
+from synthloom.sources.synth import envelope, synth, synth_over, synth_stream
 
 suite = Suite()
 NOW = dt.datetime(2024, 2, 1, tzinfo=dt.timezone.utc)
@@ -36,8 +36,17 @@ FLAT_SQL = (f"SELECT {rounded(f'{u("amount", E_)}*{dbl(495)}+{dbl(5)}', 2)} AS a
 
 @suite.add("s1_synth_table", FLAT_SQL)
 def synth_table(spark, sf):
-    n = table(spark, sf, "events").count()
-    return synth(spark, FLAT, n, SEED, kind="portable")
+    """A record for each given row, its draws keyed by the row's id."""
+    return synth_over(table(spark, sf, "events"), FLAT, "event_id", SEED, kind="portable")
+
+
+@suite.add("s1_synth_slices", FLAT_SQL.replace("FROM events", "FROM events WHERE event_id < 5000") + " UNION ALL " + FLAT_SQL.replace(
+    "FROM events", "FROM events WHERE event_id >= 5000"))
+def synth_slices(spark, sf):
+    """The same from two ranges of row numbers that are as long as the given table."""
+    n = table(spark, sf, "events").agg(F.max("event_id") + 1).first()[0]
+    half = min(n, 5000)
+    return synth(spark, FLAT, half, SEED, kind="portable").unionByName(synth(spark, FLAT, n - half, SEED, start=half, kind="portable"))
 
 
 def run_stream(sdf, label, mode="append"):
@@ -56,11 +65,25 @@ def stream_table(spark, sf, name):
 
 
 @suite.add("s2_synth_stream", FLAT_SQL)
-def synth_stream(spark, sf):
+def synth_over_stream(spark, sf):
     rows = stream_table(spark, sf, "events").select("event_id")
     return run_stream(synth_over(rows, FLAT, "event_id", SEED, kind="portable"), "synth")
 
 
+@suite.add("s2_synth_stream_restarts", FLAT_SQL.replace("SELECT", "SELECT event_id,", 1))
+def synth_stream_restarts(spark, sf):
+    """A stream of its own that ends after a micro-batch, started again until it has a row for each given one."""
+    events = table(spark, sf, "events").select("event_id")
+    n = events.agg(F.max("event_id") + 1).first()[0]
+    out = work_dir(spark, "synth")
+    sdf = synth_stream(spark, FLAT, -(-n // 3), SEED, max_rows=n, duration_ms=3000, kind="portable")
+    for _ in range(4):
+        (sdf.writeStream.format("parquet").option("path", out + "/data").option("checkpointLocation", out + "/state")
+         .trigger(availableNow=True).start().awaitTermination())
+    made = spark.read.schema(sdf.schema).parquet(out + "/data").withColumnRenamed("seq", "event_id")
+    return events.join(made, "event_id")
+
+
 @suite.add("s3_pregen_write", "SELECT event_type AS schema, event_id, value, row_number() OVER ("
            "PARTITION BY event_type ORDER BY event_id)-1 AS row_id FROM events")
 def pregen_write(spark, sf):

@@ -66,18 +66,23 @@ def synth_over(df: DataFrame, spec: Any, key: str, seed: int = 0, *, row: str |
 
 def synth_stream(spark: SparkSession, spec: Any, rows_per_batch: int, seed: int = 0, *,
                  max_rows: int | None = None, now: object = None, kind: str = "fast",
-                 scope: str = "", partitions: int | None = None) -> DataFrame:
+                 scope: str = "", partitions: int | None = None, duration_ms: int | None = None,
+                 batch_ms: int = 1000) -> DataFrame:
     """Unbounded rows from a spec, ``rows_per_batch`` per micro-batch, optionally capped.
 
     The source numbers rows 0, 1, 2, ... so a row equals the one ``synth`` makes for that number,
     and a restarted query continues where its checkpoint ends. Column ``seq`` carries the number.
+    Every micro-batch is ``batch_ms`` of event time; ``duration_ms`` keeps the rows of that much. With the
+    trigger ``availableNow`` a query makes one micro-batch and ends; started again, it makes the next one.
     """
-    reader = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", rows_per_batch)
+    reader = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", rows_per_batch).option("advanceMillisPerBatch", batch_ms)
     if partitions:
         reader = reader.option("numPartitions", partitions)
     rows = reader.load().withColumnRenamed("value", "seq")
     if max_rows is not None:
         rows = rows.where(F.col("seq") < max_rows)
+    if duration_ms is not None:
+        rows = rows.where(F.unix_millis("timestamp") < duration_ms)
     return synth_over(rows, spec, "seq", seed, keep=["seq"], now=now, kind=kind, scope=scope)
 
 
