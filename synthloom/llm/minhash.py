@@ -18,6 +18,7 @@ from synthloom.llm.common import binary_list, hashes, mix, set_batches, split_wo
 from synthloom.llm.components import LocalUnion, connected_components
 
 WORDS = 5
+SLICE = 2 << 20               # bytes of texts whose shingles are found together
 TABLES, WIDTH = 7, 2          # at similarity 0.85 a linked pair shares no key with a chance of 0.00025
 BLOCK = 256                   # sets of a block whose products are taken at once
 SKETCH_BITS = 4               # bits of each minhash that candidates are compared by
@@ -26,7 +27,7 @@ SKETCH_BITS = 4               # bits of each minhash that candidates are compare
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[list[np.ndarray]]:
     """Per slice, the sorted distinct shingle hashes of every text; none for a text without words."""
     step = np.uint64(0x9E3779B97F4A7C15)
-    for _, part in text_slices(texts):
+    for _, part in text_slices(texts, SLICE):
         offsets, codes, distinct = split_words(part)
         h = hashes(distinct)[codes] if len(codes) else np.zeros(0, np.uint64)
         n = max(0, len(h) - words + 1)
