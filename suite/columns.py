@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from suite.common import SEED, Suite, below, digest, strings, table, u
+from suite.common import SEED, Suite, below, digest, strings, table, text, u
 from synthloom.functions import lists as L
 from synthloom.sources.synth import synth_over
 
@@ -96,6 +96,12 @@ register("g6_regex", {"code": {"type": "string", "regex": "^[A-Z]{2}[0-9]{4}(/[a
           "valid": "true"},
          lambda: [F.col("code"), F.col("code").rlike("^[A-Z]{2}[0-9]{4}(/[a-f]{1,2})?$").alias("valid")])
 
+_NO_DIGITS = "".join(chr(c) for c in range(32, 127) if not chr(c).isdigit())
+register("g6_regex_open", {"code": {"type": "string", "regex": "[A-C]+x[^0-9]{20,40}"}},
+         {"code": ch(0, "ABC") + "".join(f"||CASE WHEN {below('code#r1', K, 9)} > {i} THEN {ch(2 + i, 'ABC')} ELSE '' END" for i in range(8))
+          + f"||'x'||array_to_string(list_transform(range(1, 21+{below('code#r10', K, 21)}), lambda j: "
+            f"substr({text(_NO_DIGITS)}, {below('code#r11', K + "||'|'||j", len(_NO_DIGITS))}+1, 1)), '')"})
+
 H = digest("uid#uuid", K)
 register("g7_provider",
          {"word": {"type": "string", "string_type": "word"},

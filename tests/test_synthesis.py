@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -169,13 +170,21 @@ def test_contract_errors(bad):
 def test_cycles_and_unsupported_syntax_are_refused(spark):
     with pytest.raises(S.SpecError, match="cyclic"):
         synth(spark, obj(a={"type": "timestamp", "depends_on": "b"}, b={"type": "datetime", "depends_on": "a"}), 1)
-    for pattern in ("a*", "(?=x)y", "[^a]"):
+    for pattern in ("(?=x)y", r"(a)\1", "[^ -~]"):
         with pytest.raises(S.SpecError):
             synth(spark, obj(a={"type": "string", "regex": pattern}), 1)
     with pytest.raises(ValueError, match="directive"):
         synth(spark, obj(a={"type": "datetime", "format": "%Q"}), 1)
 
 
+@pytest.mark.parametrize("pattern", ["a*b+c?", "[^a-y]{3,}", r"\\D\\W\\S", ".{40}", "(ab|[^c]){2,30}", "([a-c]{1,20};){17,19}", r"x\\d{1000}", "[^z]"])
+def test_open_regexes_are_matched(spark, pattern):
+    pattern = pattern.replace("\\\\", "\\")
+    made = [r["a"] for r in synth(spark, obj(a={"type": "string", "regex": pattern}), 200).collect()]
+    assert all(re.fullmatch(pattern, m, re.S) for m in made)
+    assert len(set(made)) > 50 or pattern in ("a*b+c?",)
+
+
 def test_loose_specs_normalise():
     node = S.load({"type": "record", "fields": {"a": "integer", "b": {"type": "list", "child": "str"}, "c": {"type": "int", "pool": True},
                                                 "d": {"type": "int", "pool": False}}})
