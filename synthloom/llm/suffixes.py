@@ -167,7 +167,7 @@ def least_documents(slices: list[bytes], anchor: np.ndarray, many: np.ndarray, b
     return np.split(out, np.cumsum(many)[:-1])
 
 
-def _texts(batch: pa.RecordBatch, limit: int = 2 << 20) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
+def _texts(batch: pa.RecordBatch, limit: int = 512 << 10) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
     """(first row, texts, bytes, offsets) for pieces of a batch of at most ``limit`` bytes or one text."""
     texts = [t.encode() if t else b"" for t in batch.column("text").to_pylist()]
     at = 0
