@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 from collections.abc import Iterator
@@ -22,9 +23,31 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def set_batches(spark: SparkSession) -> None:
+def set_batches(spark: SparkSession, size: int = 8 << 20) -> None:
     """Let Arrow batches be bounded by bytes, so that very long texts do not add up."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def give_back() -> None:
+    """Return unused memory to the system: Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def grouped_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each group of a stream that is sorted by its first column, without that column, a group at a time."""
+    held, group = [], None
+    for b in batches:
+        for key, *row in zip(*[c.to_pylist() for c in b.columns]):
+            if held and key != group:
+                yield held
+                held = []
+            group = key
+            held.append(tuple(row))
+    if held:
+        yield held
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

@@ -20,12 +20,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from synthloom.llm.common import mix, set_batches, stored, tasks_of
+from synthloom.llm.common import give_back, grouped_rows, mix, set_batches, stored, tasks_of
 
 ANCHOR = 24                       # bytes of an anchor
 PERIOD, COVER = 16, (0, 1, 2, 4, 8)  # every distance modulo 16 is a difference of two members
 WIDE = 4096                       # an anchor in more documents has its suffixes dealt out one by one
 BLOCK = 2 << 20                   # bytes of slices sorted at once; one bucket may be larger
+SCATTER = 8 << 20                 # bytes of text whose anchors are packed at once
+PART = 16 << 20                   # most bytes of text whose anchors make one part, on average
+BUCKET = 64 << 20                 # ... whose repeated anchors make one bucket
+BATCH = 2 << 20                   # bytes of an Arrow batch
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -179,6 +183,7 @@ def _texts(batch: pa.RecordBatch, limit: int = 512 << 10) -> Iterator[tuple[int,
         part = texts[at:end]
         yield at, part, np.frombuffer(b"".join(part), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in part])])
         at = end
+    give_back()
 
 
 def _text_runs(part: list[bytes], data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -195,80 +200,125 @@ def _text_runs(part: list[bytes], data: np.ndarray, offsets: np.ndarray, length:
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def repeated_anchors(rows: DataFrame, length: int, parts: int) -> DataFrame:
-    """(doc_id, digest, anchors, wide) per document and part: anchors that occur in several documents.
+def _packed(key: np.ndarray, doc: np.ndarray, names: np.ndarray, digests: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Anchors and the documents that hold them as one sorted, compressed block per part of the hash space."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    order = np.argsort(key)
+    doc, key = doc[order], key[order]
+    part = ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)  # ascending with the key
+    bounds = np.searchsorted(part, np.arange(parts + 1))
+    out = []
+    for p in range(parts):
+        s, e = int(bounds[p]), int(bounds[p + 1])
+        if s < e:
+            held = np.bincount(doc[s:e], minlength=len(names)) > 0
+            used, small = np.flatnonzero(held), (np.cumsum(held) - 1)[doc[s:e]]
+            planes = np.ascontiguousarray(key[s:e].view(np.uint8).reshape(-1, 8).T).tobytes()
+            out.append((p, pack(planes), pack(small.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()),
+                        names[used].tobytes(), digests[used].tobytes()))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([o[0] for o in out], pa.int32())] + [pa.array([o[k] for o in out], pa.binary()) for k in (1, 2, 3, 4)],
+        ["part", "keys", "docs", "names", "digests"])
+
+
+def _merged(blocks: list[tuple], buckets: int, many_documents: int) -> pa.RecordBatch:
+    """The anchors of a part's blocks that occur in several texts, one row per bucket of documents."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    sizes = [len(n) // 8 for _, _, n, _ in blocks]
+    name, digest = (np.frombuffer(b"".join(b[k] for b in blocks), np.int64) for k in (2, 3))
+    keys, docs, base = [], [], 0
+    for (k, d, _, _), size in zip(blocks, sizes):
+        keys.append(np.frombuffer(unpack(k), np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel())
+        docs.append(np.frombuffer(unpack(d), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel() + np.uint32(base))
+        base += size
+    key, doc = np.concatenate(keys), np.concatenate(docs)
+    del keys, docs
+    order = np.argsort(key)
+    key, doc = key[order], doc[order]
+    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    many, text = np.diff(np.append(head, len(key))), digest[doc]
+    several = np.minimum.reduceat(text, head) != np.maximum.reduceat(text, head)  # copies of one text count as one
+    keep = np.flatnonzero(np.repeat(several, many))
+    wide = np.repeat(many > many_documents, many)[keep]
+    key, doc = key[keep], doc[keep]
+    spread = mix((name * np.int64(31) + digest).view(np.uint64)) >> np.uint64(32)
+    bucket = (spread * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort((bucket[doc] << 32) | doc)
+    key, doc, wide = key[order], doc[order], wide[order]
+    head = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
+    many, own = np.diff(np.append(head, len(doc))), doc[head]
+    some = np.unique(bucket[own])
+    first, last = (np.searchsorted(bucket[own], some, side) for side in ("left", "right"))
+    ends = np.append(head, len(doc))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(some.astype(np.int32))]
+        + [pa.array([x[s:e].tobytes() for s, e in zip(first, last)], pa.binary()) for x in (name[own], digest[own], many)]
+        + [pa.array([x[ends[s]:ends[e]].tobytes() for s, e in zip(first, last)], pa.binary()) for x in (key, wide)],
+        ["bucket", "names", "digests", "many", "keys", "wide"])
+
+
+def _listed(rows: list[tuple]) -> pa.RecordBatch:
+    """One row per document of a bucket, from what all parts say about it."""
+    name, digest, many, key = (np.frombuffer(b"".join(r[k] for r in rows), t) for k, t in enumerate((np.int64, np.int64, np.int64, np.uint64)))
+    wide = np.frombuffer(b"".join(r[4] for r in rows), bool)
+    order = np.lexsort((digest, name))
+    begin = np.cumsum(many) - many
+    name, digest, begin, many = name[order], digest[order], begin[order], many[order]
+    place = np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(len(key))
+    key, wide = key[place], wide[place]
+    head = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (digest[1:] != digest[:-1])]))
+    ends = np.append(np.cumsum(many) - many, len(key))[np.append(head, len(many))]
+
+    def lists(mark: np.ndarray) -> pa.Array:
+        offsets = 8 * np.concatenate([[0], np.cumsum(mark)])[ends]
+        return pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(key[mark])])
+
+    return pa.RecordBatch.from_arrays([pa.array(name[head]), pa.array(digest[head]), lists(~wide), lists(wide)],
+                                      ["doc_id", "digest", "anchors", "wide"])
+
+
+def repeated_anchors(rows: DataFrame, length: int, parts: int, buckets: int) -> DataFrame:
+    """(doc_id, digest, anchors, wide) per document: anchors that occur in several documents.
 
     Each task packs its anchors into one sorted, compressed block per part of the hash space; a part's task
-    merges the blocks. ``wide`` tells which anchors occur in more than WIDE documents.
+    merges the blocks and packs what it finds by buckets of documents, a bucket's task lists it by document.
+    ``wide`` tells which anchors occur in more than WIDE documents. Rows between the steps are pieces of text times
+    parts and parts times buckets, whatever the number of documents; a task holds one part or bucket at a time.
     """
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
+        docs, keys, names, digests = [], [], [], []
+        size = base = 0
         for b in batches:
-            names, digests = b.column("doc_id").to_numpy(), b.column("digest").to_numpy()
-            docs, keys = [], []
             for at, part, data, offsets in _texts(b):
                 text, _, _, _, key = _text_runs(part, data, offsets, length)
-                docs.append(text + at)
+                docs.append((text + (base + at)).astype(np.uint32))
                 keys.append(key)
-            if not docs:
-                continue
-            doc, key = np.concatenate(docs), np.concatenate(keys)
-            order = np.argsort(key)
-            doc, key = doc[order], key[order]
-            part = ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)  # ascending with the key
-            bounds = np.searchsorted(part, np.arange(parts + 1))
-            out = []
-            for p in range(parts):
-                s, e = int(bounds[p]), int(bounds[p + 1])
-                if s < e:
-                    held = np.bincount(doc[s:e], minlength=len(names)) > 0
-                    used, small = np.flatnonzero(held), (np.cumsum(held) - 1)[doc[s:e]]
-                    planes = np.ascontiguousarray(key[s:e].view(np.uint8).reshape(-1, 8).T).tobytes()
-                    out.append((p, pack(planes), pack(small.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()),
-                                names[used].tobytes(), digests[used].tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([o[0] for o in out], pa.int32())] + [pa.array([o[k] for o in out], pa.binary()) for k in (1, 2, 3, 4)],
-                ["part", "keys", "docs", "names", "digests"])
+                size += len(data)
+            names.append(b.column("doc_id").to_numpy())
+            digests.append(b.column("digest").to_numpy())
+            base += len(b)
+            if size >= SCATTER:
+                yield _packed(*map(np.concatenate, (keys, docs, names, digests)), parts)
+                docs, keys, names, digests = [], [], [], []
+                size = base = 0
+        if base:
+            yield _packed(*map(np.concatenate, (keys, docs, names, digests)), parts)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        by_part: dict[int, list] = {}
-        for b in batches:
-            for p, *rest in zip(*[c.to_pylist() for c in b.columns]):
-                by_part.setdefault(p, []).append(rest)
-        for blocks in by_part.values():
-            keys, docs, names, digests, base = [], [], [], [], 0
-            for k, d, n, g in blocks:
-                raw = np.frombuffer(unpack(k), np.uint8).reshape(8, -1)
-                keys.append(np.ascontiguousarray(raw.T).view(np.uint64).ravel())
-                docs.append(np.ascontiguousarray(np.frombuffer(unpack(d), np.uint8).reshape(4, -1).T).view("<u4").ravel() + base)
-                names.append(np.frombuffer(n, np.int64))
-                digests.append(np.frombuffer(g, np.int64))
-                base += len(names[-1])
-            key, doc = np.concatenate(keys), np.concatenate(docs)
-            name, digest = np.concatenate(names), np.concatenate(digests)
-            order = np.argsort(key)
-            key, doc = key[order], doc[order]
-            head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            many, text = np.diff(np.append(head, len(key))), digest[doc]
-            several = np.minimum.reduceat(text, head) != np.maximum.reduceat(text, head)  # copies of one text count as one
-            keep = np.flatnonzero(np.repeat(several, many))
-            wide = np.repeat(many > WIDE, many)[keep]
-            key, doc = key[keep], doc[keep]
-            order = np.argsort(doc, kind="stable")
-            key, doc, wide = key[order], doc[order], wide[order]
-            head = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-            ends = np.append(head, len(doc))
-            for s in range(0, len(head), 20_000):
-                some = range(s, min(s + 20_000, len(head)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(name[doc[head[some]]]), pa.array(digest[doc[head[some]]]),
-                     pa.array([key[ends[i]:ends[i + 1]][~wide[ends[i]:ends[i + 1]]].tobytes() for i in some], pa.binary()),
-                     pa.array([key[ends[i]:ends[i + 1]][wide[ends[i]:ends[i + 1]]].tobytes() for i in some], pa.binary())],
-                    ["doc_id", "digest", "anchors", "wide"])
+        for blocks in grouped_rows(batches):
+            yield _merged(blocks, buckets, WIDE)
+            give_back()
+
+    def regroup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for packed in grouped_rows(batches):
+            yield _listed(packed)
+        give_back()
 
     blocks = rows.mapInArrow(scatter, "part int, keys binary, docs binary, names binary, digests binary")
-    return blocks.repartition(parts, "part").mapInArrow(gather, "doc_id long, digest long, anchors binary, wide binary")
+    found = blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(
+        gather, "bucket int, names binary, digests binary, many binary, keys binary, wide binary")
+    return found.repartition(tasks_of(rows.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(
+        regroup, "doc_id long, digest long, anchors binary, wide binary")
 
 
 def _kept_runs(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -281,7 +331,7 @@ def _kept_runs(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray,
         for i in range(len(part)):
             own = key[bounds[i]:bounds[i + 1]]
             for lists, mark in zip(both, (keep, broad)):
-                known = np.sort(np.frombuffer(b"".join(lists[at + i]), np.uint64))
+                known = np.sort(np.frombuffer(lists[at + i], np.uint64))
                 if len(known):
                     where = np.minimum(np.searchsorted(known, own), len(known) - 1)
                     mark[bounds[i]:bounds[i + 1]] = known[where] == own
@@ -369,6 +419,7 @@ def removed_runs(needed: DataFrame, length: int) -> DataFrame:
             bucket = keys[-1]
         if held:
             yield from solve(pa.Table.from_batches(held))
+        give_back()
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -418,9 +469,11 @@ def changed_texts(rows: DataFrame, length: int) -> DataFrame:
     firsts = names.groupBy("own").agg(F.min("doc_id").alias("least"))
     marked = stored(names.join(firsts, "own").withColumn("copy", F.col("doc_id") > F.col("least")).select(
         "doc_id", "digest", "n", "copy").distinct(), "copies")
-    anchors = stored(repeated_anchors(usable, length, tasks_of(rows.sparkSession)), "anchors")
-    lists = anchors.groupBy("doc_id", "digest").agg(F.collect_list("anchors").alias("anchors"), F.collect_list("wide").alias("wide"))
-    lists = lists.join(marked.where("NOT copy"), ["doc_id", "digest"], "left_semi")
+    size, count = names.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    parts = max(tasks_of(rows.sparkSession), -(-size // PART))
+    buckets = max(1, -(-size // BUCKET), min(parts, count // (8 * parts)))
+    anchors = stored(repeated_anchors(usable, length, parts, buckets), "anchors")
+    lists = anchors.join(marked.where("NOT copy"), ["doc_id", "digest"], "left_semi")
     needed = stored(usable.join(lists, ["doc_id", "digest"]), "repeats")
     spans = removed_runs(needed, length).groupBy("doc_id", "digest").agg(F.collect_set(F.struct("start", "bits")).alias("runs"))
 
@@ -462,7 +515,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     removed; matches never cross documents and are judged on the input. A null text is empty. Rows of one id
     do not remove from each other; a row without an id keeps all and removes nothing.
     """
-    set_batches(docs.sparkSession)
+    set_batches(docs.sparkSession, BATCH)
     rows = _keyed(docs, id_col, text_col)
     changed = changed_texts(rows, length).drop("kept")
     own = rows.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("own"))
@@ -478,7 +531,7 @@ def strip_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", tex
     Characters that are cut through go as a whole. ``chars_col``, where it is a column, is counted anew for
     changed texts. Null texts stay null.
     """
-    set_batches(docs.sparkSession)
+    set_batches(docs.sparkSession, BATCH)
     changed = changed_texts(_keyed(docs, id_col, text_col), length)
 
     @F.arrow_udf("string")

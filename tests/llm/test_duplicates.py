@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from synthloom.llm.common import grouped_rows
 from synthloom.llm.components import LocalUnion, connected_components
 from synthloom.llm.embeddings import Block, embedding_duplicates, tile_links
 from synthloom.llm.fuzzyhash import edit_distance, fingerprint_edits, likeness, prints
@@ -160,6 +161,31 @@ def test_suffixes(spark, monkeypatch, length, wide):
     assert suffix_dedup(empty(spark), length).count() == 0
 
 
+def test_anchors_are_listed_once_per_document(spark):
+    """Rows follow the documents, not documents times parts; how anchors are dealt changes nothing."""
+    import synthloom.llm.suffixes as module
+    texts = module._keyed(documents(spark), "doc_id", "text").where("doc_id IS NOT NULL AND octet_length(text) >= 50")
+    found = []
+    for parts, buckets in ((1, 1), (16, 1), (16, 5)):
+        got = module.repeated_anchors(texts, 50, parts, buckets).collect()
+        assert len({(r["doc_id"], r["digest"]) for r in got}) == len(got) <= texts.select("doc_id", "digest").distinct().count()
+        found.append({(r["doc_id"], r["digest"]): sorted(np.frombuffer(r["anchors"] + r["wide"], np.uint64).tolist()) for r in got})
+    assert found[0] and found[0] == found[1] == found[2]
+
+
+def test_a_task_holds_one_group_at_a_time():
+    taken = []
+
+    def batches():
+        for k in (1, 1, 2, 2, 3):
+            taken.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([f"{k}"])], ["part", "x"])
+
+    groups = grouped_rows(batches())
+    assert next(groups) == [("1",), ("1",)] and taken == [1, 1, 2]
+    assert [len(g) for g in groups] == [2, 1]
+
+
 def test_edit_distance():
     def slow(a, b):
         row = list(range(len(b) + 1))
