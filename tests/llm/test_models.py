@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 from collections import Counter
 
@@ -11,11 +12,12 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from synthloom.llm.common import held
+from synthloom.llm.common import discard, held, stored
 from synthloom.llm.gru import Network, Scorer, parameters
 from synthloom.llm.quality import fit_nbsvm, score_quality
 from synthloom.llm.suffixtree import Sizes, longer, suffix_tree_scores
 from synthloom.llm.toxicity import fit_windows, pieces, score_toxicity, window_starts
+from synthloom.session import work_dir
 from tests.llm.cases import documents, empty, prose, rows, words
 
 
@@ -222,3 +224,23 @@ def test_suffix_tree_keeps_rare_long_contexts_of_a_large_corpus(spark):
     assert runs[0] == runs[1] == runs[2]
     assert runs[0][-1] > runs[0][-2] + 0.3
     assert runs[0][-1] > got[-1]["base_score"] + 5
+
+
+def test_suffix_tree_leaves_its_values_only(spark):
+    """Of the tables written on the way one remains: the strings that the returned rows look up."""
+    folder = work_dir(spark, "none").rpartition("/")[0].removeprefix("file:")
+    before = set(os.listdir(folder))
+    docs = spark.createDataFrame([(i, "a b c d e f " * 30) for i in range(40)], "doc_id long, text string")
+    got = suffix_tree_scores(docs, F.col("doc_id") >= 0, F.col("doc_id") < 0)
+    assert [x.rpartition("-")[0] for x in set(os.listdir(folder)) - before] == ["values"]
+    assert got.count() == 40
+
+
+def test_discard_leaves_other_tables(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "given"))
+    given, own = spark.read.parquet(str(tmp_path / "given")), stored(spark.range(4), "own")
+    folder = own.stored_at.removeprefix("file:")
+    discard(given)
+    assert given.count() == 3 and os.path.exists(folder)
+    discard(own)
+    assert not os.path.exists(folder)
