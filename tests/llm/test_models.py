@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from synthloom.llm.common import discard, held, stored
 from synthloom.llm.gru import Network, Scorer, parameters
 from synthloom.llm.quality import fit_nbsvm, score_quality
-from synthloom.llm.suffixtree import Sizes, longer, suffix_tree_scores
+from synthloom.llm.suffixtree import LEVEL, Index, Sizes, _deal, _grown, _met, longer, suffix_tree_scores
 from synthloom.llm.toxicity import fit_windows, pieces, score_toxicity, window_starts
 from synthloom.session import work_dir
 from tests.llm.cases import documents, empty, prose, rows, words
@@ -226,6 +227,54 @@ def test_suffix_tree_keeps_rare_long_contexts_of_a_large_corpus(spark):
     assert runs[0][-1] > got[-1]["base_score"] + 5
 
 
+def test_suffix_tree_in_small_parts(spark):
+    """Buckets of a few rows, joined and answered a few at a time, with rows that wait in files, give the same scores."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["a b c", "x b d", "b", "e f g h i j", "k", f"r{rng.randrange(300)}"]) for _ in range(rng.randrange(30))) for _ in range(150)]
+    texts += [f"start{i % 3} a b e f {'yes' if i % 3 else 'no'}" for i in range(120)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    tree = PlainTree([t for i, t in enumerate(texts) if i % 10])
+    small = Sizes(frequent=2.0, bucket=64, rows=4, waiting=100, sums=9)
+    got = suffix_tree_scores(docs, F.col("doc_id") % 10 != 0, F.col("doc_id") % 10 == 0, small).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(len(texts)))
+    for r in got:
+        assert abs(r["score"] - tree.score(texts[r["doc_id"]])) < 1e-8, r
+
+
+def test_suffix_tree_holds_a_part_of_a_frequent_words_rows():
+    """A bucket in which one context has 400,000 listed next words: memory does not follow their number."""
+    n, own = 400_000, np.array([5], np.uint64)
+    peaks = []
+    for rows in (n // 8, n):
+        word = np.arange(1, rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        ctx, zero, two, low = np.full(rows, 5, np.uint64), np.zeros(rows, np.uint64), np.full(rows, 2), np.full(rows, 0.5 / n)
+        sent = [*_deal(0, 1, own, own, np.array([2 * n]))]
+        for at in range(0, rows, 1 << 14):
+            sent += _deal(1, 1, *(x[at:at + (1 << 14)] for x in (ctx, ctx, zero, word, two, low)))
+        tracemalloc.start()
+        made = kept = 0
+        for b in _grown(_met(iter(sent), 2, 5, 1 << 14), 1, Sizes(waiting=1 << 20)):
+            assert b.schema.names == [x.split()[0] for x in LEVEL.split(", ")]
+            made += len(b)
+            kept += sum(m == 1 for m in b.column("m").to_pylist()[:1])
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert made == rows + kept
+    assert peaks[1] < 1.5 * peaks[0], peaks
+
+
+def test_index_of_one_bucket_has_short_ranges():
+    """Hashes that share their leading bits are found, and no range holds more than a few."""
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 1 << 50, 20_000).astype(np.uint64) + (np.uint64(77) << np.uint64(50)))
+    index = Index(keys)
+    assert np.diff(index.first).max() < 16
+    assert (index.find(keys) == np.arange(len(keys))).all()
+    assert (index.find(np.array([0, int(keys[0]) - 1, int(keys[-1]) + 1, (1 << 64) - 1], np.uint64)) == -1).all()
+    assert index.find(keys + np.uint64(1)).max() < len(keys) and Index(keys[:0]).find(keys).max() == -1
+    assert Index(keys[:1]).find(keys[:2]).tolist() == [0, -1]
+
+
 def test_suffix_tree_leaves_its_values_only(spark):
     """Of the tables written on the way one remains: the strings that the returned rows look up."""
     folder = work_dir(spark, "none").rpartition("/")[0].removeprefix("file:")
